@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, neardup, quality, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_sharding": sharding.op4_sharding,
+    "op5_quality": quality.op5_quality,
+    "op6_jaccard": neardup.op6_jaccard,
 }
 
 ORACLE = {

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from stemloom.session import checkpointed, table
 
-__all__ = ["WORD", "Memo", "checkpointed", "documents", "fresh", "n_words", "packed", "table", "unpacked"]
+__all__ = ["WORD", "Memo", "checkpointed", "documents", "fresh", "n_words", "packed", "portions", "table", "unpacked", "words_of"]
 
 #: A word: what stands between the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-_SPLIT_TABLE = {c: " " for c in range(9, 14)}
+_WORDS = re.compile(WORD)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +27,21 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text, split at ASCII white space only."""
-    return [w for w in text.translate(_SPLIT_TABLE).split(" ") if w] if text else []
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, split at ASCII white space only; null has none."""
+    return _WORDS.findall(text) if text else []
+
+
+def portions(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[slice]:
+    """Slices of a batch that hold about so many characters, so that very long texts don't add up."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        total += len(t) if t else 0
+        if total >= most_chars:
+            yield slice(start, i + 1)
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def fresh(df: DataFrame, stem: str) -> str:
