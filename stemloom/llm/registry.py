@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, quality, sharding
+from . import decontaminate, mixing, neardup, quality, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_sharding": sharding.op4_sharding,
     "op5_quality": quality.op5_quality,
     "op6_jaccard": neardup.op6_jaccard,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLE = {
