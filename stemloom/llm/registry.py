@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, sharding
+from . import decontaminate, extract, mixing, neardup, quality, sharding, tokenindex, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_sharding": sharding.op4_sharding,
     "op5_quality": quality.op5_quality,
     "op6_jaccard": neardup.op6_jaccard,
+    "op7_tokens": tokenindex.op7_tokens,
+    "op8_urls": urls.op8_urls,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_extract": extract.op10_extract,
 }
 
 ORACLE = {
