@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, mixing, neardup, quality, sharding, tokenindex, urls
+from . import decontaminate, extract, lm, mixing, neardup, quality, sharding, tokencount, tokenindex, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_tokencount": tokencount.op2_tokencount,
+    "op3_lm": lm.op3_lm,
     "op4_sharding": sharding.op4_sharding,
     "op5_quality": quality.op5_quality,
     "op6_jaccard": neardup.op6_jaccard,
