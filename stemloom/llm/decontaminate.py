@@ -175,7 +175,7 @@ def _finder(seeds: Broadcast):
                     out.append([dict(zip(("item", "first_token", "n_tokens", "n_equal"), f, strict=True)) for f in found])
             yield pd.Series(out)
 
-    return hits
+    return hits.asNondeterministic()  # else a filter above runs it again
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

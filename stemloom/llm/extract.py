@@ -211,7 +211,7 @@ def extracted(page: Column, weights: Weights) -> Column:
         for batch in batches:
             yield pd.Series([main_text(p, weights) for p in batch], dtype=object)
 
-    return extract(page)
+    return extract.asNondeterministic()(page)  # else a filter above runs it again
 
 
 def extract(pages: DataFrame, most: int = FIT_PAGES) -> DataFrame:

@@ -32,7 +32,7 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text) if text else []
 
 
-def portions(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[slice]:
+def portions(texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[slice]:
     """Slices of a batch that hold about so many characters, so that very long texts don't add up."""
     start = total = 0
     for i, t in enumerate(texts):
@@ -66,19 +66,24 @@ class Memo:
     """Words to bytes of a fixed-width code, each distinct word worked out once.
 
     `make` takes a list of unseen words and returns their bytes. The memory is bounded: past
-    `most` words it starts anew, which costs time and changes no result.
+    `most` words it starts anew, which costs time and changes no result. A Python worker serves one
+    operator after another, so a memo that learns empties the one that learned before it.
     """
 
-    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = 400_000):
+    latest: Memo | None = None
+
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = 150_000):
         self.make, self.most, self.known = make, most, {}
 
     def learn(self, batches: Iterable[list[str]]) -> None:
-        unseen: set[str] = set()
-        for words in batches:
-            unseen.update(words)
-        if len(self.known) + len(unseen) > self.most:
-            self.known = {}
-        todo = [w for w in unseen if w not in self.known]
+        if Memo.latest is not self:
+            if Memo.latest is not None:
+                Memo.latest.known = {}
+            Memo.latest = self
+        unseen = set().union(*batches)
+        todo = list(unseen.difference(self.known))
+        if len(self.known) + len(todo) > self.most:
+            self.known, todo = {}, list(unseen)
         if todo:
             self.known.update(zip(todo, self.make(todo), strict=True))
 
