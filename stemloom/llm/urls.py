@@ -93,23 +93,25 @@ def host_trust(pages: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING)
     return x.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """(row, host, path, rule, trust, distrust, verdict) of each page.
 
     Where a rule fits, its verdict holds. Else a page is blocked when its host's distrust exceeds its
     trust by more than the threshold, and allowed otherwise. Null urls and urls without :// have an
     empty host and path and are allowed, with scores of 0; null html has no links; repeated rows are
-    judged each; an empty table gives an empty result; all columns travel in `row`.
+    judged each; an empty table gives an empty result; all columns travel in `row`, or those that
+    `keep` names: without the html among them no html is shuffled.
 
     A host with very many pages meets its scores in SALTS pieces.
     """
     url = F.col("`url`")
-    x = pages.select(T.packed(pages), host_of(url).alias("host"), path_of(url).alias("path"))
-    x = x.withColumn("m", matched(F.col("host"), F.col("path"), rules)).select("row", "host", "path", "m.rule", F.col("m.verdict").alias("ruled"))
+    kept = pages.select(*[F.col(f"`{c}`") for c in keep]) if keep else pages
+    x = pages.select(T.packed(kept), F.xxhash64("`page_id`", url).alias("id_hash"), host_of(url).alias("host"), path_of(url).alias("path"))
+    x = x.withColumn("m", matched(F.col("host"), F.col("path"), rules)).select("row", "id_hash", "host", "path", "m.rule", F.col("m.verdict").alias("ruled"))
     own = pages.select(host_of(url).alias("host"), path_of(url).alias("path"), F.col("`html`").alias("html"))
     own = own.withColumn("verdict", matched(F.col("host"), F.col("path"), rules)["verdict"])
     hosts = host_trust(own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(*[F.col("row").getField(c) for c in ("page_id", "url")]), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.col("id_hash"), F.lit(SALTS)).cast("int")
     x = x.withColumn("salt", salt).join(hosts, ["host", "salt"], "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when(distrust - trust > threshold, "block").otherwise("allow")
@@ -118,5 +120,5 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = T.table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    x = judge(pages, RULES)
+    x = judge(pages, RULES, keep=["page_id"])
     return x.select("row.page_id", "host", "path", "rule", "verdict", "trust", "distrust")
