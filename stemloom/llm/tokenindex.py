@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -34,18 +39,56 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Characters that normalising to NFC leaves alone and whose lower case doesn't hang on their place.
+_PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xa1-\xff]*")
+
+
+def _pretokens(spec: dict) -> regex.Pattern | None:
+    """The vocabulary's own pattern of pre-tokens, if nothing but NFC and lower case goes before it."""
+    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in parts] != ["Split", "ByteLevel"]:
+        return None
+    split, by_byte = parts
+    if split["behavior"] != "Removed" or not split["invert"] or by_byte["add_prefix_space"] or by_byte["use_regex"]:
+        return None
+    return regex.compile(split["pattern"]["Regex"])
+
+
 @cache
-def _encoder(path: str) -> tuple[T.Memo, int]:
-    """A memo from words to their ids, and the bytes of an id. White space never joins pieces here."""
-    from tokenizers import Tokenizer
+def _encoder(path: str) -> tuple[T.Memo, int, Callable[[str | None], list[str]]]:
+    """A memo from units of texts to their ids, the bytes of an id, and the units of a text.
+
+    Units of plain texts are their pre-tokens, which the vocabulary's model encodes without the steps
+    before it; those of other texts, and of texts that may hold special strings, are whole words,
+    marked by a leading NUL. White space never joins pieces here.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
+    from tokenizers import Tokenizer, pre_tokenizers
 
     t = Tokenizer.from_file(path)
     width = 2 if t.get_vocab_size() <= 1 << 16 else 4
+    pattern = _pretokens(json.loads(t.to_str()))
+    special = [x.content for x in t.get_added_tokens_decoder().values()]
+    bare = Tokenizer(t.model)
+    bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def units(text: str | None) -> list[str]:
+        if not text:
+            return []
+        if pattern and _PLAIN.fullmatch(text) and not any(x in text for x in special):
+            return pattern.findall(text.lower())
+        return ["\0" + w for w in T.words_of(text)]
 
-    def make(words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, f"<u{width}").tobytes() for e in t.encode_batch(words, add_special_tokens=False)]
+    def make(found: list[str]) -> Iterator[bytes]:
+        whole = t.encode_batch_fast([x[1:] for x in found if x[0] == "\0"], add_special_tokens=False)
+        parts = bare.encode_batch_fast([x for x in found if x[0] != "\0"], add_special_tokens=False)
+        words, pieces = iter(whole), iter(parts)
+        for x in found:
+            yield array(code, next(words if x[0] == "\0" else pieces).ids).tobytes()
 
-    return T.Memo(make), width
+    code = "H" if width == 2 else "I"
+    return T.Memo(make), width, units
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -154,7 +197,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     end = np.uint32(end_id)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, width = _encoder(vocabulary)
+        memo, width, units = _encoder(vocabulary)
         part, seq, held = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         payload: list[bytes] = []
@@ -166,7 +209,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for portion in T.portions(texts):
-                words = [T.words_of(t) for t in texts[portion]]
+                words = [units(t) for t in texts[portion]]
                 memo.learn(words)
                 for key, w in zip(ids[portion], words, strict=True):
                     if keys and (held >= SHARD_IDS or (keys[-1] is None) != (key is None)):

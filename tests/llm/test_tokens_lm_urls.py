@@ -15,7 +15,7 @@ from stemloom.llm import lm, tokencount, tokenindex, urls
 SF = "/root/testdata/sf0.001"
 ODD = [
     (1, "plain words, and 'll it's 12,345 más allá  \n\n x"), (2, None), (3, ""), (4, " \t\n "), (5, "a <|endoftext|> b<|endoftext|>"),
-    (6, "é̂ ﬁne 東京   end  "), (7, "same text here"), (7, "same text here"), (7, "another text"), (None, "no id"), (None, None), (8, "word " * 30_000), (9, "x" * 20_000),
+    (6, "é̂ ﬁne 東京   end  "), (7, "same text here"), (7, "same text here"), (7, "another text"), (None, "no id"), (None, None), (10, "He'LL ''s ÀÉ µª²¼ ß\xad x1234 \xa0y\x85z"), (11, "ΣΑΣ İ <|ENDoftext|> <|endoftext|>a\x1cb"), (8, "word " * 30_000), (9, "x" * 20_000),
 ]
 
 
