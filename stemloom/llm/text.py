@@ -16,6 +16,8 @@ __all__ = ["WORD", "Memo", "checkpointed", "documents", "fresh", "n_words", "pac
 #: A word: what stands between the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = re.compile(WORD)
+# Fixed value: characters beyond the ASCII white space at which str.split cuts too.
+_MORE_SPACE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,9 @@ def n_words(text: Column) -> Column:
 
 def words_of(text: str | None) -> list[str]:
     """The words of a text, split at ASCII white space only; null has none."""
-    return _WORDS.findall(text) if text else []
+    if not text:
+        return []
+    return _WORDS.findall(text) if any(map(text.__contains__, _MORE_SPACE)) else text.split()
 
 
 def portions(texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[slice]:
@@ -65,27 +69,41 @@ def unpacked(df: DataFrame, columns: list[str], extra: list[Column] | None = Non
 class Memo:
     """Words to bytes of a fixed-width code, each distinct word worked out once.
 
-    `make` takes a list of unseen words and returns their bytes. The memory is bounded: past
-    `most` words it starts anew, which costs time and changes no result. A Python worker serves one
-    operator after another, so a memo that learns empties the one that learned before it.
+    `make` takes a list of unseen words and returns their bytes. The memory is bounded: past half of
+    `most` words the known ones become the old ones, and of those only the words met again stay; that
+    changes no result. A Python worker serves one operator after another, so a memo that learns empties
+    the one that learned before it. `below` is a memo that `make` itself adds to, emptied together with
+    this one.
     """
 
     latest: Memo | None = None
 
-    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = 150_000):
-        self.make, self.most, self.known = make, most, {}
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = 150_000, below: Memo | None = None):
+        self.make, self.most, self.below = make, most, below
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, batches: Iterable[list[str]]) -> None:
         if Memo.latest is not self:
             if Memo.latest is not None:
-                Memo.latest.known = {}
+                Memo.latest.forget()
             Memo.latest = self
+        self.add(batches)
+
+    def forget(self) -> None:
+        self.known, self.old = {}, {}
+        if self.below:
+            self.below.forget()
+
+    def add(self, batches: Iterable[list[str]]) -> None:
         unseen = set().union(*batches)
-        todo = list(unseen.difference(self.known))
-        if len(self.known) + len(todo) > self.most:
-            self.known, todo = {}, list(unseen)
-        if todo:
-            self.known.update(zip(todo, self.make(todo), strict=True))
+        todo = unseen.difference(self.known)
+        if len(self.known) + len(todo) > self.most // 2:
+            self.old, self.known, todo = self.known, {}, unseen
+        again = todo.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in again)
+        if new := list(todo - again):
+            self.known.update(zip(new, self.make(new), strict=True))
 
     def join(self, words: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))

@@ -8,7 +8,7 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -24,6 +24,8 @@ from . import text as T
 END_ID = 2
 #: Ids of a shard at least, unless the task's documents end; a document is never cut.
 SHARD_IDS = 2_000_000
+#: Words, and as many pre-tokens, whose ids a worker remembers.
+KNOWN = 300_000
 #: Room for each key in the bit array of a level.
 GAMMA = 1.5
 #: One row a shard. Payload and arrays are little-endian; `words`, `ranks` and the rest are the index.
@@ -56,39 +58,38 @@ def _pretokens(spec: dict) -> regex.Pattern | None:
 
 
 @cache
-def _encoder(path: str) -> tuple[T.Memo, int, Callable[[str | None], list[str]]]:
-    """A memo from units of texts to their ids, the bytes of an id, and the units of a text.
+def _encoder(path: str) -> tuple[T.Memo, int]:
+    """A memo from words to their ids, and the bytes of an id. White space never joins pieces here.
 
-    Units of plain texts are their pre-tokens, which the vocabulary's model encodes without the steps
-    before it; those of other texts, and of texts that may hold special strings, are whole words,
-    marked by a leading NUL. White space never joins pieces here.
+    Plain words are cut into their pre-tokens, which have a memo of their own: the vocabulary's model
+    encodes each without the steps before it. Other words, and those that may hold special strings,
+    are encoded whole.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
     from tokenizers import Tokenizer, pre_tokenizers
 
     t = Tokenizer.from_file(path)
     width = 2 if t.get_vocab_size() <= 1 << 16 else 4
+    code = "H" if width == 2 else "I"
     pattern = _pretokens(json.loads(t.to_str()))
-    special = [x.content for x in t.get_added_tokens_decoder().values()]
+    special = [x.content.lower() for x in t.get_added_tokens_decoder().values()]
     bare = Tokenizer(t.model)
     bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def units(text: str | None) -> list[str]:
-        if not text:
-            return []
-        if pattern and _PLAIN.fullmatch(text) and not any(x in text for x in special):
-            return pattern.findall(text.lower())
-        return ["\0" + w for w in T.words_of(text)]
+    def encoded(coder: Tokenizer, units: list[str]) -> Iterator[bytes]:
+        return (array(code, e.ids).tobytes() for e in coder.encode_batch_fast(units, add_special_tokens=False))
 
-    def make(found: list[str]) -> Iterator[bytes]:
-        whole = t.encode_batch_fast([x[1:] for x in found if x[0] == "\0"], add_special_tokens=False)
-        parts = bare.encode_batch_fast([x for x in found if x[0] != "\0"], add_special_tokens=False)
-        words, pieces = iter(whole), iter(parts)
-        for x in found:
-            yield array(code, next(words if x[0] == "\0" else pieces).ids).tobytes()
+    pieces = T.Memo(lambda units: encoded(bare, units), most=KNOWN)
 
-    code = "H" if width == 2 else "I"
-    return T.Memo(make), width, units
+    def make(words: list[str]) -> Iterator[bytes]:
+        lower = [w.lower() for w in words]
+        plain = [pattern is not None and _PLAIN.fullmatch(w) is not None and not any(x in v for x in special) for w, v in zip(words, lower, strict=True)]
+        parts = [pattern.findall(v) for v, p in zip(lower, plain, strict=True) if p]
+        pieces.add(parts)
+        cut, whole = map(pieces.join, parts), encoded(t, [w for w, p in zip(words, plain, strict=True) if not p])
+        return (next(cut if p else whole) for p in plain)
+
+    return T.Memo(make, most=KNOWN, below=pieces), width
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -197,7 +198,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     end = np.uint32(end_id)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, width, units = _encoder(vocabulary)
+        memo, width = _encoder(vocabulary)
         part, seq, held = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         payload: list[bytes] = []
@@ -209,7 +210,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for portion in T.portions(texts):
-                words = [units(t) for t in texts[portion]]
+                words = [T.words_of(t) for t in texts[portion]]
                 memo.learn(words)
                 for key, w in zip(ids[portion], words, strict=True):
                     if keys and (held >= SHARD_IDS or (keys[-1] is None) != (key is None)):
