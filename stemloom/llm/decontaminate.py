@@ -37,6 +37,7 @@ def _memo() -> T.Memo:
     return T.Memo(lambda words: [b"".join(map(_hash, _TOKENS.findall(w.lower()))) for w in words])
 
 
+@cache
 def _constants(n: int) -> np.ndarray:
     return np.random.default_rng(9).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

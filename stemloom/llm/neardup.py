@@ -29,6 +29,7 @@ TILE = 256
 _MASK = (1 << 64) - 1
 
 
+@cache
 def _constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
