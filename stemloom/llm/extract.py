@@ -19,8 +19,9 @@ FIT_PAGES = 2_000
 #: A tag costs this much at least, a word of a content section earns this much at least.
 LEAST = 0.1
 #: What a tag, or a word of boilerplate, costs at most within a section of content: a menu or a
-#: notice inside an article is left out of its text, but doesn't cut it in two.
-WITHIN = 0.2
+#: notice inside an article is left out of its text, but doesn't cut it in two. A hundred of these
+#: cost no more than the word that earns least.
+WITHIN = LEAST / 100
 # Names of HTML elements by their role, and words in classes and ids of boilerplate.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "button")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
