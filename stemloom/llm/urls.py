@@ -11,7 +11,7 @@ from . import text as T
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING = 0.85
 ROUNDS = 20
-#: A host is blocked where distrust exceeds trust by more than this, in units of a wholly blocked host.
+#: A host is blocked where its share of distrust exceeds its share of trust by more than this.
 THRESHOLD = 0.4
 #: Pieces in which the pages of one host meet its verdict.
 SALTS = 64
@@ -54,50 +54,71 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return x.filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _propagated(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """(host, score): personalised PageRank from the seeds (host, seed), along (src, dst, n).
-
-    What hosts without links would pass on goes back to the seeds; by linearity that is one factor at
-    the end, so no round needs a global sum. Scores are in units of the seeds' own.
-    """
+def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """(host, r): what the seeds (host, seed) pass on along (src, dst, n), without what hosts without links would."""
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     share = T.checkpointed(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")))
-    seeds = seeds.filter("seed > 0")
-    rank = seeds.select("host", F.col("seed").alias("r"))
+    own = seeds.filter("seed > 0").select("host", (F.col("seed") * (1 - damping)).alias("r"))
     if share.isEmpty():
-        return rank.withColumnRenamed("r", "score")
+        return own
+    rank = seeds.filter("seed > 0").select("host", F.col("seed").alias("r"))
     for k in range(rounds):
         moved = share.join(rank, share["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("w") * F.col("r") * damping).alias("r"))
-        rank = moved.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("r"))).groupBy("host").agg(F.sum("r").alias("r"))
+        rank = moved.unionByName(own).groupBy("host").agg(F.sum("r").alias("r"))
         if k % 5 == 4:
             rank = T.checkpointed(rank)
-    total = rank.agg(F.sum("r").alias("got")).join(F.broadcast(seeds.agg(F.sum("seed").alias("want"))))  # one row each
+    return rank
+
+
+def _scaled(rank: DataFrame, seeds: DataFrame) -> DataFrame:
+    total = rank.agg(F.sum("r").alias("got")).join(F.broadcast(seeds.filter("seed > 0").agg(F.sum("seed").alias("want"))))  # one row each
     return rank.join(F.broadcast(total)).select("host", (F.col("r") * F.col("want") / F.col("got")).alias("score"))
 
 
+def _propagated(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """(host, score): personalised PageRank from the seeds (host, seed), along (src, dst, n).
+
+    What hosts without links would pass on goes back to the seeds; by linearity that is one factor at
+    the end, so no round needs a global sum. Scores are in units of the seeds' own.
+    """
+    return _scaled(_spread(edges, seeds, rounds, damping), seeds)
+
+
 def host_trust(pages: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) of hosts with pages (host, html, verdict).
+    """(host, trust, distrust, trust_share, distrust_share) of hosts with pages (host, html, verdict).
 
     Seeds: the share of a host's pages that rules allow, and that they block. Trust flows along the
     links from trusted hosts; distrust flows against them, from blocked hosts to those that link there.
+
+    A seed's mass is split among all hosts that it reaches, so scores fall as the graph grows. A share
+    is a score over what the host would have if all hosts were seeds: it tells which part of what can
+    reach the host is trust, or distrust, however many others are reached. A host that no rule fits has no
+    say of its own in it.
     """
     mean = lambda v: F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0))
     hosts = pages.filter("host <> ''").groupBy("host").agg(mean("allow").alias("allow"), mean("block").alias("block"))
     hosts = T.checkpointed(hosts)
     edges = T.checkpointed(host_edges(pages))
-    trust = _propagated(edges, hosts.select("host", F.col("allow").alias("seed")), rounds, damping)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = _propagated(back, hosts.select("host", F.col("block").alias("seed")), rounds, damping)
-    x = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left")
-    x = x.join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
-    return x.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    every = hosts.select("host").unionByName(edges.select(F.col("dst").alias("host"))).distinct().withColumn("seed", F.lit(1.0))
+    every = T.checkpointed(every)
+    x = hosts
+    for name, seed, links in (("trust", "allow", edges), ("distrust", "block", back)):
+        seeds = hosts.select("host", F.col(seed).alias("seed"))
+        rank = T.checkpointed(_spread(links, seeds, rounds, damping))
+        most = _spread(links, every, rounds, damping).withColumnRenamed("r", "most")
+        x = x.join(_scaled(rank, seeds).withColumnRenamed("score", name), "host", "left").join(rank, "host", "left").join(most, "host", "left")
+        own = F.when(F.col("allow") + F.col("block") > 0, 0.0).otherwise(1 - damping)
+        part = F.when(F.col("r") > 0, F.col("r") / (F.col("most") - own)).otherwise(0.0)
+        x = x.withColumn(f"{name}_share", part).drop("r", "most")
+    return x.select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust", "trust_share", "distrust_share")])
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """(row, host, path, rule, trust, distrust, verdict) of each page.
 
-    Where a rule fits, its verdict holds. Else a page is blocked when its host's distrust exceeds its
-    trust by more than the threshold, and allowed otherwise. Null urls and urls without :// have an
+    Where a rule fits, its verdict holds. Else a page is blocked when its host's share of distrust
+    exceeds its share of trust by more than the threshold, and allowed otherwise. Null urls and urls without :// have an
     empty host and path and are allowed, with scores of 0; null html has no links; repeated rows are
     judged each; an empty table gives an empty result; all columns travel in `row`, or those that
     `keep` names: without the html among them no html is shuffled.
@@ -114,7 +135,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     salt = F.pmod(F.col("id_hash"), F.lit(SALTS)).cast("int")
     x = x.withColumn("salt", salt).join(hosts, ["host", "salt"], "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    method = F.when(distrust - trust > threshold, "block").otherwise("allow")
+    method = F.when(F.col("distrust_share") - F.col("trust_share") > threshold, "block").otherwise("allow")
     return x.select("row", "host", "path", "rule", trust.alias("trust"), distrust.alias("distrust"), F.coalesce("ruled", method).alias("verdict"))
 
 

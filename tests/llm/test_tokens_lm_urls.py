@@ -195,3 +195,11 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     rows = [(1, "http://bad.net/", ""), (2, "http://spam.io/", link("http://bad.net/a", "http://bad.net/b")), (3, "http://good.org/fr/", link("http://fine.io/")), (4, "http://fine.io/", None)]
     got = {r.row.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+@pytest.mark.parametrize("k", [1, 2, 10, 1_000])
+def test_distrust_does_not_thin_out_with_the_number_of_linkers(spark, k):
+    link = lambda n: "".join(f'<a href="http://u{j}.io/">x</a>' for j in range(n)) + '<a href="http://bad.net/">x</a>'
+    rows = [(0, "http://bad.net/", ""), *[(j, f"http://s{j}.io/", link(0)) for j in range(1, k + 1)], (-1, "http://portal.io/", link(9))]
+    got = {r.row.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "block", -1: "allow", **{j: "block" for j in range(1, k + 1)}}
