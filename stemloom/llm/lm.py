@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import text as T
 
 FOLDS, SCORED_FOLD, HELD_FOLD = 5, 1, 2
-#: Words that bigrams tell apart, the most frequent ones; all others are one class there.
+#: Words among which every task counts and knows all pairs, the most frequent ones. Other pairs are dealt out.
 VOCABULARY = 4_096
 #: Words whose counts every task knows; the counts of the others are joined.
 HEAD = 500_000
+#: Tokens that one piece of the dealt pairs has on average, and tokens after which a task deals.
+PIECE, DEALT = 3_000_000, 2_000_000
 FLUSH = 300_000
 #: Context counts from a power of two on share their mixture weights.
 BUCKETS = 48
@@ -66,226 +70,280 @@ def unigrams(train: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """Numbers of the head's words by frequency, and their counts. The first are the vocabulary."""
+    """Numbers of the head's words, the end and then by frequency, with counts in all training tokens and in the rest.
 
-    def __init__(self, words: list[str], counts: list[int], vocabulary: int):
-        self.words, self.counts = [w.encode() for w in words], np.asarray(counts, np.int64)
-        self.vocabulary = min(vocabulary, len(words))
+    Numbers start with 1; 0 is the start of a text, which as a context is as frequent as the end. The
+    first numbers are the vocabulary's. Words beyond the head have no number, here -1.
+    """
+
+    def __init__(self, words: list[str], counts: list[int], held: list[int], vocabulary: int, tokens: int, kinds: int):
+        start = 0 if words and words[0] == END else None
+        self.words = [w.encode() for w in words]
+        self.counts = np.array([0 if start is None else counts[0], *counts], np.int64)
+        self.rest = self.counts - np.array([0 if start is None else held[0], *held], np.int64)
+        self.vocabulary, self.tokens, self.kinds = min(vocabulary, len(words)), tokens, kinds
+        #: A pair is one number: context times this plus word.
+        self.width = len(words) + 1
+        self.key_bytes = max(1, ((self.width**2 - 1).bit_length() + 7) // 8)
 
     def open(self) -> None:
         if not hasattr(self, "number"):
-            self.number = {w: k for k, w in enumerate(self.words)}
+            self.number = {w: k for k, w in enumerate(self.words, 1)}
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Each word's number and that of the end; -1 for words beyond the head."""
-        get = self.number.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        return np.append(ids, get(END.encode(), -1))
+    def dense(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return (h >= 0) & (h <= self.vocabulary) & (w >= 0) & (w <= self.vocabulary)
 
-    @property
-    def other(self) -> int:
-        """The class of words beyond the vocabulary; the class after it is the start of a text."""
-        return self.vocabulary
 
-    def classes(self, numbers: np.ndarray) -> np.ndarray:
-        return np.where((numbers >= 0) & (numbers < self.vocabulary), numbers, self.other)
+def _zip(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True)
 
-    def contexts(self, classes: np.ndarray) -> np.ndarray:
-        return np.concatenate([[self.vocabulary + 1], classes[:-1]])
 
-    @property
-    def width(self) -> int:
-        return self.vocabulary + 2
+def _unzip(b: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def bigrams(train: DataFrame, lexicon) -> DataFrame:
-    """(h, w, c, held): counts of pairs of classes; no more rows than classes squared."""
+def encoded(docs: DataFrame, lexicon: Broadcast) -> DataFrame:
+    """(uid, doc_id, fold, n, ids, rare) of each row: numbers of the words and the end, hashes of those without."""
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         lex.open()
+        get = lex.number.get
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for part in T.portions(texts):
+                n, ids, rare = [], [], []
+                for text in texts[part]:
+                    words = [*_words(text), END.encode()]
+                    x = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+                    n.append(len(x))
+                    ids.append(_zip(x))
+                    rare.append(np.array([xxhash.xxh64_intdigest(words[k], 42) for k in np.flatnonzero(x < 0)], np.uint64).tobytes())
+                own = b.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("uid", "doc_id", "fold")], pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())], names=["uid", "doc_id", "fold", "n", "ids", "rare"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("uid", "doc_id", "fold", "text").mapInArrow(encode, f"uid long, doc_id {kind}, fold int, n int, ids binary, rare binary")
+
+
+def _portions(batches: Iterable[pa.RecordBatch], most: int = 500_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, place of each token's row among them, context, word)."""
+    for b in batches:
+        n = b.column("n").to_numpy()
+        cut = np.cumsum(n) // most
+        for k in np.unique(cut):
+            own = b.filter(pa.array(cut == k))
+            size = own.column("n").to_numpy().astype(np.int64)
+            w = np.concatenate([_unzip(x, m, np.int32) for x, m in zip(own.column("ids").to_pylist(), size, strict=True)]).astype(np.int64)
+            h = np.append(0, w[:-1])
+            h[np.cumsum(size) - size] = 0
+            yield own, np.repeat(np.arange(len(size)), size), h, w
+
+
+def bigrams(train: DataFrame, lexicon: Broadcast) -> DataFrame:
+    """(h, w, c, held): counts of pairs within the vocabulary; no more rows than its square."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = lexicon.value
         found: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             key, c = np.unique(np.concatenate(found), return_counts=True)
             pair, held = key // 2, key % 2
-            h, w = pair // lex.width, pair % lex.width
-            return pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int32()), "w": pa.array(w, pa.int32()), "c": pa.array(c, pa.int64()), "held": pa.array(c * held, pa.int64())})
-
-        for b in batches:
-            for text, part in zip(b.column("text").to_pylist(), b.column("held").to_pylist(), strict=True):
-                cls = lex.classes(lex.numbers(_words(text)))
-                found.append((lex.contexts(cls) * lex.width + cls) * 2 + bool(part))
-                size += len(cls)
-                if size >= 8_000_000:
-                    yield out()
-                    found, size = [], 0
+            return pa.RecordBatch.from_pydict({"h": pa.array(pair // lex.width, pa.int32()), "w": pa.array(pair % lex.width, pa.int32()), "c": pa.array(c, pa.int64()), "held": pa.array(c * held, pa.int64())})
+
+        for own, row, h, w in _portions(batches):
+            held = (own.column("fold").to_numpy() == HELD_FOLD)[row]
+            on = lex.dense(h, w)
+            found.append((h[on] * lex.width + w[on]) * 2 + held[on])
+            size += len(found[-1])
+            if size >= 8_000_000:
+                yield out()
+                found, size = [], 0
         if found:
             yield out()
 
-    x = train.select("text", "held").mapInArrow(count, "h int, w int, c long, held long")
+    x = train.select("fold", "n", "ids").mapInArrow(count, "h int, w int, c long, held long")
     return x.groupBy("h", "w").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
 
 
-def _bucket(count: Column) -> Column:
-    return F.least(F.floor(F.log2(count + 1)), F.lit(BUCKETS - 1)).cast("int")
+def dealt(docs: DataFrame, lexicon: Broadcast, pieces: int) -> DataFrame:
+    """(piece, base, tokens, runs, keys, places, counts): pairs of the head beyond the vocabulary, and their training counts.
 
+    All tokens of a pair come to one piece. One of a pair's words is beyond the vocabulary, so no pair
+    has more than one of VOCABULARY parts of the tokens. Tokens travel as packed arrays with the run lengths
+    of their rows: uid - base, times 4, plus 0 for the rest, 1 for scored and 2 for held-out rows.
+    """
+    lex = lexicon.value
+    size = lex.key_bytes
 
-def mixture_weights(pairs: DataFrame, words: DataFrame, vocabulary: int, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """[bucket, (bigram, unigram, uniform)]: weights that make the held-out tokens likeliest.
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows, base, total = [], [], None, 0
 
-    Estimates come from the rest of the training tokens; each round counts, in Spark, what share of
-    each held-out pair every component explains. Held-out tokens beyond the vocabulary enter by how
-    often the rest has their words, in powers of two.
-    """
-    spark = pairs.sparkSession
-    n_rest, v_rest = words.agg(F.sum(F.col("c") - F.col("held")), F.sum(F.when(F.col("c") > F.col("held"), 1).otherwise(0))).first()
-    weights = np.full((BUCKETS, 3), 1 / 3)
-    if not n_rest:
-        return weights
-    rest = F.col("c") - F.col("held")
-    ranked = words.filter("number is not null and number < %d" % vocabulary).select(F.col("number").cast("int").alias("w"), rest.alias("w_rest"))
-    tail = words.filter("number is null or number >= %d" % vocabulary).groupBy(F.floor(F.log2(rest + 1)).alias("b"))
-    tail = tail.agg(F.sum("held").alias("held"), F.sum(rest).alias("rest"), F.count(F.lit(1)).alias("kinds")).filter("held > 0").collect()  # one row a power of two
-    tail_held = sum(r.held for r in tail)
-    tail_rest = words.filter("number is null or number >= %d" % vocabulary).agg(F.sum(rest)).first()[0] or 0
-    ctx = pairs.groupBy("h").agg(F.sum(rest).alias("h_rest"), F.sum("c").alias("h_all"))
-    x = pairs.filter("held > 0").join(F.broadcast(ctx), "h")  # as many rows as the vocabulary
-    x = x.join(F.broadcast(ranked), "w", "left")  # the same
-    kinds = F.array(
-        *[F.struct(F.lit(r.held / tail_held).alias("part"), F.lit(float(r.rest / r.kinds)).alias("r")) for r in tail],
-    ) if tail else F.array(F.struct(F.lit(1.0).alias("part"), F.lit(0.0).alias("r")))
-    alone = F.array(F.struct(F.lit(1.0).alias("part"), F.coalesce("w_rest", F.lit(0)).cast("double").alias("r")))
-    is_tail = F.col("w") == vocabulary
-    x = x.withColumn("k", F.explode(F.when(is_tail, kinds).otherwise(alone)))
-    within = F.when(is_tail, F.col("k.r") / F.lit(float(max(tail_rest, 1)))).otherwise(1.0)
-    p2 = F.when(F.col("h_rest") > 0, rest / F.col("h_rest") * within).otherwise(0.0)
-    # the uniform share makes every token possible
-    x = x.select(_bucket(F.col("h_all")).alias("bucket"), (F.col("held") * F.col("k.part")).alias("n"), p2.alias("p2"), (F.col("k.r") / F.lit(float(n_rest))).alias("p1"))
-    x = T.checkpointed(x.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")))
-    p0 = 1 / (v_rest + 1)
-    for _ in range(rounds):
-        table = spark.createDataFrame([(k, *map(float, weights[k])) for k in range(BUCKETS)], "bucket int, l2 double, l1 double, l0 double")
-        y = x.join(F.broadcast(table), "bucket")
-        total = F.col("l2") * F.col("p2") + F.col("l1") * F.col("p1") + F.col("l0") * p0
-        y = y.groupBy("bucket").agg(*[F.sum(F.col("n") * F.col(f"l{k}") * p / total).alias(f"e{k}") for k, p in ((2, F.col("p2")), (1, F.col("p1")), (0, F.lit(p0)))])
-        for r in y.collect():  # BUCKETS rows at most
-            e = np.array([r.e2, r.e1, r.e0]) + 1e-3  # a hint of a prior keeps every weight above 0
-            weights[r.bucket] = e / e.sum()
-    seen = {r.bucket for r in x.select("bucket").distinct().collect()}
-    for k in range(BUCKETS):  # a bucket without held-out tokens takes the weights of the next lower one
-        if k not in seen and k:
-            weights[k] = weights[k - 1]
-    return weights
+        def out() -> pa.RecordBatch:
+            key, row = np.concatenate(keys), np.concatenate(rows)
+            piece = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(pieces)).astype(np.int64)
+            order = np.argsort(piece, kind="stable")
+            key, row = key[order], row[order]
+            found, first = np.unique(piece[order], return_index=True)
+            lines = []
+            for p, a, b in zip(found.tolist(), first, np.append(first[1:], len(key)), strict=True):
+                at = np.flatnonzero(np.diff(row[a:b], prepend=-1))
+                places = np.stack([np.diff(row[a:b][at], prepend=0), np.diff(at, append=b - a)])
+                lines.append((p, base, b - a, len(at), np.ascontiguousarray(key[a:b].view(np.uint8).reshape(-1, 8)[:, :size]).tobytes(), _zip(places)))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*lines, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["piece", "base", "tokens", "runs", "keys", "places"])
+
+        for own, row, h, w in _portions(batches):
+            uid, fold = own.column("uid").to_numpy(), own.column("fold").to_numpy()
+            base = int(uid[0]) if base is None else base
+            part = np.where(fold == SCORED_FOLD, 1, np.where(fold == HELD_FOLD, 2, 0))
+            on = (h >= 0) & (w >= 0) & ~lex.dense(h, w)
+            keys.append(h[on] * lex.width + w[on])
+            rows.append(((uid - base) * 4 + part)[row[on]])
+            total += len(keys[-1])
+            if total >= DEALT:
+                yield out()
+                keys, rows, base, total = [], [], None, 0
+        if total:
+            yield out()
 
+    def meet(t: pa.Table) -> pa.Table:
+        key = _keys(t, size)
+        _, at = np.unique(key, return_inverse=True)
+        part = np.concatenate([np.repeat(row & 3, n) for row, n in _places(t)])
+        c = np.bincount(at, part != 1).astype(np.int64)[at]
+        ends = np.cumsum(t.column("tokens").to_numpy())
+        return t.append_column("counts", pa.array([_zip(x) for x in np.split(c, ends[:-1])], pa.binary()))
 
-@dataclass
-class Model:
-    lexicon: Lexicon
-    keys: np.ndarray  # pairs with a count, sorted
-    counts: np.ndarray
-    per_context: np.ndarray  # [class, (bigram weight / context count, unigram weight / N, uniform)]
-    tokens: int
-    kinds: int
-    other_count: int
-
-    def scale(self, h: np.ndarray) -> np.ndarray:
-        return self.per_context[h]
-
-    def pair_counts(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(h))
-        key = h * self.lexicon.width + w
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.counts[at], 0).astype(float)
-
-
-def train(docs: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model of training documents (text, held), and the counts (word, c, held, number) of all their words."""
-    words = T.checkpointed(unigrams(docs))
-    top = words.orderBy(F.desc("c"), "word").limit(head).select("word", "c").toArrow()  # `head` rows at most
-    lexicon = Lexicon(top.column("word").to_pylist(), top.column("c").to_pylist(), vocabulary)
-    spark = docs.sparkSession
-    n, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    pairs = T.checkpointed(bigrams(docs, spark.sparkContext.broadcast(lexicon)))
-    frequent = spark.createDataFrame(pa.table({"word": pa.array([w.decode() for w in lexicon.words[: lexicon.vocabulary]], pa.string()), "number": pa.array(range(lexicon.vocabulary), pa.int32())}))
-    numbered = words.join(F.broadcast(frequent), "word", "left")  # `vocabulary` rows
-    weights = mixture_weights(pairs, numbered, lexicon.vocabulary)
-    got = pairs.select("h", "w", "c").toArrow()  # classes squared at most
-    h, w, c = (got.column(k).to_numpy().astype(np.int64) for k in ("h", "w", "c"))
-    key = h * lexicon.width + w
-    order = np.argsort(key)
-    contexts = np.bincount(h, c, lexicon.width)
-    bucket = np.minimum(np.floor(np.log2(contexts + 1)).astype(int), BUCKETS - 1)
-    lam = weights[bucket]
-    lam[contexts == 0] = [0.0, *(lam[contexts == 0][0, 1:] / lam[contexts == 0][0, 1:].sum())] if (contexts == 0).any() else [0.0, 0.5, 0.5]
-    per_context = np.stack([lam[:, 0] / np.maximum(contexts, 1), lam[:, 1] / max(n, 1), lam[:, 2] / (kinds + 1)], 1)
-    other = int(n - lexicon.counts[: lexicon.vocabulary].sum())
-    return Model(lexicon, key[order], c[order].astype(np.int32), per_context, int(n), int(kinds), other), words
+    x = docs.select("uid", "fold", "n", "ids").mapInArrow(deal, "piece int, base long, tokens int, runs int, keys binary, places binary")
+    return x.groupBy("piece").applyInArrow(meet, "piece int, base long, tokens int, runs int, keys binary, places binary, counts binary")
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """(doc_id, th, n_tokens, n_known, base_score, score) of each row of docs (doc_id, text, th).
+def _keys(t: pa.Table, size: int) -> np.ndarray:
+    packed = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint8).reshape(-1, size)
+    out = np.zeros((len(packed), 8), np.uint8)
+    out[:, :size] = packed
+    return out.view(np.int64).ravel()
 
-    Tokens of the head are scored where the text is read; the others, with their context, are joined
-    with their counts. Rare words have no hot keys.
+
+def _places(t: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, tokens) of the runs of each line."""
+    for x, n in zip(t.column("places").to_pylist(), t.column("runs").to_pylist(), strict=True):
+        row, times = _unzip(x, 2 * n, np.int64).reshape(2, n)
+        yield np.cumsum(row), times
+
+
+def _line(t: pa.RecordBatch, k: int, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tokens in it, pair, its context's number, its count) of one line of dealt()."""
+    t = t.slice(k, 1)
+    row, times = next(_places(t))
+    key = _keys(t, lex.key_bytes)
+    return row, times, key, key // lex.width, _unzip(t.column("counts")[0].as_py(), len(key), np.int64)
+
+
+def rare(docs: DataFrame, words: DataFrame, lexicon: Broadcast) -> DataFrame:
+    """(uid, fold, own, c, held, hc, hr, wc, wr): tokens that are beyond the head, or that follow such a word.
+
+    own: the token itself is beyond the head. c, held: counts of the pair; hc, hr, wc, wr: of the context and
+    the word, in all training tokens and in the rest. No word beyond the head is a hot key, and the
+    counts of the other words are at hand and join nothing.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        lex = m.lexicon
-        lex.open()
-        base_of = np.log10((lex.counts + 0.5) / (m.tokens + 0.5 * (m.kinds + 1)))
+        lex = lexicon.value
+        for b, row, h, w in _portions(batches):
+            at = np.flatnonzero((h < 0) | (w < 0))
+            code = w.copy()
+            code[w < 0] = np.frombuffer(b"".join(b.column("rare").to_pylist()), np.int64)
+            before = np.where(h < 0, np.append(0, code[:-1]), h)
+            cols = [b.column(c).to_numpy()[row[at]] for c in ("uid", "fold")] + [before[at], code[at]]
+            for x in (h[at], w[at]):
+                cols += [pa.array(y[np.maximum(x, 0)], pa.int64(), mask=x < 0) for y in (lex.counts, lex.rest)]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["uid", "fold", "h", "w", "hc", "hr", "wc", "wr"])
+
+    x = docs.select("uid", "fold", "n", "ids", "rare").mapInArrow(read, "uid long, fold int, h long, w long, hc long, hr long, wc long, wr long")
+    pair = W.partitionBy("h", "w")
+    x = x.withColumn("own", F.col("wc").isNull())
+    x = x.withColumn("c", F.sum(F.when(F.col("fold") != SCORED_FOLD, 1).otherwise(0)).over(pair)).withColumn("held", F.sum(F.when(F.col("fold") == HELD_FOLD, 1).otherwise(0)).over(pair))
+    counts = words.select(F.xxhash64("word").alias("code"), F.col("c").alias("all"), (F.col("c") - F.col("held")).alias("rest"))
+    for k in ("h", "w"):
+        x = x.withColumn("code", F.when(F.col(f"{k}c").isNull(), F.col(k)).otherwise(F.xxhash64("uid", "h", "w"))).join(counts, "code", "left")
+        x = x.withColumns({f"{k}c": F.coalesce(f"{k}c", "all", F.lit(0)), f"{k}r": F.coalesce(f"{k}r", "rest", F.lit(0))}).drop("code", "all", "rest")
+    return x.select("uid", "fold", "own", "c", "held", "hc", "hr", "wc", "wr")
+
+
+def _buckets(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.log2(counts + 1)).astype(int), BUCKETS - 1)
+
+
+def _held(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows (bucket, p2, p1, n): what held-out tokens get from the bigram and the unigram, equal ones together."""
+    x = np.stack([bucket.astype(float), p2, p1], 1)
+    x, at = np.unique(x.view("f8,f8,f8").ravel(), return_inverse=True)
+    return np.column_stack([x.view(float).reshape(-1, 3), np.bincount(at, n)])
+
+
+def _explained(x: np.ndarray, weights: np.ndarray, p0: float) -> np.ndarray:
+    """[bucket, component]: how many of the held-out tokens each component explains, then how many there are."""
+    bucket, part = x[:, 0].astype(int), weights[x[:, 0].astype(int)] * np.column_stack([x[:, 1], x[:, 2], np.full(len(x), p0)])
+    part *= (x[:, 3] / part.sum(1))[:, None]
+    return np.stack([np.bincount(bucket, p, BUCKETS) for p in (*part.T, x[:, 3])], 1)
+
+
+def mixture_weights(dense: np.ndarray, pairs: DataFrame, loose: DataFrame, lexicon: Broadcast, n_rest: int, v_rest: int, rounds: int = EM_ROUNDS) -> np.ndarray:
+    """[bucket, (bigram, unigram, uniform)]: weights that make the held-out tokens likeliest.
+
+    Estimates come from the rest of the training tokens; each round counts what share of each held-out
+    pair every component explains, of the vocabulary's pairs (h, w, c, held) here and of all others in Spark.
+    """
+    weights = np.full((BUCKETS, 3), 1 / 3)
+    if not n_rest:
+        return weights
+
+    def held_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = lexicon.value
+        for t in batches:
+            t = pa.Table.from_batches([t])
+            key, part = _keys(t, lex.key_bytes), np.concatenate([np.repeat(row & 3, n) for row, n in _places(t)])
+            c = np.concatenate([_unzip(x, n, np.int64) for x, n in zip(t.column("counts").to_pylist(), t.column("tokens").to_pylist(), strict=True)])
+            u, first, n = np.unique(key[part == 2], return_index=True, return_counts=True)
+            h, w, rest = u // lex.width, u % lex.width, c[part == 2][first] - n
+            yield blob(_held(_buckets(lex.counts[h]), rest / np.maximum(lex.rest[h], 1), lex.rest[w] / n_rest, n))
+
+    def held_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for part in T.portions(texts):
-                sums, at, rare, context = [], [], [], []
-                for k in range(part.start, part.stop):
-                    own = _words(texts[k])
-                    numbers = lex.numbers(own)
-                    cls = lex.classes(numbers)
-                    h = lex.contexts(cls)
-                    known = numbers >= 0
-                    a = m.scale(h[known])
-                    c = lex.counts[numbers[known]]
-                    within = np.where(cls[known] == lex.other, c / max(m.other_count, 1), 1.0)
-                    p = a[:, 0] * m.pair_counts(h[known], cls[known]) * within + a[:, 1] * c + a[:, 2]
-                    sums.append((len(numbers), int(known.sum()), float(base_of[numbers[known]].sum()), float(np.log10(p).sum())))
-                    for i in np.flatnonzero(~known):
-                        at.append(k)
-                        rare.append(own[i].decode("utf-8", "replace") if i < len(own) else END)
-                        context.append(int(h[i]))
-                rows, none = part.stop - part.start, len(at)
-                place = pa.array([*range(part.start, part.stop), *at])
-                n, known_n, base, full = zip(*sums, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").take(place), b.column("th").take(place), pa.array([None] * rows + rare, pa.string()), pa.array([None] * rows + context, pa.int32()),
-                        pa.array([*n, *[0] * none], pa.int64()), pa.array([*known_n, *[0] * none], pa.int64()), pa.array([*base, *[0.0] * none]), pa.array([*full, *[0.0] * none]),
-                    ],
-                    names=["doc_id", "th", "word", "h", "n", "known", "base", "score"],
-                )
-
-    x = docs.select("doc_id", "th", "text").mapInArrow(read, f"doc_id {id_type}, th long, word string, h int, n long, known long, base double, score double")
-    other = np.full(model.lexicon.width, model.lexicon.other)
-    h = np.arange(model.lexicon.width)
-    slope = model.per_context[:, 0] * model.pair_counts(h, other) / max(model.other_count, 1) + model.per_context[:, 1]
-    lines = spark.createDataFrame(pa.table({"h": pa.array(h, pa.int32()), "slope": slope, "floor": model.per_context[:, 2]}))
-    x = x.join(words.select("word", "c"), "word", "left").join(F.broadcast(lines), "h", "left")  # a row a class
-    c, rare = F.coalesce("c", F.lit(0)), F.col("word").isNotNull()
-    base = F.when(rare, F.log10((c + 0.5) / F.lit(model.tokens + 0.5 * (model.kinds + 1)))).otherwise(F.col("base"))
-    full = F.when(rare, F.log10(F.col("slope") * c + F.col("floor"))).otherwise(F.col("score"))
-    known = F.when(rare & (c > 0), 1).otherwise(F.col("known"))
-    x = x.groupBy("doc_id", "th").agg(
-        F.sum(F.when(rare, 0).otherwise(1)).alias("rows"), F.sum("n").alias("n"), F.sum(known).alias("known"), F.sum(base).alias("base"), F.sum(full).alias("full")
-    )
-    rows = F.col("rows")
-    x = x.withColumn("again", F.explode(F.sequence(F.lit(1), rows.cast("int"))))
-    return x.select("doc_id", "th", (F.col("n") / rows).cast("long").alias("n_tokens"), (F.col("known") / rows).cast("long").alias("n_known"), (F.col("base") / rows).alias("base_score"), (F.col("full") / rows).alias("score"))
+            c, held, hc, hr, wr = (b.column(k).to_numpy() for k in ("c", "held", "hc", "hr", "wr"))
+            yield blob(_held(_buckets(hc), (c - held) / np.maximum(hr, 1), wr / n_rest, np.ones(len(c))))
+
+    def blob(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"x": pa.array([x.tobytes()], pa.binary())})
+
+    # all lines of a piece in one batch, or a pair's held-out tokens would be counted in parts
+    whole = pairs.groupBy("piece").applyInArrow(lambda t: pa.Table.from_batches([*held_pairs([t.combine_chunks().to_batches()[0]])]), "x binary")
+    x = T.checkpointed(whole.unionByName(loose.filter(F.col("fold") == HELD_FOLD).select("c", "held", "hc", "hr", "wr").mapInArrow(held_rows, "x binary")))
+    lex = lexicon.value
+    h, w, c, held = (y[dense[3] > 0] for y in dense)
+    own = _held(_buckets(lex.counts[h]), (c - held) / np.maximum(lex.rest[h], 1), lex.rest[w] / n_rest, held)
+    p0 = 1 / (v_rest + 1)
+    for _ in range(rounds):
+        now = weights.copy()
+
+        def expect(batches: Iterable[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((BUCKETS, 4))
+            for b in batches:
+                for y in b.column("x").to_pylist():
+                    total += _explained(np.frombuffer(y).reshape(-1, 4), now, p0)
+            yield blob(total)
+
+        e = _explained(own, now, p0) + sum(np.frombuffer(r.x).reshape(BUCKETS, 4) for r in x.mapInArrow(expect, "x binary").collect())  # a row a task
+        seen = e[:, 3] > 0
+        part = e[:, :3] + 1e-3  # a hint of a prior keeps every weight above 0
+        weights[seen] = (part / part.sum(1, keepdims=True))[seen]
+    for k in range(1, BUCKETS):  # a bucket without held-out tokens takes the weights of the next lower one
+        if not seen[k]:
+            weights[k] = weights[k - 1]
+    return weights
 
 
 def score_corpus(docs: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD) -> DataFrame:
@@ -293,18 +351,82 @@ def score_corpus(docs: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD
 
     The model is a mixture of the bigram, unigram and uniform estimates of a token; weights belong to
     powers of two of the context's count and come from expectation-maximisation on one fold of the
-    training documents against the others. Counts are of all training tokens. Words beyond the
-    vocabulary are one class for bigrams, within which they follow their own counts, so the
+    training documents against the others. Counts are of all training tokens, pairs are those of all words:
+    `vocabulary` and `head` say only which counts each task holds and which are joined. The
     probabilities of all known words and one unknown word sum to 1 after any context.
 
     Null texts count as empty: the end alone; a null doc_id counts as an empty text for its fold;
     rows with an equal doc_id and text each get a row; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     x = docs.select(F.col("`doc_id`").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
-    x = x.withColumn("fold", _fold(F.col("doc_id"))).withColumn("th", F.xxhash64("text"))
-    model, words = train(x.filter(F.col("fold") != SCORED_FOLD).select("text", (F.col("fold") == HELD_FOLD).alias("held")), vocabulary, head)
-    y = score(x, model, words)
-    return y.select("doc_id", (_fold(F.col("doc_id")) == SCORED_FOLD).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    x = x.withColumn("fold", _fold(F.col("doc_id")).cast("int")).withColumn("uid", F.monotonically_increasing_id())
+    in_training = F.col("fold") != SCORED_FOLD
+    words = T.checkpointed(unigrams(x.filter(in_training).select("text", (F.col("fold") == HELD_FOLD).alias("held"))))
+    top = words.orderBy(F.desc(F.col("word") == END), F.desc("c"), "word").limit(head).select("word", "c", "held").toArrow()  # `head` rows at most
+    rest = F.col("c") - F.col("held")
+    n, kinds, n_rest, v_rest = words.agg(*[F.coalesce(y, F.lit(0)) for y in (F.sum("c"), F.count(F.lit(1)), F.sum(rest), F.sum(F.when(rest > 0, 1).otherwise(0)))]).first()
+    lexicon = spark.sparkContext.broadcast(Lexicon(*[top.column(c).to_pylist() for c in ("word", "c", "held")], vocabulary, n, kinds))
+    lex = lexicon.value
+    x = T.checkpointed(encoded(x, lexicon))
+    got = bigrams(x.filter(in_training), lexicon).toArrow()  # the vocabulary squared at most
+    dense = np.stack([got.column(k).to_numpy().astype(np.int64) for k in ("h", "w", "c", "held")])
+    tokens = x.agg(F.sum("n")).first()[0] or 0
+    pairs = T.checkpointed(dealt(x, lexicon, -(-tokens // PIECE) or 1))
+    loose = T.checkpointed(rare(x, words, lexicon))
+    weights = mixture_weights(dense, pairs, loose, lexicon, n_rest, v_rest)
+    key = dense[0] * lex.width + dense[1]
+    order = np.argsort(key)
+    shared = spark.sparkContext.broadcast((key[order], dense[2][order].astype(np.int32)))
+    unseen = np.array([0.0, *(weights[0, 1:] / weights[0, 1:].sum())])  # after a context without a count
+
+    def estimate(h_count: np.ndarray, c: np.ndarray, w_count: np.ndarray) -> np.ndarray:
+        a = np.where((h_count > 0)[:, None], weights[_buckets(h_count)], unseen)
+        return a[:, 0] * c / np.maximum(h_count, 1) + a[:, 1] * w_count / max(n, 1) + a[:, 2] / (kinds + 1)
+
+    def base_of(c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (n + 0.5 * (kinds + 1)))
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = lexicon.value
+        keys, counts = shared.value
+        for own, row, h, w in _portions(batches):
+            known, on = w >= 0, m.dense(h, w)
+            pair = h[on] * m.width + w[on]
+            at = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+            c = np.where(keys[at] == pair, counts[at], 0) if len(keys) else np.zeros(len(pair))
+            p = np.log10(estimate(m.counts[h[on]], c, m.counts[w[on]]))
+            sums = [np.bincount(row[known], minlength=len(own)).astype(np.int64), *[np.bincount(row[k], y, len(own)).astype(float) for k, y in ((known, base_of(m.counts[w[known]])), (on, p))]]
+            yield pa.RecordBatch.from_arrays([own.column("uid"), own.column("doc_id"), own.column("fold"), own.column("n"), *[pa.array(y, k) for y, k in zip(sums, (pa.int64(), pa.float64(), pa.float64()), strict=True)]], names=["uid", "doc_id", "fold", "n", "known", "base", "score"])
+
+    def apart(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = lexicon.value
+        for b in batches:
+            for k in range(len(b)):
+                row, times, key, h, c = _line(b, k, m)
+                p = np.log10(estimate(m.counts[h], c, m.counts[key % m.width]))
+                sums = np.add.reduceat(p, np.cumsum(times) - times)
+                yield pa.RecordBatch.from_arrays([b.column("base").slice(k, 1), pa.array([len(row)], pa.int32()), pa.array([_zip(row >> 2)], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["base", "runs", "rows", "sums"])
+
+    def together(t: pa.Table) -> pa.Table:
+        row = np.concatenate([_unzip(x, k, np.int64) for x, k in zip(t.column("rows").to_pylist(), t.column("runs").to_pylist(), strict=True)])
+        found, at = np.unique(row, return_inverse=True)
+        return pa.table({"uid": found + t.column("base")[0].as_py(), "full": np.bincount(at, np.frombuffer(b"".join(t.column("sums").to_pylist())))})
+
+    def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c, hc, wc, own = (b.column(k).to_numpy(zero_copy_only=False) for k in ("c", "hc", "wc", "own"))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array((own & (wc > 0)).astype(np.int64)), pa.array(np.where(own, base_of(wc), 0.0)), pa.array(np.log10(estimate(hc, c, wc)))], names=["uid", "known", "base", "score"])
+
+    kind = x.schema["doc_id"].dataType.simpleString()
+    y = x.select("uid", "doc_id", "fold", "n", "ids").mapInArrow(whole, f"uid long, doc_id {kind}, fold int, n int, known long, base double, score double")
+    tail = pairs.mapInArrow(apart, "base long, runs int, rows binary, sums binary").groupBy("base").applyInArrow(together, "uid long, full double")
+    few = loose.select("uid", "c", "hc", "wc", "own").mapInArrow(alone, "uid long, known long, base double, score double")
+    parts = tail.select("uid", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("full").alias("score")).unionByName(few)
+    parts = parts.groupBy("uid").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
+    y = y.join(parts, "uid", "left")
+    more = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    return y.select("doc_id", (F.col("fold") == SCORED_FOLD).alias("held_out"), F.col("n").cast("long").alias("n_tokens"), more("known", "k").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), more("base", "b").alias("base_score"), more("score", "s").alias("score"))
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

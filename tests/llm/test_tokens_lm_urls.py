@@ -203,3 +203,12 @@ def test_distrust_does_not_thin_out_with_the_number_of_linkers(spark, k):
     rows = [(0, "http://bad.net/", ""), *[(j, f"http://s{j}.io/", link(0)) for j in range(1, k + 1)], (-1, "http://portal.io/", link(9))]
     got = {r.row.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: "block", -1: "allow", **{j: "block" for j in range(1, k + 1)}}
+
+
+def test_pairs_of_all_words_count(spark):
+    rows = [(i, f"rare{i % 40} tail{i % 40} " * 3) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r.doc_id: r.score for r in lm.score_corpus(docs, v, h).collect()} for v, h in ((4, 20), (4, 500_000), (4_096, 500_000))]
+    assert all(abs(a[k] - got[2][k]) < 1e-6 * abs(got[2][k]) for a in got for k in got[2])
+    # each word but the first is certain after the one before it
+    assert all(x > 3.5 * -math.log10(40) for x in got[0].values())
