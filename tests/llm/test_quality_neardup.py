@@ -1,5 +1,6 @@
 """Quality rules and the near-duplicate join against brute force."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -29,6 +30,19 @@ def test_repeats_by_brute_force(spark):
         assert quality.base_counts(r.text, w)[4] == len(marked)
 
 
+def test_lengths_without_labels_are_judged(spark):
+    rng = random.Random(4)
+    plain = "the river was slow and people often walked along its green banks when evening light fell over small towns near water while children played with old boats made from paper or wood".split()
+    some = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    noise = lambda n: " ".join("".join(rng.choice("qxzjvkwQXZJ") for _ in range(7)) for _ in range(n))
+    rows = [(i, some(300), "en") for i in range(60)] + [(100, some(12_000), "en"), (101, noise(12_000), "en"), (102, some(60), "en"), (103, noise(60), "en"), (104, noise(300), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judge(docs, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).select("row.doc_id", "base_failed", "kept").collect()}
+    assert not any(got[k].base_failed for k in (101, 103, 104))
+    assert not any(got[k].kept for k in (101, 103, 104))
+    assert got[100].kept == (not got[100].base_failed) and got[102].kept == (not got[102].base_failed)
+
+
 def test_judge(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = T.documents(spark, d), T.table(spark, d, "labels")
