@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import Broadcast
@@ -18,7 +19,7 @@ from . import text as T
 
 FOLDS, SCORED_FOLD, HELD_FOLD = 5, 1, 2
 #: Words among which every task counts and knows all pairs, the most frequent ones. Other pairs are dealt out.
-VOCABULARY = 4_096
+VOCABULARY = 2_048
 #: Words whose counts every task knows; the counts of the others are joined.
 HEAD = 500_000
 #: Tokens that one piece of the dealt pairs has on average, and tokens after which a task deals.
@@ -168,15 +169,16 @@ def bigrams(train: DataFrame, lexicon: Broadcast) -> DataFrame:
     return x.groupBy("h", "w").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
 
 
-def dealt(docs: DataFrame, lexicon: Broadcast, pieces: int) -> DataFrame:
-    """(piece, base, tokens, runs, keys, places, counts): pairs of the head beyond the vocabulary, and their training counts.
+def dealt(docs: DataFrame, lexicon: Broadcast, pieces: int, n_rest: int) -> DataFrame:
+    """(piece, base, tokens, runs, keys, places, counts, held): pairs of the head beyond the vocabulary, and their training counts.
 
     All tokens of a pair come to one piece. One of a pair's words is beyond the vocabulary, so no pair
     has more than one of VOCABULARY parts of the tokens. Tokens travel as packed arrays with the run lengths
-    of their rows: uid - base, times 4, plus 0 for the rest, 1 for scored and 2 for held-out rows.
+    of their rows: uid - base, times 4, plus 0 for the rest, 1 for scored and 2 for held-out rows. One line
+    of each piece has in `held` what the piece's held-out tokens get, as `_held` has it.
     """
     lex = lexicon.value
-    size = lex.key_bytes
+    size, width = lex.key_bytes, lex.width
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows, base, total = [], [], None, 0
@@ -214,10 +216,14 @@ def dealt(docs: DataFrame, lexicon: Broadcast, pieces: int) -> DataFrame:
         part = np.concatenate([np.repeat(row & 3, n) for row, n in _places(t)])
         c = np.bincount(at, part != 1).astype(np.int64)[at]
         ends = np.cumsum(t.column("tokens").to_numpy())
-        return t.append_column("counts", pa.array([_zip(x) for x in np.split(c, ends[:-1])], pa.binary()))
+        u, first, n = np.unique(key[part == 2], return_index=True, return_counts=True)
+        m, h, w, rest = lexicon.value, u // width, u % width, c[part == 2][first] - n
+        held = _held(_buckets(m.counts[h]), rest / np.maximum(m.rest[h], 1), m.rest[w] / max(n_rest, 1), n).tobytes()
+        t = t.append_column("counts", pa.array([_zip(x) for x in np.split(c, ends[:-1])], pa.binary()))
+        return t.append_column("held", pa.array([held] + [None] * (len(t) - 1), pa.binary()))
 
     x = docs.select("uid", "fold", "n", "ids").mapInArrow(deal, "piece int, base long, tokens int, runs int, keys binary, places binary")
-    return x.groupBy("piece").applyInArrow(meet, "piece int, base long, tokens int, runs int, keys binary, places binary, counts binary")
+    return x.groupBy("piece").applyInArrow(meet, "piece int, base long, tokens int, runs int, keys binary, places binary, counts binary, held binary")
 
 
 def _keys(t: pa.Table, size: int) -> np.ndarray:
@@ -243,34 +249,51 @@ def _line(t: pa.RecordBatch, k: int, lex: Lexicon) -> tuple[np.ndarray, np.ndarr
 
 
 def rare(docs: DataFrame, words: DataFrame, lexicon: Broadcast) -> DataFrame:
-    """(uid, fold, own, c, held, hc, hr, wc, wr): tokens that are beyond the head, or that follow such a word.
-
-    own: the token itself is beyond the head. c, held: counts of the pair; hc, hr, wc, wr: of the context and
-    the word, in all training tokens and in the rest. No word beyond the head is a hot key, and the
-    counts of the other words are at hand and join nothing.
+    """(uid, kind, h, w, c, held, ac, ar, hc, hr): tokens that are beyond the head, or that follow such a word.
+
+    h, w: the context and the word, by number or, beyond the head, by hash. kind: 4 times the fold, plus
+    2 where the context and 1 where the word is beyond the head. c, held: counts of the pair; ac, ar: of
+    the word or else the context that is beyond the head, in all training tokens and in the rest; hc, hr:
+    of the context, where both are. Counts of the other words are at hand. All tokens that a word beyond
+    the head is part of meet at that word, which is no hot key as the head has all words that are more
+    frequent; few tokens have two such words, and the counts of their contexts are joined.
     """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = lexicon.value
         for b, row, h, w in _portions(batches):
             at = np.flatnonzero((h < 0) | (w < 0))
             code = w.copy()
             code[w < 0] = np.frombuffer(b"".join(b.column("rare").to_pylist()), np.int64)
             before = np.where(h < 0, np.append(0, code[:-1]), h)
-            cols = [b.column(c).to_numpy()[row[at]] for c in ("uid", "fold")] + [before[at], code[at]]
-            for x in (h[at], w[at]):
-                cols += [pa.array(y[np.maximum(x, 0)], pa.int64(), mask=x < 0) for y in (lex.counts, lex.rest)]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=["uid", "fold", "h", "w", "hc", "hr", "wc", "wr"])
-
-    x = docs.select("uid", "fold", "n", "ids", "rare").mapInArrow(read, "uid long, fold int, h long, w long, hc long, hr long, wc long, wr long")
-    pair = W.partitionBy("h", "w")
-    x = x.withColumn("own", F.col("wc").isNull())
-    x = x.withColumn("c", F.sum(F.when(F.col("fold") != SCORED_FOLD, 1).otherwise(0)).over(pair)).withColumn("held", F.sum(F.when(F.col("fold") == HELD_FOLD, 1).otherwise(0)).over(pair))
-    counts = words.select(F.xxhash64("word").alias("code"), F.col("c").alias("all"), (F.col("c") - F.col("held")).alias("rest"))
-    for k in ("h", "w"):
-        x = x.withColumn("code", F.when(F.col(f"{k}c").isNull(), F.col(k)).otherwise(F.xxhash64("uid", "h", "w"))).join(counts, "code", "left")
-        x = x.withColumns({f"{k}c": F.coalesce(f"{k}c", "all", F.lit(0)), f"{k}r": F.coalesce(f"{k}r", "rest", F.lit(0))}).drop("code", "all", "rest")
-    return x.select("uid", "fold", "own", "c", "held", "hc", "hr", "wc", "wr")
+            kind = b.column("fold").to_numpy()[row[at]] * 4 + (h[at] < 0) * 2 + (w[at] < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.column("uid").to_numpy()[row[at]], kind.astype(np.int32), before[at], code[at])], names=["uid", "kind", "h", "w"])
+
+    x = docs.select("uid", "fold", "n", "ids", "rare").mapInArrow(read, "uid long, kind int, h long, w long")
+    own, fold = F.col("kind") % 2 == 1, F.floor(F.col("kind") / 4)
+    x = x.withColumn("a", F.when(own, F.col("w")).otherwise(F.col("h"))).repartition("a")
+    pair, anchor = W.partitionBy("a", "h", "w"), W.partitionBy("a")
+    one = lambda on: F.when(on, 1).otherwise(0)
+    x = x.withColumn("c", F.sum(one(fold != SCORED_FOLD)).over(pair)).withColumn("held", F.sum(one(fold == HELD_FOLD)).over(pair))
+    x = x.withColumn("ac", F.sum(one(own & (fold != SCORED_FOLD))).over(anchor))
+    x = x.withColumn("ar", F.col("ac") - F.sum(one(own & (fold == HELD_FOLD))).over(anchor)).drop("a")
+    none = F.lit(None).cast("long")
+    two = x.filter("kind % 4 = 3")
+    counts = words.select(F.xxhash64("word").alias("code"), F.col("c").alias("hc"), (F.col("c") - F.col("held")).alias("hr"))
+    two = two.join(counts, two["h"] == counts["code"], "left").drop("code")
+    return x.filter("kind % 4 < 3").withColumns({"hc": none, "hr": none}).unionByName(two)
+
+
+def _counts(b: pa.RecordBatch, lex: Lexicon) -> tuple[np.ndarray, ...]:
+    """(fold, own, c, held, hc, hr, wc, wr) of each token of rare(); own: the token itself is beyond the head."""
+    kind, h, w, c, held, ac, ar = (b.column(k).to_numpy() for k in ("kind", "h", "w", "c", "held", "ac", "ar"))
+    hc, hr = (pc.fill_null(b.column(k), 0).to_numpy() for k in ("hc", "hr"))
+    rare_h, own = kind & 2 > 0, kind & 1 > 0
+    h, w = np.where(rare_h, 0, h), np.where(own, 0, w)
+    return (
+        kind >> 2, own, c, held,
+        np.where(rare_h, np.where(own, hc, ac), lex.counts[h]), np.where(rare_h, np.where(own, hr, ar), lex.rest[h]),
+        np.where(own, ac, lex.counts[w]), np.where(own, ar, lex.rest[w]),
+    )
 
 
 def _buckets(counts: np.ndarray) -> np.ndarray:
@@ -301,27 +324,17 @@ def mixture_weights(dense: np.ndarray, pairs: DataFrame, loose: DataFrame, lexic
     if not n_rest:
         return weights
 
-    def held_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = lexicon.value
-        for t in batches:
-            t = pa.Table.from_batches([t])
-            key, part = _keys(t, lex.key_bytes), np.concatenate([np.repeat(row & 3, n) for row, n in _places(t)])
-            c = np.concatenate([_unzip(x, n, np.int64) for x, n in zip(t.column("counts").to_pylist(), t.column("tokens").to_pylist(), strict=True)])
-            u, first, n = np.unique(key[part == 2], return_index=True, return_counts=True)
-            h, w, rest = u // lex.width, u % lex.width, c[part == 2][first] - n
-            yield blob(_held(_buckets(lex.counts[h]), rest / np.maximum(lex.rest[h], 1), lex.rest[w] / n_rest, n))
-
     def held_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, held, hc, hr, wr = (b.column(k).to_numpy() for k in ("c", "held", "hc", "hr", "wr"))
+            _, _, c, held, hc, hr, _, wr = _counts(b, lexicon.value)
             yield blob(_held(_buckets(hc), (c - held) / np.maximum(hr, 1), wr / n_rest, np.ones(len(c))))
 
     def blob(x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"x": pa.array([x.tobytes()], pa.binary())})
 
-    # all lines of a piece in one batch, or a pair's held-out tokens would be counted in parts
-    whole = pairs.groupBy("piece").applyInArrow(lambda t: pa.Table.from_batches([*held_pairs([t.combine_chunks().to_batches()[0]])]), "x binary")
-    x = T.checkpointed(whole.unionByName(loose.filter(F.col("fold") == HELD_FOLD).select("c", "held", "hc", "hr", "wr").mapInArrow(held_rows, "x binary")))
+    whole = pairs.filter("held is not null").select(F.col("held").alias("x"))
+    few = loose.filter(F.floor(F.col("kind") / 4) == HELD_FOLD).drop("uid").mapInArrow(held_rows, "x binary")
+    x = T.checkpointed(whole.unionByName(few))
     lex = lexicon.value
     h, w, c, held = (y[dense[3] > 0] for y in dense)
     own = _held(_buckets(lex.counts[h]), (c - held) / np.maximum(lex.rest[h], 1), lex.rest[w] / n_rest, held)
@@ -372,7 +385,7 @@ def score_corpus(docs: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD
     got = bigrams(x.filter(in_training), lexicon).toArrow()  # the vocabulary squared at most
     dense = np.stack([got.column(k).to_numpy().astype(np.int64) for k in ("h", "w", "c", "held")])
     tokens = x.agg(F.sum("n")).first()[0] or 0
-    pairs = T.checkpointed(dealt(x, lexicon, -(-tokens // PIECE) or 1))
+    pairs = T.checkpointed(dealt(x, lexicon, -(-tokens // PIECE) or 1, n_rest))
     loose = T.checkpointed(rare(x, words, lexicon))
     weights = mixture_weights(dense, pairs, loose, lexicon, n_rest, v_rest)
     key = dense[0] * lex.width + dense[1]
@@ -415,13 +428,13 @@ def score_corpus(docs: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD
 
     def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, hc, wc, own = (b.column(k).to_numpy(zero_copy_only=False) for k in ("c", "hc", "wc", "own"))
+            _, own, c, _, hc, _, wc, _ = _counts(b, lexicon.value)
             yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array((own & (wc > 0)).astype(np.int64)), pa.array(np.where(own, base_of(wc), 0.0)), pa.array(np.log10(estimate(hc, c, wc)))], names=["uid", "known", "base", "score"])
 
     kind = x.schema["doc_id"].dataType.simpleString()
     y = x.select("uid", "doc_id", "fold", "n", "ids").mapInArrow(whole, f"uid long, doc_id {kind}, fold int, n int, known long, base double, score double")
-    tail = pairs.mapInArrow(apart, "base long, runs int, rows binary, sums binary").groupBy("base").applyInArrow(together, "uid long, full double")
-    few = loose.select("uid", "c", "hc", "wc", "own").mapInArrow(alone, "uid long, known long, base double, score double")
+    tail = pairs.drop("held").mapInArrow(apart, "base long, runs int, rows binary, sums binary").groupBy("base").applyInArrow(together, "uid long, full double")
+    few = loose.mapInArrow(alone, "uid long, known long, base double, score double")
     parts = tail.select("uid", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("full").alias("score")).unionByName(few)
     parts = parts.groupBy("uid").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
     y = y.join(parts, "uid", "left")

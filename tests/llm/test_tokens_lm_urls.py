@@ -212,3 +212,52 @@ def test_pairs_of_all_words_count(spark):
     assert all(abs(a[k] - got[2][k]) < 1e-6 * abs(got[2][k]) for a in got for k in got[2])
     # each word but the first is certain after the one before it
     assert all(x > 3.5 * -math.log10(40) for x in got[0].values())
+
+
+def _plain_model(rows):
+    """Deleted interpolation written out: {doc_id: score}, the estimate p(w | h), its words, and held-out likelihoods by round."""
+    words = {i: [*(t or "").split(), ""] for i, t in rows}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in words}
+    pairs = [(i, h, w) for i, ws in words.items() for h, w in zip(["<s>", *ws], ws)]
+    count = lambda on: (Counter(w for i, _, w in pairs if on(fold[i])), Counter((h, w) for i, h, w in pairs if on(fold[i])))
+    (c1, c2), (r1, r2), (_, h2) = count(lambda f: f != 1), count(lambda f: f not in (1, 2)), count(lambda f: f == 2)
+    c1["<s>"], r1["<s>"] = c1[""], r1[""]
+    n, kinds, n_rest, v_rest = sum(c1.values()) - c1[""], len([w for w in c1 if w != "<s>" and c1[w]]), sum(r1.values()) - r1[""], len([w for w in r1 if w != "<s>" and r1[w]])
+    bucket = lambda c: int(math.log2(c + 1))
+    weights, likelihood = {}, []
+    for _ in range(12):
+        got, total = {}, 0.0
+        for (h, w), times in h2.items():
+            a = weights.get(bucket(c1[h]), (1 / 3,) * 3)
+            p = [a[0] * r2[h, w] / max(r1[h], 1), a[1] * r1[w] / n_rest, a[2] / (v_rest + 1)]
+            total += times * math.log(sum(p))
+            e = got.setdefault(bucket(c1[h]), [1e-3] * 3)
+            for k in range(3):
+                e[k] += times * p[k] / sum(p)
+        weights = {b: tuple(x / sum(e) for x in e) for b, e in got.items()}
+        likelihood.append(total)
+    last = (1 / 3,) * 3
+    for b in range(60):
+        last = weights.setdefault(b, last)
+    lost = [x / sum(weights[0][1:]) for x in weights[0][1:]]
+
+    def p(h, w):
+        a = weights[bucket(c1[h])] if c1[h] else (0, *lost)
+        return a[0] * c2[h, w] / max(c1[h], 1) + a[1] * c1[w] / n + a[2] / (kinds + 1)
+
+    return {i: sum(math.log10(p(h, w)) for j, h, w in pairs if j == i) for i in words}, p, [w for w in c1 if w != "<s>" and c1[w]], likelihood
+
+
+@pytest.mark.parametrize(("vocabulary", "head"), [(3, 8), (3, 500_000), (2_048, 500_000)])
+def test_scores_by_brute_force(spark, vocabulary, head):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 40)).clip(max=60))) for i in range(150)]
+    rows.append((150, None))
+    want, p, known, likelihood = _plain_model(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_corpus(docs, vocabulary, head).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-6
+    assert all(b > a - 0.01 for a, b in zip(likelihood, likelihood[1:], strict=False))  # each round explains held-out texts better
+    for h in ("<s>", known[0], known[-1], "never seen"):
+        assert abs(sum(p(h, w) for w in known) + p(h, "another unknown word") - 1) < 1e-9
