@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -15,12 +17,15 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-#: Masks over nine tokens: positions marked 1 are hashed, those marked 0 are ignored.
-MASKS = ("110110011", "111010101", "101101101", "110011101")
+#: Masks: positions marked 1 are hashed, those marked 0 are ignored. Of all ways to change a fifth of an overlap
+#: of 13 to 19 tokens none escapes all of them; of 20 tokens with 4 changes fewer than 1 in 1,000.
+MASKS = ("110110011", "111010101", "101101101", "110011101", "11100001011")
 #: An overlap counts from this many tokens on, or a whole item that is shorter.
 LEAST_TOKENS = 13
-#: Share of the tokens of an overlap that must be equal.
-LEAST_EQUAL = 0.8
+#: Items under so many tokens must occur whole.
+SHORT = 9
+#: Share of the tokens of an overlap that must be equal, as a fraction, so that no rounding decides.
+SHARE = (4, 5)
 #: Seeds of test items that one pass over the documents carries to every task. A larger benchmark
 #: takes more passes, one for each block of its items.
 BLOCK_SEEDS = 1_000_000
@@ -54,39 +59,72 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _runs(h: np.ndarray, place: np.ndarray, item: np.ndarray | None = None) -> np.ndarray:
+    """Where a run of equal hashes at one place after another begins (and of one item)."""
+    same = (h[1:] == h[:-1]) & (place[1:] == place[:-1] + 1)
+    if item is not None:
+        same &= item[1:] == item[:-1]
+    return np.flatnonzero(np.concatenate([[True], ~same])) if len(h) else np.empty(0, np.int64)
+
+
 class Seeds:
-    """The seeds of a block of test items, sorted, with a bit table that answers most lookups."""
+    """The seeds of a block of test items, sorted, with a bit table that answers most lookups.
+
+    Equal seeds at one place after another, as in a text of one word, are one run. Items too short for
+    the masks to catch every change they may have are cut in three parts, of which one is whole where
+    two tokens at most are changed.
+    """
 
     def __init__(self, items: list[np.ndarray]):
         self.items = items
         self.tables = []
-        for mask in MASKS:
-            hashes = [seed_hashes(x, mask) for x in items]
-            h = np.concatenate([*hashes, np.empty(0, np.uint64)])
-            item = np.repeat(np.arange(len(items)), [len(x) for x in hashes])
-            place = np.concatenate([*[np.arange(len(x)) for x in hashes], np.empty(0, int)])
+        seeds = [(mask, [(k, seed_hashes(x, mask), 0) for k, x in enumerate(items)]) for mask in MASKS]
+        thirds: dict[int, list] = {}
+        for k, x in enumerate(items):
+            if SHORT <= len(x) < LEAST_TOKENS:
+                for p in (0, len(x) // 3, len(x) // 3 * 2):
+                    thirds.setdefault(len(x) // 3, []).append((k, seed_hashes(x[p : p + len(x) // 3], "1" * (len(x) // 3)), p))
+        for mask, own in [*seeds, *(("1" * n, own) for n, own in thirds.items())]:
+            h = np.concatenate([*[x for _, x, _ in own], np.empty(0, np.uint64)])
+            item = np.repeat(np.array([k for k, _, _ in own], np.int64), [len(x) for _, x, _ in own])
+            place = np.concatenate([*[np.arange(p, p + len(x)) for _, x, p in own], np.empty(0, np.int64)])
             order = np.argsort(h, kind="stable")
-            bits = max(16, int(len(h) * 16).bit_length())
+            h, item, place = h[order], item[order], place[order]
+            first = _runs(h, place, item)
+            bits = max(16, int(len(first) * 16).bit_length())
             maybe = np.zeros(1 << bits, bool)
             maybe[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.tables.append((mask, h[order], item[order], place[order], maybe, np.uint64(64 - bits)))
-        #: Items too short for any mask: compared whole, by their first token.
+            self.tables.append((mask, h[first], item[first], place[first], np.diff(first, append=len(h)), maybe, np.uint64(64 - bits)))
+        #: Items under SHORT tokens: compared whole, by their first token.
         self.short: dict[int, list[int]] = {}
         for k, x in enumerate(items):
-            if 0 < len(x) < len(MASKS[0]):
+            if 0 < len(x) < SHORT:
                 self.short.setdefault(int(x[0]), []).append(k)
 
-    def hits(self, tokens: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place of the item's first token among the tokens) of all seed matches."""
-        found: set[tuple[int, int]] = set()
-        for mask, h, item, place, maybe, shift in self.tables:
+    def hits(self, tokens: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+        """Rows (item, place of the item's first token among the tokens) of all seed matches, each once."""
+        found = np.empty((0, 2), np.int64)
+        for mask, h, item, place, times, maybe, shift in self.tables:
             mine = seed_hashes(tokens, mask)
             at = np.flatnonzero(maybe[(mine >> shift).astype(np.int64)])
             if not len(at):
                 continue
-            first, last = np.searchsorted(h, mine[at], "left"), np.searchsorted(h, mine[at], "right")
-            for p, a, b in zip(at[last > first], first[last > first], last[last > first], strict=True):
-                found.update(zip(item[a:b].tolist(), (p - place[a:b]).tolist(), strict=True))
+            start = _runs(mine[at], at)
+            p, n = at[start], np.diff(start, append=len(at))
+            first, last = np.searchsorted(h, mine[p], "left"), np.searchsorted(h, mine[p], "right")
+            on = last > first
+            p, n, first, last = p[on], n[on], first[on], last[on]
+            # each pair of runs covers the shifts from low on, `width` of them
+            pairs = last - first
+            own = np.repeat(np.arange(len(p)), pairs)
+            run = np.arange(len(own)) - np.repeat(np.cumsum(pairs) - pairs, pairs) + first[own]
+            low, width = p[own] - place[run] - times[run] + 1, n[own] + times[run] - 1
+            cut = np.cumsum(width) // most
+            for k in np.unique(cut):
+                some = cut == k
+                lo, wide = low[some], width[some]
+                shifts = np.repeat(lo - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+                found = np.unique(np.concatenate([found, np.column_stack([np.repeat(item[run[some]], wide), shifts])]), axis=0)
         return found
 
     def short_hits(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -96,27 +134,38 @@ class Seeds:
                     yield k, int(p)
 
 
-def _best_stretch(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
-    """(first, tokens, equal tokens): the longest stretch that begins and ends with equal tokens and has the share."""
-    at = np.flatnonzero(equal)
-    if len(at) < LEAST_EQUAL * least:
+def _best_stretch(at: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """(first, tokens, equal tokens): the longest stretch that begins and ends with equal tokens and has the share.
+
+    `at` has the places of the equal tokens, ascending. A stretch from place a to place b has the share
+    if 5 times its equal tokens are at least 4 times its tokens; written as one number for each end, that
+    is a pair of ends in the right order of their numbers. The farthest end for each start falls out of a
+    running maximum from the right, found by bisection: no more memory than the places take.
+    """
+    if SHARE[1] * len(at) < SHARE[0] * least:
         return None
-    score = np.cumsum(equal - LEAST_EQUAL)
-    before = score - (equal - LEAST_EQUAL)
-    lengths = at[None, :] - at[:, None] + 1
-    ok = (score[at][None, :] - before[at][:, None] > -1e-9) & (lengths >= least)
-    if not ok.any():
+    tokens = int(at[-1] - at[0]) + 1
+    if SHARE[1] * len(at) >= SHARE[0] * tokens:  # all of it
+        return (int(at[0]), tokens, len(at)) if tokens >= least else None
+    k = np.arange(len(at))
+    start, end = SHARE[1] * k - SHARE[0] * at, SHARE[1] * (k + 1) - SHARE[0] * (at + 1)
+    best = np.maximum.accumulate(end[::-1])[::-1]  # falls from left to right
+    last = np.searchsorted(-best, -start, "right") - 1  # the last end from which on some number is as large
+    last = np.maximum(last, -1)
+    ok = last >= k
+    tokens = np.where(ok, at[last] - at + 1, 0)
+    first = int(np.argmax(tokens))
+    if tokens[first] < least:
         return None
-    a, b = np.unravel_index(np.argmax(np.where(ok, lengths, 0)), ok.shape)
-    return int(at[a]), int(lengths[a, b]), int(equal[at[a] : at[b] + 1].sum())
+    return int(at[first]), int(tokens[first]), int(last[first] - first + 1)
 
 
 def overlaps(tokens: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, int, int, int]]:
     """(item, first token of the document, tokens, equal tokens) of each verified overlap."""
-    for item, offset in sorted(seeds.hits(tokens)):
+    for item, offset in seeds.hits(tokens).tolist():
         x = seeds.items[item]
         lo, hi = max(0, -offset), min(len(x), len(tokens) - offset)
-        equal = (x[lo:hi] == tokens[offset + lo : offset + hi]).astype(np.int64)
+        equal = np.flatnonzero(x[lo:hi] == tokens[offset + lo : offset + hi])
         if found := _best_stretch(equal, min(LEAST_TOKENS, len(x))):
             yield item, offset + lo + found[0], found[1], found[2]
     for item, offset in seeds.short_hits(tokens):
@@ -127,15 +176,17 @@ def overlaps(tokens: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, int, int,
 
 def _broadcast_blocks(benchmark: DataFrame) -> Iterator[tuple[list[Row], Broadcast]]:
     """The test items in blocks of BLOCK_SEEDS seeds at most, and each block's seeds for every task."""
-    items = benchmark.select(F.col("`item_id`").alias("item_id"), F.col("`text`").alias("text")).filter("text is not null")
-    weight = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = benchmark.select(F.col("`item_id`").alias("item_id"), F.col("`text`").alias("text")).filter("text is not null")
+    weight = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-int(weight) // (BLOCK_SEEDS * 2)) or 1  # a token has two bytes at least, with its gap
     for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
+        rows = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         memo = _memo()
-        words = [T.words_of(r.text) for r in rows]
-        memo.learn(words)
-        yield rows, benchmark.sparkSession.sparkContext.broadcast(Seeds([memo.array(w, "<u8") for w in words]))
+        items = []
+        for _, x in T.coded(pa.array([r.text for r in rows], pa.string())):
+            tokens, starts = x.values(memo, "<u8")
+            items += [tokens[a:z] for a, z in pairwise(starts.tolist())]
+        yield rows, benchmark.sparkSession.sparkContext.broadcast(Seeds(items))
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -143,7 +194,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Tokens are runs of letters, digits and _, in lower case. A document and an item overlap where, at
     one shift, a stretch of LEAST_TOKENS tokens or more (a whole item, if that is shorter) has a share
-    of LEAST_EQUAL of equal tokens. Candidates are shifts at which one of the spaced seeds agrees, so
+    of four fifths of equal tokens. Candidates are shifts at which one of the spaced seeds agrees, so
     a substitution spoils only the seeds that mark its place. Items under nine tokens must occur whole.
 
     The test items' seeds go to every task, in blocks of a fixed size; documents are never shuffled.
@@ -167,12 +218,11 @@ def _finder(seeds: Broadcast):
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = _memo()
         for batch in batches:
-            texts, out = batch.tolist(), []
-            for part in T.portions(texts):
-                words = [T.words_of(t) for t in texts[part]]
-                memo.learn(words)
-                for w in words:
-                    found = overlaps(memo.array(w, "<u8"), seeds.value)
+            out = []
+            for _, x in T.coded(pa.array(batch, pa.string())):
+                tokens, starts = x.values(memo, "<u8")
+                for a, z in pairwise(starts.tolist()):
+                    found = overlaps(tokens[a:z], seeds.value)
                     out.append([dict(zip(("item", "first_token", "n_tokens", "n_equal"), f, strict=True)) for f in found])
             yield pd.Series(out)
 

@@ -1,6 +1,7 @@
 """Decontamination and page extraction against brute force."""
 
 import html
+import itertools
 import re
 
 import numpy as np
@@ -61,14 +62,53 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
 
 
 def test_seeds_ignore_unmarked_places():
-    a = np.arange(1, 10, dtype=np.uint64)
     for mask in decontaminate.MASKS:
+        a = np.arange(1, len(mask) + 1, dtype=np.uint64)
         for k, m in enumerate(mask):
             b = a.copy()
             b[k] = 99
             assert (decontaminate.seed_hashes(a, mask) == decontaminate.seed_hashes(b, mask)).all() == (m == "0")
 
 
+def _caught(n, changes):
+    """The share of ways to change so many of n tokens, but the first and the last, that still give the overlap."""
+    item = np.arange(1, n + 1, dtype=np.uint64)
+    seeds, caught, all_ = decontaminate.Seeds([item]), 0, 0
+    for places in itertools.combinations(range(1, n - 1), changes):
+        doc = item.copy()
+        doc[list(places)] = 10_000
+        caught += any(x[2] == n for x in decontaminate.overlaps(doc, seeds))
+        all_ += 1
+    return caught / all_
+
+
+@pytest.mark.parametrize(("n", "changes"), [(9, 1), (10, 2), (12, 2), (13, 2), (14, 2), (15, 3), (16, 3)])
+def test_no_overlap_at_the_share_escapes(n, changes):
+    assert _caught(n, changes) == 1
+
+
+def test_overlaps_of_twenty_tokens():
+    assert _caught(20, 4) > 0.999
+
+
+def test_long_and_repetitive_texts():
+    words = np.random.default_rng(0).integers(0, 1 << 60, 60_000).astype(np.uint64)
+    seeds = decontaminate.Seeds([words[:50_000]])
+    assert list(decontaminate.overlaps(np.concatenate([words[:5], words]), seeds))[-1] == (0, 5, 50_000, 50_000)
+    one = np.full(30_000, 7, np.uint64)
+    found = list(decontaminate.overlaps(one, decontaminate.Seeds([one[:1_000]])))
+    assert len(found) == 30_999 - 2 * 12 and max(x[2] for x in found) == 1_000
+
+
+def test_longest_stretch_by_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(500):
+        at = np.flatnonzero(rng.random(rng.integers(0, 50)) < rng.choice([0.5, 0.7, 0.8, 0.9]))
+        spans = [(int(a), int(at[j] - a + 1), j - i + 1) for i, a in enumerate(at) for j in range(i, len(at))]
+        spans = [x for x in spans if x[1] >= 13 and 5 * x[2] >= 4 * x[1]]
+        assert decontaminate._best_stretch(at, 13) == (max(spans, key=lambda x: (x[1], -x[0])) if spans else None)
+
+
 def article(page):
     m = re.search(r"<article>(.*?)</article>", page, re.S)
     body = re.sub(r"</?(?:p|h1)[^>]*>", "\0", m[1] if m else "")
