@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,16 @@ from . import text as T
 
 #: Most labelled pages from which the weights are learned, the first in the order of a hash.
 FIT_PAGES = 2_000
+#: What a word earns where nothing is known of it, the unit of all scores, and what a tag costs at most.
+WORD = 1.0
 #: A tag costs this much at least, a word of a content section earns this much at least.
 LEAST = 0.1
 #: What a tag, or a word of boilerplate, costs at most within a section of content: a menu or a
 #: notice inside an article is left out of its text, but doesn't cut it in two. A hundred of these
 #: cost no more than the word that earns least.
 WITHIN = LEAST / 100
+#: A word of its own weight is seen so often outside content, and so much more often there than inside.
+SEEN, MUCH = 20, 2.0
 # Names of HTML elements by their role, and words in classes and ids of boilerplate.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "button")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,9 +37,12 @@ SECTIONS = frozenset("article aside body details dialog div figure footer form h
 CONTENT = frozenset(("article", "main"))
 BOILERPLATE = frozenset(("aside", "dialog", "footer", "form", "head", "header", "menu", "nav", "title"))
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|menu|modal|nav\w*|newsletter|notices?|outbrain|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|taboola|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|foot|footer|header|login|menu|modal|nav\w*|newsletter|notices?|outbrain|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|taboola|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose start ends an open one of these names, and the elements at which the search for it stops.
+ENDED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",))}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|(?P<text>[^<]+|<)",
@@ -49,37 +57,74 @@ def _key(name: str, attrs: str) -> str:
     return name + "".join("." + x.lower() for f in found for x in " ".join(f).split()) if found else name
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """(kind, value, open sections) of each tag and text outside comments, scripts and styles.
+class Node:
+    """An open element: what it is, what it is in, and what words in it score."""
 
-    kind is "open", "close" or "text". Sections are the elements that hold parts of a page; an end
-    tag closes what was opened after its start tag, one without a start tag closes nothing.
+    __slots__ = ("content", "key", "name", "parent", "score", "section")
+
+    def __init__(self, parent: Node | None, name: str, key: str):
+        self.parent, self.name, self.key = parent, name, key
+        #: In content that an element marks as such.
+        self.content = name in CONTENT or parent is not None and parent.content
+        #: The innermost element around it that holds a part of the page.
+        self.section = key if name in SECTIONS or parent is None else parent.section
+        self.score: tuple[float, bool] = (WORD, False) if parent is None else parent.score
+
+
+def tokens(page: str, weights: Weights | None = None) -> Iterator[tuple[str, str, Node]]:
+    """(kind, value, element) of each tag and text outside comments, scripts and styles.
+
+    kind is "open", "close" or "text"; element is the innermost open one, a start tag's its own. An end
+    tag closes what was opened after its start tag; one without a start tag closes nothing, and one of an
+    element that holds no part of the page closes none that does. Each tag takes constant time on average,
+    however deep the elements nest.
     """
-    sections: list[str] = []
+    at = Node(None, "", "")
+    opened: Counter = Counter()
+
+    def close(names: tuple[str, ...], until: frozenset | tuple[str, ...]) -> Node:
+        if not any(opened[n] for n in names):
+            return at
+        node, passed = at, []
+        while node.parent is not None and node.name not in names:
+            if node.name in until:
+                return at
+            passed.append(node.name)
+            node = node.parent
+        if node.parent is None:
+            return at
+        opened.subtract([*passed, node.name])
+        return node.parent
+
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
-            yield "text", text, tuple(sections)
+            yield "text", text, at
         elif name := m["name"]:
             name = name.lower()
             if m["close"]:
-                yield "close", name, tuple(sections)
-                if name in SECTIONS:
-                    at = next((k for k in range(len(sections) - 1, -1, -1) if sections[k].split(".", 1)[0] == name), None)
-                    if at is not None:
-                        del sections[at:]
+                yield "close", name, at
+                at = close((name,), () if name in SECTIONS else SECTIONS)
             else:
-                key = _key(name, m["attrs"])
-                if name in SECTIONS and not m["attrs"].endswith("/"):
-                    sections.append(key)
-                yield "open", key, tuple(sections)
-
-
+                if name in ENDED:
+                    at = close(*ENDED[name])
+                if name in BLOCKS:
+                    at = close(("p",), SECTIONS)
+                node = Node(at, name, _key(name, m["attrs"]))
+                if weights:
+                    node.score = weights.state(at, node)
+                if name not in VOID and not m["attrs"].endswith("/"):
+                    at = node
+                    opened[name] += 1
+                yield "open", name, node
+
+
+@lru_cache(100_000)
 def _role(key: str) -> int:
-    """1 for a section of content, -1 for boilerplate, 0 for what its name doesn't tell."""
+    """1 for a section of content, -1 for boilerplate, 0 for what its name and classes don't tell."""
     name, _, classes = key.partition(".")
     if name in CONTENT:
         return 1
-    if name in BOILERPLATE or classes and HINTS.search(classes.replace(".", " ")):
+    if name in BOILERPLATE or classes and name not in HEADINGS and HINTS.search(classes.replace(".", " ")):
         return -1
     return 0
 
@@ -87,56 +132,67 @@ def _role(key: str) -> int:
 def count_labelled(page: str) -> Counter:
     """(kind of token, in content) of a page whose content an article or main element marks."""
     out: Counter = Counter()
-    for kind, value, sections in tokens(page):
-        inside = any(s.split(".", 1)[0] in CONTENT for s in sections)
+    for kind, value, node in tokens(page):
         if kind == "text":
-            n = len(value.split())
-            if n:
-                out["word@" + (sections[-1] if sections else ""), inside] += n
+            words = value.split()
+            if words:
+                out["word@" + node.section, node.content] += len(words)
+                out.update(("text:" + w, node.content) for w in entities.unescape(value).lower().split() if len(w) <= 40)
         else:
-            out["tag:" + value.split(".", 1)[0], inside] += 1
+            out["tag:" + value, node.content] += 1
     return out
 
 
 class Weights:
-    """Scores of words and tags: log odds of a token in content against elsewhere."""
+    """Scores of words and tags: log odds of a token in content against elsewhere, in units of a word.
+
+    A tag costs from LEAST to WORD, and a word earns or costs as much, so both are on one scale: a line
+    with as many tags as words is worth nothing, one of linked words is worth less than one of plain words.
+    """
 
     def __init__(self, counts: dict[tuple[str, bool], int]):
-        keys = {k for k, _ in counts}
-        total = {x: sum(n for (_, y), n in counts.items() if y == x) + len(keys) + 1 for x in (False, True)}
-        self.odds = {k: math.log((counts.get((k, True), 0) + 0.5) / total[True] * total[False] / (counts.get((k, False), 0) + 0.5)) for k in keys}
-        self.memo: dict[tuple[str, ...], float] = {}
-
-    def word(self, sections: tuple[str, ...]) -> float:
-        """A word's score: that of its innermost section which the pages or its name know.
-
-        Positive in content and in sections that nothing is known of, negative in boilerplate.
-        """
-        if sections not in self.memo:
-            found = 1.0
-            for k in range(len(sections) - 1, -1, -1):
-                role, odds = _role(sections[k]), self.odds.get("word@" + sections[k])
-                if role < 0 and sections[k].startswith("header") and any(_role(s) > 0 for s in sections[:k]):
-                    continue  # the head of an article is a part of it
-                if role:
-                    found = max(LEAST, odds or 1.0) if role > 0 else min(-1.0, odds or -1.0)
-                    break
-                if odds is not None and sections[k] not in ("body", "html") and "." in sections[k]:
-                    found = odds
-                    break
-            if found > 0 and any(_role(s) < 0 and not s.startswith("header") for s in sections):
-                found = -1.0
-            self.memo[sections] = max(found, -WITHIN) if self.within(sections) else found
-        return self.memo[sections]
+        kinds = {k for k, _ in counts if not k.startswith("text:")}
+        total = {x: sum(n for (k, y), n in counts.items() if y == x and k in kinds) + len(kinds) + 1 for x in (False, True)}
+        self.odds = {k: self._odds(counts, total, k) for k in kinds}
+        words = {x: sum(n for (k, y), n in counts.items() if y == x and k[:5] == "text:") + 1 for x in (False, True)}
+        own = {k: self._odds(counts, words, k) for (k, x), n in counts.items() if not x and k[:5] == "text:" and n >= SEEN}
+        #: Words of what stands around content, and what each scores.
+        self.around = {k[5:]: x for k, x in own.items() if x < -MUCH}
 
     @staticmethod
-    def within(sections: tuple[str, ...]) -> bool:
-        return any(_role(s) > 0 for s in sections)
-
-    def tag(self, key: str, sections: tuple[str, ...]) -> float:
+    def _odds(counts: dict[tuple[str, bool], int], total: dict[bool, int], k: str) -> float:
+        return math.log((counts.get((k, True), 0) + 0.5) / total[True] * total[False] / (counts.get((k, False), 0) + 0.5))
+
+    def state(self, parent: Node, node: Node) -> tuple[float, bool]:
+        """(what a word scores, in boilerplate) in an element: what its own kind says, else as around it."""
+        found, boiler = parent.score
+        role, odds = _role(node.key), self.odds.get("word@" + node.key)
+        if role < 0 and node.name == "header" and parent.content:
+            return found, boiler  # the head of an article is a part of it
+        if role:
+            boiler = boiler or role < 0
+            found = min(-WORD, odds or -WORD) if boiler else max(LEAST, odds or WORD)
+        elif odds is not None and "." in node.key and not parent.content:
+            found = -WORD if boiler or odds < 0 else WORD
+        return found, boiler
+
+    def words(self, text: str, node: Node) -> float:
+        """What the words of a text score together."""
+        words = text.split()
+        if not words:
+            return 0.0
+        found = node.score[0]
+        if node.content:
+            return len(words) * max(found, -WITHIN)
+        if found > 0 and self.around:
+            return found * sum(self.around.get(w, WORD) for w in entities.unescape(text).lower().split())
+        return len(words) * found
+
+    def tag(self, name: str, node: Node) -> float:
         """A tag's cost; no tag earns anything."""
-        cost = min(-LEAST, self.odds.get("tag:" + key.split(".", 1)[0], -LEAST))
-        return max(cost, -WITHIN) if self.within(sections) else cost
+        if node.content:
+            return -WITHIN
+        return max(-WORD, min(-LEAST, self.odds.get("tag:" + name, -LEAST)))
 
 
 def main_text(page: str | None, weights: Weights) -> str:
@@ -147,14 +203,10 @@ def main_text(page: str | None, weights: Weights) -> str:
     """
     if not page:
         return ""
-    seen = list(tokens(page))
+    seen = list(tokens(page, weights))
     best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for k, (kind, value, sections) in enumerate(seen):
-        if kind == "text":
-            n = len(value.split())
-            score = n * weights.word(sections) if n else 0.0
-        else:
-            score = weights.tag(value, sections)
+    for k, (kind, value, node) in enumerate(seen):
+        score = weights.words(value, node) if kind == "text" else weights.tag(value, node)
         if total <= 0:
             total, start = 0.0, k
         total += score
@@ -168,16 +220,14 @@ def main_text(page: str | None, weights: Weights) -> str:
             blocks.append(block)
         parts.clear()
 
-    for kind, value, sections in seen[span[0] : span[1]]:
+    for kind, value, node in seen[span[0] : span[1]]:
         if kind == "text":
-            if weights.word(sections) > 0:
+            if node.score[0] > 0:
                 parts.append(value)
-        else:
-            name = value.split(".", 1)[0]
-            if name in BLOCKS:
-                end()
-            elif name == "br":
-                parts.append(" ")
+        elif value in BLOCKS:
+            end()
+        elif value == "br":
+            parts.append(" ")
     end()
     return "\n\n".join(blocks)
 
@@ -186,7 +236,7 @@ def learn(pages: DataFrame, most: int = FIT_PAGES) -> Weights:
     """Weights from at most `most` pages that mark their content with one article or main element.
 
     Such pages label themselves. Only counts by kind of token come to the driver: no more kinds than
-    these pages have.
+    these pages have, and of words only those that occur SEEN times around content.
     """
     x = pages.select(F.col("`page_id`").alias("id"), F.col("`html`").alias("html"))
     ids = x.filter(F.regexp_count("html", F.lit(r"(?i)<(article|main)[\s>]")) == 1).select("id").distinct()
@@ -202,8 +252,11 @@ def learn(pages: DataFrame, most: int = FIT_PAGES) -> Weights:
 
     # `most` ids at most
     counts = x.join(F.broadcast(ids), "id", "left_semi").mapInPandas(count, "kind string, inside boolean, n long")
-    rows = counts.groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
-    return Weights({(r.kind, r.inside): r.n for r in rows})
+    sums = counts.groupBy("kind").agg(*[F.sum(F.when(F.col("inside") == x, F.col("n")).otherwise(0)).alias(c) for c, x in (("i", True), ("o", False))])
+    word = F.col("kind").startswith("text:")
+    rows = sums.filter(~word | (F.col("o") >= SEEN)).collect()
+    rest = sums.filter(word & (F.col("o") < SEEN)).agg(F.lit("text:").alias("kind"), F.sum("i").alias("i"), F.sum("o").alias("o")).collect()
+    return Weights({(r.kind, x): n or 0 for r in [*rows, *rest] for x, n in ((True, r.i), (False, r.o))})
 
 
 def extracted(page: Column, weights: Weights) -> Column:

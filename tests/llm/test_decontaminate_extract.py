@@ -3,6 +3,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -143,6 +144,31 @@ def test_pages(weights, page, want):
     assert extract.main_text(page, weights) == want
 
 
+LINKED = "".join(f'<p>Short one {i} with <a href="x">a link</a> here now.</p>' for i in range(20))
+LINKED_TEXT = "\n\n".join(f"Short one {i} with a link here now." for i in range(20))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="menu"><a>Home</a><a>About</a></div><div class="post">{LINKED}</div><div>\xa9 2024 X. All rights reserved.</div>', LINKED_TEXT),
+        (
+            f"<body><div><a>Home</a> <a>About</a> <a>Contact</a></div><div><h1>Title of it</h1><p>By Jane Doe</p><p>{'long word ' * 30}</p><ul><li>one thing</li><li>two things here</li></ul><p>A closing paragraph at the end.</p></div><div>&copy; 2024 Company. All rights reserved.</div></body>",
+            "Title of it\n\nBy Jane Doe\n\n" + ("long word " * 30).strip() + "\n\none thing\n\ntwo things here\n\nA closing paragraph at the end.",
+        ),
+        ('<article><h1 class="entry-header">T</h1><p>Text of it.</p><p class="advert">Buy now!<p>More text.</p><p class="share">Share <b>this</b> now</p><ul class="related-posts"><li>x<li>y</ul><p>End.</p></article>', "T\n\nText of it.\n\nMore text.\n\nEnd."),
+    ],
+)
+def test_pages_of_other_layouts(weights, page, want):
+    assert extract.main_text(page, weights) == want
+
+
+def test_deep_nesting_takes_linear_time(weights):
+    began = time.process_time()
+    assert extract.main_text("<div>" * 20_000 + "hello world" + "</b></div>" * 20_000, weights) == "hello world"
+    assert time.process_time() - began < 3
+
+
 def test_extract_odd_rows(spark):
     rows = [(1, None, None, "x"), (1, None, None, "x"), (None, "u", "<article>" + "word " * 50000 + "</article>", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
