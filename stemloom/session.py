@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,14 +35,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder and cut the lineage.
+def shared_folder(spark: SparkSession, stem: str) -> str:
+    """A new path in the folder that the cluster names in spark.checkpoint.dir.
 
-    The folder named by spark.checkpoint.dir is used as it is. Only where the session names none
-    (tests, a laptop) a temporary folder is set.
+    A session of one machine (tests, a laptop) may leave it unset and gets a temporary folder. On a
+    cluster that is an error: executors would each write to a disk of their own.
     """
+    ctx = spark.sparkContext
+    named = ctx.getConf().get("spark.checkpoint.dir") or ctx.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", ctx.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="stemloom-")
+    return f"{named.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever store Spark keeps it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise in the cluster's shared checkpoint folder and cut the lineage."""
     ctx = df.sparkSession.sparkContext
     if ctx.getCheckpointDir() is None:
-        named = ctx.getConf().get("spark.checkpoint.dir")
-        ctx.setCheckpointDir(named or tempfile.mkdtemp(prefix="stemloom-ckpt-"))
+        ctx.setCheckpointDir(ctx.getConf().get("spark.checkpoint.dir") or shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)
