@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,17 +23,16 @@ VOCABULARY = 2_048
 HEAD = 500_000
 #: Tokens that one piece of the dealt pairs has on average, and tokens after which a task deals.
 PIECE, DEALT = 3_000_000, 2_000_000
-FLUSH = 300_000
 #: Context counts from a power of two on share their mixture weights.
 BUCKETS = 48
 EM_ROUNDS = 12
 #: Names in the tables: no word is empty.
 END = ""
-_WORDS = regex.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def _words(text: str | None) -> list[bytes]:
-    return _WORDS.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []  # bytes: A-Z only
+def _code(word: str) -> int:
+    """As Spark's xxhash64."""
+    return xxhash.xxh64_intdigest(word.encode(), 42)
 
 
 def _fold(doc_id: Column) -> Column:
@@ -42,29 +40,22 @@ def _fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
+def _coded(column: pa.Array) -> Iterator[tuple[slice, T.Coded]]:
+    return T.coded(pc.ascii_lower(column.cast(pa.string())), 12_000_000)  # A-Z only
+
+
 def unigrams(train: DataFrame) -> DataFrame:
     """(word, c, held): counts of training tokens, and of those in the held-out part of them."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = Counter(), Counter()
-
-        def out() -> pa.RecordBatch:
-            words = list(total)
-            return pa.RecordBatch.from_pydict(
-                {"word": pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), "c": pa.array(total.values(), pa.int64()), "held": pa.array([held[w] for w in words], pa.int64())}
-            )
-
         for b in batches:
-            for text, part in zip(b.column("text").to_pylist(), b.column("held").to_pylist(), strict=True):
-                words = [*_words(text), END.encode()]
-                total.update(words)
-                if part:
-                    held.update(words)
-                if len(total) >= FLUSH:
-                    yield out()
-                    total, held = Counter(), Counter()
-        if total:
-            yield out()
+            held = b.column("held").to_numpy(zero_copy_only=False)
+            for part, x in _coded(b.column("text")):
+                own = held[part]
+                c = np.bincount(x.codes, minlength=len(x.words))
+                h = np.bincount(x.codes, np.repeat(own, np.diff(x.starts)), len(x.words)).astype(np.int64)
+                words = pa.concat_arrays([x.words, pa.array([END])])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.append(c, len(own))), pa.array(np.append(h, own.sum()))], names=["word", "c", "held"])
 
     x = train.select("text", "held").mapInArrow(count, "word string, c long, held long")
     return x.groupBy("word").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
@@ -79,7 +70,7 @@ class Lexicon:
 
     def __init__(self, words: list[str], counts: list[int], held: list[int], vocabulary: int, tokens: int, kinds: int):
         start = 0 if words and words[0] == END else None
-        self.words = [w.encode() for w in words]
+        self.words = words
         self.counts = np.array([0 if start is None else counts[0], *counts], np.int64)
         self.rest = self.counts - np.array([0 if start is None else held[0], *held], np.int64)
         self.vocabulary, self.tokens, self.kinds = min(vocabulary, len(words)), tokens, kinds
@@ -109,19 +100,21 @@ def encoded(docs: DataFrame, lexicon: Broadcast) -> DataFrame:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         lex.open()
-        get = lex.number.get
+        get, end = lex.number.get, lex.number.get(END, -1)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for part in T.portions(texts):
-                n, ids, rare = [], [], []
-                for text in texts[part]:
-                    words = [*_words(text), END.encode()]
-                    x = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-                    n.append(len(x))
-                    ids.append(_zip(x))
-                    rare.append(np.array([xxhash.xxh64_intdigest(words[k], 42) for k in np.flatnonzero(x < 0)], np.uint64).tobytes())
+            for part, x in _coded(b.column("text")):
+                words = x.words.to_pylist()
+                number = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+                code = np.zeros(len(words), np.uint64)
+                for k in np.flatnonzero(number < 0):
+                    code[k] = _code(words[k])
+                ids, rare = [], []
+                for u, v in pairwise(x.starts.tolist()):
+                    own = x.codes[u:v]
+                    ids.append(_zip(np.append(number[own], np.int32(end))))
+                    rare.append(code[own[number[own] < 0]].tobytes() + (b"" if end >= 0 else _code(END).to_bytes(8, "little")))
                 own = b.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("uid", "doc_id", "fold")], pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())], names=["uid", "doc_id", "fold", "n", "ids", "rare"])
+                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("uid", "doc_id", "fold")], pa.array((np.diff(x.starts) + 1).astype(np.int32)), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())], names=["uid", "doc_id", "fold", "n", "ids", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("uid", "doc_id", "fold", "text").mapInArrow(encode, f"uid long, doc_id {kind}, fold int, n int, ids binary, rare binary")

@@ -75,8 +75,10 @@ def decide(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeat: i
         F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("skey"),
         T.n_words(text).alias("size"),
         _digest(doc_id, F.lit(seed)).alias("h"),
-        F.xxhash64(text).alias("th"),
+        T.row_hash(docs).alias("th"),
     ).withColumn("salt", F.substring("h", 1, SALT_DIGITS))
+    if keep and "text" not in keep:
+        x = T.checkpointed(x)  # slim rows: each text is read and split once
     pieces = x.groupBy("skey", "size", "salt").agg(F.max("source").alias("source"), F.count(F.lit(1)).alias("n"))
     sizes = pieces.groupBy("skey", "size").agg(F.max("source").alias("source"), F.sum("n").alias("n"))
     sources = sizes.groupBy("skey").agg(F.max("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,6 @@ def _constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@cache
-def _words() -> T.Memo:
-    return T.Memo(lambda words: [xxhash.xxh64_intdigest(w).to_bytes(8, "little") for w in words])
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -58,12 +54,11 @@ def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def text_shingles(texts: list[str | None], n: int = WORDS) -> Iterator[tuple[slice, list[np.ndarray]]]:
-    memo = _words()
-    for part in T.portions(texts):
-        words = [T.words_of(t) for t in texts[part]]
-        memo.learn(words)
-        yield part, [shingles(memo.array(w, "<u8"), n) for w in words]
+def text_shingles(texts: pa.Array, n: int = WORDS) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    for part, x in T.coded(texts):
+        own = x.words.to_pylist()
+        words = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))[x.codes]
+        yield part, [shingles(words[a:z], n) for a, z in pairwise(x.starts.tolist())]
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,8 +195,10 @@ def _signed(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, tids = b.column("text").to_pylist(), b.column("tid").to_numpy(zero_copy_only=False)
-            for part, sets in text_shingles(texts):
+            first = np.sort(np.unique(b.column("tid").to_numpy(), return_index=True)[1])
+            b = b.take(pa.array(first))  # of copies that come together one is signed
+            tids = b.column("tid").to_numpy()
+            for part, sets in text_shingles(b.column("text")):
                 full = [k for k, s in enumerate(sets) if len(s)]
                 if full:
                     sig, keys = signatures([sets[k] for k in full])
@@ -276,7 +273,7 @@ def _links(members: DataFrame, threshold: float) -> DataFrame:
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [s.tobytes() for _, some in text_shingles(b.column("text").to_pylist()) for s in some]
+            out = [s.tobytes() for _, some in text_shingles(b.column("text")) for s in some]
             yield b.drop_columns(["text"]).append_column("set", pa.array(out, pa.binary()))
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,13 +330,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with one of each class kept: its least doc_id (nulls last, repeats once)."""
+    """The documents with one of each class kept: its least doc_id (nulls last, repeats once).
+
+    Of rows that share doc_id and text but differ elsewhere, the one with the least hash stays.
+    """
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    keep = join(docs, threshold).groupBy("root").agg(F.min_by(F.struct("tid", "doc_id"), last).alias("k"))
+    keep = join(docs, threshold).groupBy("root").agg(F.min_by(F.struct("tid", "doc_id"), F.struct(last, F.col("doc_id").isNull(), F.col("tid"))).alias("k"))
     keep = keep.select("k.tid", F.col("k.doc_id").alias("kept_id"))
-    x = docs.select(T.packed(docs), F.col("`doc_id`").alias("id"), F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))).alias("tid"))
-    x = x.join(keep, (x["tid"] == keep["tid"]) & x["id"].eqNullSafe(keep["kept_id"])).select("row", "id", x["tid"])
-    return T.unpacked(x.dropDuplicates(["id", "tid"]), docs.columns)
+    x = docs.select(T.packed(docs), T.row_hash(docs).alias("rh"), F.col("`doc_id`").alias("id"), F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))).alias("tid"))
+    x = x.join(keep, (x["tid"] == keep["tid"]) & x["id"].eqNullSafe(keep["kept_id"])).select("row", "rh", "id", x["tid"])
+    return T.unpacked(x.groupBy("id", "tid").agg(F.min_by("row", "rh").alias("row")), docs.columns)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ SEED = 11
 SHARDS = 40
 #: Least number of blocks of the first permutation. The matrix has blocks x shards entries.
 BLOCKS = 64
+#: Rows that a hot key has at least.
+HOT_LEAST = 1_000
 #: Pieces of each shard in the second permutation.
 PIECES = 256
 
@@ -134,7 +136,8 @@ def shard(docs: DataFrame, key: list[Column], shards: int = SHARDS, blocks: int
 
     Rows are dealt to blocks by a hash of `key`, permuted there, cut by the block's row of the
     matrix, exchanged to their shards and permuted again; slots run from 0 without a gap. Rows with
-    equal keys are told apart by their number among their equals, so copies spread like other rows.
+    equal keys are told apart by their number among their equals, so copies spread like other rows; rows of a key with more than a 500th of all rows are told apart by
+    their place in the input first, which must come from files or a checkpoint, so that it stays the same.
     Each shard's second permutation runs in PIECES pieces, so no task holds a whole shard.
 
     `blocks` is a power of two; unset, it is the first one from 64 on that is not below the session's
@@ -144,10 +147,16 @@ def shard(docs: DataFrame, key: list[Column], shards: int = SHARDS, blocks: int
     """
     if blocks is None:
         blocks = max(BLOCKS, 1 << (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    x = docs.select(T.packed(docs), F.xxhash64(F.lit(seed), *key).alias("kh"))
+    x = docs.select(T.packed(docs), T.row_hash(docs).alias("rh"), F.xxhash64(F.lit(seed), *key).alias("kh"))
+    # rows of a key that is hot are dealt by their place in the input, or one block would hold them all
+    keys = docs.select(F.xxhash64(F.lit(seed), *key).alias("kh"))
+    hot = keys.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(keys.count() / T.HUBS, HOT_LEAST)).select("kh", F.lit(True).alias("hot"))
+    x = x.join(F.broadcast(hot), "kh", "left")  # fewer than T.HUBS rows
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(blocks * 16))
+    x = x.withColumn("kh", F.when(F.col("hot"), F.xxhash64("kh", part)).otherwise(F.col("kh"))).drop("hot")
     x = x.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("kh")), F.lit(blocks)).cast("int"))
     matrix = communication_matrix(x.groupBy("block").agg(F.count(F.lit(1)).alias("n")), blocks, shards, seed)
-    x = x.withColumn("occ", F.row_number().over(W.partitionBy("block", "kh").orderBy(F.lit(0))))
+    x = x.withColumn("occ", F.row_number().over(W.partitionBy("block", "kh").orderBy("rh")))
     x = x.withColumn("r1", F.xxhash64(F.lit(seed + 2), F.col("kh"), F.col("occ")))
     x = x.withColumn("at", F.row_number().over(W.partitionBy("block").orderBy("r1")))
     # blocks x shards numbers, whatever the input: small enough to send everywhere

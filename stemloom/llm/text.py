@@ -6,16 +6,24 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemloom.session import checkpointed, table
+from stemloom.session import checkpointed, removed, shared_folder, table
 
-__all__ = ["WORD", "Memo", "checkpointed", "documents", "fresh", "n_words", "packed", "portions", "table", "unpacked", "words_of"]
+__all__ = [
+    "WORD", "Coded", "Memo", "checkpointed", "coded", "documents", "fresh", "hub_join", "hubs_of", "n_words", "packed", "removed", "row_hash", "shared_folder", "spread", "table", "unpacked", "words_of",
+]
 
 #: A word: what stands between the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = re.compile(WORD)
+#: Most keys of a join that count as hot, and the rows that a hot key has at least.
+HUBS, HUB_LEAST = 500, 200
+#: Pieces of a hot key.
+SALTS = 64
 # Fixed value: characters beyond the ASCII white space at which str.split cuts too.
 _MORE_SPACE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -36,16 +44,50 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text) if any(map(text.__contains__, _MORE_SPACE)) else text.split()
 
 
-def portions(texts: list[str | None], most_chars: int = 1_000_000) -> Iterator[slice]:
-    """Slices of a batch that hold about so many characters, so that very long texts don't add up."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t) if t else 0
-        if total >= most_chars:
-            yield slice(start, i + 1)
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+def spread(codes: np.ndarray, size: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, times): the values of each code, one after another; code k has size[k] of them in the table."""
+    if len(table) == len(size) and (size == 1).all():
+        return table[codes], np.ones(len(codes), np.int64)
+    first = np.cumsum(size) - size
+    times = size[codes]
+    ends = np.cumsum(times)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[codes] - ends + times, times)
+    return table[at], times
+
+
+class Coded:
+    """The words of some texts as numbers of their distinct words: text k has codes[starts[k]:starts[k + 1]]."""
+
+    def __init__(self, words: pa.Array, codes: np.ndarray, starts: np.ndarray):
+        self.words, self.codes, self.starts = words, codes, starts
+
+    def values(self, memo: Memo, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+        """(values, starts): what the memo knows of each word, one after another, and where each text's begin."""
+        parts = memo.of(self.words.to_pylist())
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(dtype).itemsize
+        return self.spread(size, np.frombuffer(b"".join(parts), dtype))
+
+    def spread(self, size: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values, times = spread(self.codes, size, table)
+        return values, np.append(0, np.cumsum(times))[self.starts]
+
+
+def coded(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[slice, Coded]]:
+    """The words of a column of texts, portion by portion, each distinct one only once; null has none."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most_bytes)))
+        lists = pc.ascii_split_whitespace(column.slice(start, stop - start))
+        found = lists.flatten().dictionary_encode()
+        codes, starts = found.indices.to_numpy(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64))
+        empty = pc.index(found.dictionary, "").as_py()
+        if empty >= 0:  # white space at an end of a text
+            keep = codes != empty
+            codes, starts = codes[keep], np.append(0, np.cumsum(keep))[starts]
+        yield slice(start, stop), Coded(found.dictionary, codes, starts)
+        start = stop
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -61,6 +103,29 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, to order rows that are else alike."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()], F.lit(1))
+
+
+def hubs_of(facts: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key): the keys with more than a HUBS-th of the `rows` rows of facts, fewer than HUBS in all."""
+    return facts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(rows / HUBS, HUB_LEAST)).select(key)
+
+
+def hub_join(facts: DataFrame, nodes: DataFrame, key: str, hubs: DataFrame, how: str = "inner") -> DataFrame:
+    """facts joined by key with nodes, which have one row for each key, without a hot key in any task.
+
+    Each of the hubs, which are few, meets its rows in SALTS pieces.
+    """
+    is_hub, salt = fresh(facts, "is_hub"), fresh(facts, "salt")
+    hubs = F.broadcast(hubs.withColumn(is_hub, F.lit(True)))  # fewer than HUBS rows
+    mine = F.when(F.col(is_hub), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    each = F.explode(F.when(F.col(is_hub), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    facts = facts.join(hubs, key, "left").withColumn(salt, mine).drop(is_hub)
+    return facts.join(nodes.join(hubs, key, "left").withColumn(salt, each).drop(is_hub), [key, salt], how).drop(salt)
+
+
 def unpacked(df: DataFrame, columns: list[str], extra: list[Column] | None = None) -> DataFrame:
     """The columns of a packed row again, and more columns after them."""
     return df.select(*[F.col("row").getField(c).alias(c) for c in columns], *(extra or []))
@@ -90,6 +155,10 @@ class Memo:
             Memo.latest = self
         self.add(batches)
 
+    def of(self, words: list[str]) -> list[bytes]:
+        self.learn([words])
+        return [self.known[w] for w in words]
+
     def forget(self) -> None:
         self.known, self.old = {}, {}
         if self.below:

@@ -51,6 +51,18 @@ def pretokens(text: str | None, special: re.Pattern | None) -> tuple[list[str],
     return [p for x in parts for p in PATTERN.findall(x)], len(parts) - 1
 
 
+def portions(texts: list[str], most_chars: int = 1_000_000) -> Iterator[slice]:
+    """Slices of a batch that hold about so many characters, so that very long texts don't add up."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= most_chars:
+            yield slice(start, i + 1)
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def vocabulary(docs: DataFrame, path: str) -> DataFrame:
     """(pretoken, n, pieces): each distinct pre-token of all texts, counted once into pieces."""
     schema = pa.schema([("pretoken", pa.string()), ("n", pa.int64())])
@@ -98,7 +110,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, h
         special, pieces = _tokenizer(path)[1], dict(zip(*known.value, strict=True))
         for b in batches:
             texts, places = b.column("text").to_pylist(), []
-            for part in T.portions(texts):
+            for part in portions(texts):
                 at, tokens, times, known_sums = [], [], [], []
                 for k in range(part.start, part.stop):
                     found, total = pretokens(texts[k], special)
@@ -120,7 +132,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, h
 
     keyed = docs.withColumn("th", F.xxhash64("text"))
     rows = keyed.select("doc_id", "th", "text").mapInArrow(frequencies, f"doc_id {id_type}, th long, pretoken string, times long, known long")
-    rows = rows.join(words.select("pretoken", "pieces"), "pretoken", "left")
+    # rows without a pre-token have no key in common, or all would meet in one task
+    salt = F.when(F.col("pretoken").isNull(), F.xxhash64("doc_id", "th")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("salt", salt).join(words.select("pretoken", "pieces", F.lit(0).cast("long").alias("salt")), ["pretoken", "salt"], "left")
     one = F.when(F.col("pretoken").isNull(), 1).otherwise(0)
     sums = rows.groupBy("doc_id", "th").agg(F.sum(F.col("known") + F.coalesce(F.col("times") * F.col("pieces"), F.lit(0))).alias("all"), F.sum(one).alias("rows"))
     sizes = keyed.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"))

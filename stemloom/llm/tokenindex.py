@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -13,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +23,8 @@ from . import text as T
 END_ID = 2
 #: Ids of a shard at least, unless the task's documents end; a document is never cut.
 SHARD_IDS = 2_000_000
-#: Words, and as many pre-tokens, whose ids a worker remembers.
-KNOWN = 300_000
+#: Pre-tokens whose ids a worker remembers.
+KNOWN = 800_000
 #: Room for each key in the bit array of a level.
 GAMMA = 1.5
 #: One row a shard. Payload and arrays are little-endian; `words`, `ranks` and the rest are the index.
@@ -42,10 +41,10 @@ def default_vocabulary() -> str:
 
 
 #: Characters that normalising to NFC leaves alone and whose lower case doesn't hang on their place.
-_PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xa1-\xff]*")
+_PLAIN = r"^[\x09-\x0d\x20-\x7e\x{a1}-\x{ff}]*$"
 
 
-def _pretokens(spec: dict) -> regex.Pattern | None:
+def _pretokens(spec: dict) -> str | None:
     """The vocabulary's own pattern of pre-tokens, if nothing but NFC and lower case goes before it."""
     steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
     parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -54,42 +53,83 @@ def _pretokens(spec: dict) -> regex.Pattern | None:
     split, by_byte = parts
     if split["behavior"] != "Removed" or not split["invert"] or by_byte["add_prefix_space"] or by_byte["use_regex"]:
         return None
-    return regex.compile(split["pattern"]["Regex"])
+    return split["pattern"]["Regex"]
 
 
-@cache
-def _encoder(path: str) -> tuple[T.Memo, int]:
-    """A memo from words to their ids, and the bytes of an id. White space never joins pieces here.
+#: Byte-level models see each byte as a character: the printable ones of Latin-1 as themselves, the others from 256 on.
+_ODD_BYTES = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BY_BYTE = {b: 256 + k for k, b in enumerate(_ODD_BYTES)}
 
-    Plain words are cut into their pre-tokens, which have a memo of their own: the vocabulary's model
-    encodes each without the steps before it. Other words, and those that may hold special strings,
-    are encoded whole.
-    """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
-    from tokenizers import Tokenizer, pre_tokenizers
 
-    t = Tokenizer.from_file(path)
-    width = 2 if t.get_vocab_size() <= 1 << 16 else 4
-    code = "H" if width == 2 else "I"
-    pattern = _pretokens(json.loads(t.to_str()))
-    special = [x.content.lower() for x in t.get_added_tokens_decoder().values()]
-    bare = Tokenizer(t.model)
-    bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+def _bools(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False)
 
-    def encoded(coder: Tokenizer, units: list[str]) -> Iterator[bytes]:
-        return (array(code, e.ids).tobytes() for e in coder.encode_batch_fast(units, add_special_tokens=False))
 
-    pieces = T.Memo(lambda units: encoded(bare, units), most=KNOWN)
+class Encoder:
+    """The ids of words. White space never joins pieces here, so words are encoded apart.
 
-    def make(words: list[str]) -> Iterator[bytes]:
-        lower = [w.lower() for w in words]
-        plain = [pattern is not None and _PLAIN.fullmatch(w) is not None and not any(x in v for x in special) for w, v in zip(words, lower, strict=True)]
-        parts = [pattern.findall(v) for v, p in zip(lower, plain, strict=True) if p]
-        pieces.add(parts)
-        cut, whole = map(pieces.join, parts), encoded(t, [w for w, p in zip(words, plain, strict=True) if not p])
-        return (next(cut if p else whole) for p in plain)
+    Distinct plain words are cut into pre-tokens by the vocabulary's own pattern; the vocabulary's
+    model encodes each distinct pre-token without the steps before it. Other words, and those that may
+    hold special strings, are encoded whole.
+    """
 
-    return T.Memo(make, most=KNOWN, below=pieces), width
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        self.width = 2 if t.get_vocab_size() <= 1 << 16 else 4
+        code = "H" if self.width == 2 else "I"
+        self.pattern = _pretokens(json.loads(t.to_str()))
+        #: a run of letters is one pre-token
+        self.letters = self.pattern is not None and regex.findall(self.pattern, "a\xe0b\xdfc") == ["a\xe0b\xdfc"]
+        self.special = [x.content.lower() for x in t.get_added_tokens_decoder().values()]
+        cut = t.model.tokenize
+
+        def pieces(units: list[str]) -> Iterator[bytes]:
+            for u in units:
+                by_byte = u if u.isascii() and u.isprintable() else u.encode().decode("latin-1").translate(_BY_BYTE)
+                yield array(code, [x.id for x in cut(by_byte)]).tobytes()
+
+        self.pieces = T.Memo(pieces, KNOWN)
+        whole = lambda words: (array(code, e.ids).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False))
+        self.whole = T.Memo(whole, KNOWN, self.pieces)
+
+    def __call__(self, texts: T.Coded) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, starts): the ids of all words, and where each text's begin."""
+        dtype, n = f"<u{self.width}", len(texts.words)
+        lower = pc.utf8_lower(texts.words)
+        plain = np.zeros(n, bool)
+        if self.pattern:
+            plain = _bools(pc.string_is_ascii(texts.words)).copy()
+            rest = np.flatnonzero(~plain)
+            plain[rest] = _bools(pc.match_substring_regex(texts.words.take(pa.array(rest)), _PLAIN))
+            for s in self.special:
+                plain &= ~_bools(pc.match_substring(lower, s))
+        odd, cut = texts.words.filter(pa.array(~plain)), lower.filter(pa.array(plain))
+        if len(cut):
+            mixed = pa.array(~_bools(pc.utf8_is_alpha(cut)) if self.letters else np.ones(len(cut), bool))
+            cut = pc.replace_with_mask(cut, mixed, pc.replace_substring_regex(cut.filter(mixed), f"({self.pattern})", r"\1 "))
+        units = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(cut))
+        found = units.flatten().dictionary_encode()
+        whole = self.whole.of(odd.to_pylist())  # first: it may empty the other memo
+        self.pieces.add([names := found.dictionary.to_pylist()])
+        parts = [self.pieces.known[w] for w in names] + whole
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
+        # each word as a row of codes of parts: its pre-tokens', or its own
+        times = np.ones(n, np.int64)
+        times[plain] = pc.list_value_length(units).to_numpy(zero_copy_only=False)
+        codes = np.empty(int(times.sum()), np.int64)
+        own = np.repeat(plain, times)
+        codes[own], codes[~own] = found.indices.to_numpy(), np.arange(len(whole)) + len(names)
+        ids, each = T.spread(codes, size, np.frombuffer(b"".join(parts), dtype))
+        ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(times))]
+        return texts.spread(np.diff(ends), ids)
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -198,7 +238,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     end = np.uint32(end_id)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, width = _encoder(vocabulary)
+        encoder = _encoder(vocabulary)
+        width = encoder.width
         part, seq, held = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         payload: list[bytes] = []
@@ -208,17 +249,16 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
             + [(c, pa.binary()) for c in ("words", "ranks", "prints", "ordinals", "times")]
         )
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for portion in T.portions(texts):
-                words = [T.words_of(t) for t in texts[portion]]
-                memo.learn(words)
-                for key, w in zip(ids[portion], words, strict=True):
+            ids = b.column("doc_id").to_pylist()
+            for portion, texts in T.coded(b.column("text"), 12_000_000):
+                values, starts = encoder(texts)
+                for key, a, z in zip(ids[portion], starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     if keys and (held >= SHARD_IDS or (keys[-1] is None) != (key is None)):
                         yield pa.RecordBatch.from_pylist([_shard(part, seq, keys, payload, width)], schema)
                         keys, payload, held, seq = [], [], 0, seq + 1
                     keys.append(key)
-                    payload.append(memo.join(w) + tail)
-                    held += len(payload[-1]) // width
+                    payload.append(values[a:z].tobytes() + tail)
+                    held += z - a + 1
         if keys:
             yield pa.RecordBatch.from_pylist([_shard(part, seq, keys, payload, width)], schema)
 
@@ -284,16 +324,7 @@ def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
     return shards.filter(may).mapInArrow(fetch, "doc_id long, ids array<long>")
 
 
-def shared_folder(spark: SparkSession, stem: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary one where none is named."""
-    import tempfile
-
-    ctx = spark.sparkContext
-    named = ctx.getConf().get("spark.checkpoint.dir") or ctx.getCheckpointDir() or tempfile.mkdtemp(prefix="stemloom-")
-    return f"{named.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
-
-
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark, "token-index")
+    path = T.shared_folder(spark, "token-index")
     write(T.documents(spark, sf_dir), path)
     return read(spark, path)

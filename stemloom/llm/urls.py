@@ -13,8 +13,6 @@ DAMPING = 0.85
 ROUNDS = 20
 #: A host is blocked where its share of distrust exceeds its share of trust by more than this.
 THRESHOLD = 0.4
-#: Pieces in which the pages of one host meet its verdict.
-SALTS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,8 +60,9 @@ def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) ->
     if share.isEmpty():
         return own
     rank = seeds.filter("seed > 0").select("host", F.col("seed").alias("r"))
+    hubs = T.checkpointed(T.hubs_of(share, "src", share.count()))
     for k in range(rounds):
-        moved = share.join(rank, share["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("w") * F.col("r") * damping).alias("r"))
+        moved = T.hub_join(share, rank.withColumnRenamed("host", "src"), "src", hubs).select(F.col("dst").alias("host"), (F.col("w") * F.col("r") * damping).alias("r"))
         rank = moved.unionByName(own).groupBy("host").agg(F.sum("r").alias("r"))
         if k % 5 == 4:
             rank = T.checkpointed(rank)
@@ -123,17 +122,15 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     judged each; an empty table gives an empty result; all columns travel in `row`, or those that
     `keep` names: without the html among them no html is shuffled.
 
-    A host with very many pages meets its scores in SALTS pieces.
+    Hosts with very many pages, of which there are few, meet their scores in pieces.
     """
     url = F.col("`url`")
     kept = pages.select(*[F.col(f"`{c}`") for c in keep]) if keep else pages
-    x = pages.select(T.packed(kept), F.xxhash64("`page_id`", url).alias("id_hash"), host_of(url).alias("host"), path_of(url).alias("path"))
-    x = x.withColumn("m", matched(F.col("host"), F.col("path"), rules)).select("row", "id_hash", "host", "path", "m.rule", F.col("m.verdict").alias("ruled"))
+    x = pages.select(T.packed(kept), host_of(url).alias("host"), path_of(url).alias("path"))
+    x = x.withColumn("m", matched(F.col("host"), F.col("path"), rules)).select("row", "host", "path", "m.rule", F.col("m.verdict").alias("ruled"))
     own = pages.select(host_of(url).alias("host"), path_of(url).alias("path"), F.col("`html`").alias("html"))
     own = own.withColumn("verdict", matched(F.col("host"), F.col("path"), rules)["verdict"])
-    hosts = host_trust(own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.col("id_hash"), F.lit(SALTS)).cast("int")
-    x = x.withColumn("salt", salt).join(hosts, ["host", "salt"], "left")
+    x = T.hub_join(x, host_trust(own), "host", T.hubs_of(x, "host", pages.count()), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when(F.col("distrust_share") - F.col("trust_share") > threshold, "block").otherwise("allow")
     return x.select("row", "host", "path", "rule", trust.alias("trust"), distrust.alias("distrust"), F.coalesce("ruled", method).alias("verdict"))

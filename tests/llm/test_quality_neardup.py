@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,12 @@ from stemloom.llm import neardup, quality
 from stemloom.llm import text as T
 
 
+def _base(text):
+    x = next(T.coded(pa.array([text], pa.string())))[1]
+    assert [x.words[int(k)].as_py() for k in x.codes] == T.words_of(text)
+    return quality.base_counts(text, x.codes, sum(len(x.words[int(k)].as_py()) for k in x.codes))
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
@@ -18,7 +25,7 @@ from stemloom.llm import text as T
     ],
 )
 def test_base_counts(text, want):
-    assert quality.base_counts(text, T.words_of(text)) == want
+    assert _base(text) == want
 
 
 def test_repeats_by_brute_force(spark):
@@ -27,7 +34,7 @@ def test_repeats_by_brute_force(spark):
         windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
         twice = {x for x, n in Counter(windows).items() if n > 1}
         marked = {k + j for k, x in enumerate(windows) if x in twice for j in range(3)}
-        assert quality.base_counts(r.text, w)[4] == len(marked)
+        assert _base(r.text)[4] == len(marked)
 
 
 def test_lengths_without_labels_are_judged(spark):
