@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,9 +102,39 @@ def parse_pipe(cell: Column) -> Column:
     return F.transform(tokens, lambda t: F.trim(t).cast("int"))
 
 
+@cache
+def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """(characters, what each becomes, longer ones): by Unicode's compatibility decomposition without its marks.
+
+    Characters beyond the end of the second text are marks, which go.
+    """
+    single, longer, marks = {}, [], []
+    for k in [*range(0x80, 0x3000), *range(0xFB00, 0xFB50), *range(0xFE00, 0x10000)]:
+        c = chr(k)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if base != c and not 0xD800 <= k < 0xE000:
+            if len(base) == 1:
+                single[c] = base
+            elif c.isalpha() and (k < 0x250 or 0xFB00 <= k <= 0xFB06):
+                longer.append((c, base))
+    return "".join(single) + "".join(marks), "".join(single.values()), tuple(longer)
+
+
 def fold_accents(text: Column) -> Column:
-    """Lower case without accents, for Latin letters."""
-    return F.translate(F.lower(text), "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy")
+    """Lower case without accents, of all scripts that write them; Latin ligatures as their letters."""
+    have, to, longer = _folding()
+    x = F.translate(F.lower(text), have, to)
+    odd = "".join(c for c, _ in longer)
+    # few texts have characters that become more than one: only those go through the map
+    spelt = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(_map(longer), c), c)), "")
+    return F.when(x.rlike(f"[{re.escape(odd)}]"), spelt).otherwise(x)
+
+
+def _map(pairs: tuple[tuple[str, str], ...]) -> Column:
+    return F.create_map(*[F.lit(x) for p in pairs for x in p])
 
 
 def needle_in_name(needle: Column, name: Column) -> Column:

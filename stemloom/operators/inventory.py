@@ -26,7 +26,7 @@ def shares(df: DataFrame, groupings: list[list[str]], keys: list[str]) -> DataFr
 
 def with_dimension(facts: DataFrame, dim: DataFrame, key: str, fill: dict) -> DataFrame:
     """Every member of a dimension, zero where it has no facts. The dimension is a fixed list."""
-    return F.broadcast(dim).join(facts, key, "left").na.fill(fill)
+    return dim.join(facts, key, "left").na.fill(fill)
 
 
 def dimension(spark, key: str, members: tuple) -> DataFrame:

@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Songs that one task packs one by one; smaller songs beyond are packed as groups of equal weight.
-ONE_BY_ONE = 200_000
-
 
 def pack(sizes: DataFrame, chunks: int, frozen: DataFrame | None = None) -> DataFrame:
     """(song_id, chunk): longest first into the least loaded chunk, ties to the lowest number.
 
-    The greedy order is sequential, so its state sits in one task; what it gets is bounded. The largest
-    ONE_BY_ONE songs are packed one at a time. A corpus that has more deals its other songs, which are all
-    smaller, to chunks in turn by size: that moves loads by less than one of those songs. Frozen songs stay
-    where they are and weigh from the start.
+    The greedy order is sequential by definition, so one task streams the sorted (bytes, song_id) pairs,
+    a few bytes a song, past a heap of the chunks' loads: sorting spills to disk, and memory holds one
+    batch, at every size. Frozen songs stay where they are and weigh from the start.
     """
     import pandas as pd
 
@@ -28,21 +25,17 @@ def pack(sizes: DataFrame, chunks: int, frozen: DataFrame | None = None) -> Data
         rows = frozen.join(sizes, "song_id").groupBy("chunk").agg(F.sum("bytes").alias("b")).collect()  # a row a chunk
         loads = {r["chunk"]: int(r["b"]) for r in rows}
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heap = [(loads.get(k, 0), k) for k in range(n)]
         heapq.heapify(heap)
-        pdf = pdf.sort_values(["bytes", "song_id"], ascending=[False, True])
-        out = []
-        for b in pdf["bytes"]:
-            load, k = heapq.heappop(heap)
-            out.append(k)
-            heapq.heappush(heap, (load + int(b), k))
-        return pd.DataFrame({"song_id": pdf["song_id"], "chunk": out})
-
-    order = [F.desc("bytes"), F.asc("song_id")]
-    top = free.orderBy(*order).limit(ONE_BY_ONE)
-    packed = top.select("song_id", "bytes", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(greedy, f"song_id {dict(sizes.dtypes)['song_id']}, chunk int")
-    if free.limit(ONE_BY_ONE + 1).count() > ONE_BY_ONE:
-        rest = free.join(packed.select("song_id"), "song_id", "left_anti")
-        packed = packed.unionByName(rest.select("song_id", F.pmod(F.xxhash64("bytes", "song_id"), F.lit(n)).cast("int").alias("chunk")))
+        for pdf in batches:
+            out = []
+            for b in pdf["bytes"]:
+                load, k = heap[0]
+                out.append(k)
+                heapq.heapreplace(heap, (load + int(b), k))
+            yield pd.DataFrame({"song_id": pdf["song_id"], "chunk": out})
+
+    one = free.select("song_id", "bytes").repartition(1).sortWithinPartitions(F.desc("bytes"), F.asc("song_id"))
+    packed = one.mapInPandas(greedy, f"song_id {dict(sizes.dtypes)['song_id']}, chunk int")
     return packed if frozen is None else frozen.select("song_id", "chunk").unionByName(packed)

@@ -82,12 +82,10 @@ def quota_sample(df: DataFrame, song: str, category: str, least: int, most: int,
 
     per = df.groupBy(song, category).agg(F.count(F.lit(1)).alias("k"))
     per = per.withColumn("h", X.seeded_order(seed, F.col(song)))
-    need = None
-    for c in [r[0] for r in df.select(category).distinct().limit(1000).collect()]:
-        part = per.filter(F.col(category) == c).orderBy("h", song).limit(least)
-        need = part if need is None else need.unionByName(part)
-    if need is None:
-        return df.select(song).limit(0)
+    # the first `least` of each piece of the order hold the first of the whole, and pieces split a category
+    piece = F.substring("h", 1, 2)
+    near = per.withColumn("_n", F.row_number().over(W.partitionBy(category, piece).orderBy("h", song))).filter(F.col("_n") <= least)
+    need = near.withColumn("_n", F.row_number().over(W.partitionBy(category).orderBy("h", song))).filter(F.col("_n") <= least)
     songs = need.select(song).distinct()
     rows = per.join(songs, song).groupBy(song, "h").agg(F.map_from_entries(F.collect_list(F.struct(category, "k"))).alias("c"))
 
@@ -106,7 +104,7 @@ def quota_sample(df: DataFrame, song: str, category: str, least: int, most: int,
 
 
 def cycled(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows of a short ordered list (place, ...), from the start again when it ends."""
+    """The first n rows of an ordered list (place, ...), from the start again when it ends."""
     size = df.count()
     x = df.sparkSession.range(n).withColumn("place", (F.col("id") % max(size, 1)).cast("int"))
-    return x.join(F.broadcast(df), "place").orderBy("id")
+    return x.join(df, "place").orderBy("id")

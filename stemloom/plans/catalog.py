@@ -203,10 +203,10 @@ def category_hours_dim(spark, d):
     return I.with_dimension(h, I.dimension(spark, "category", V.CATEGORIES), "category", {"n": 0, "wall_hours": 0.0, "active_hours": 0.0, "active_frac": 0.0}).select("place", *h.columns)
 
 
-@query("attach_active_hours", _GM_SQL + ", a AS (SELECT gm_id, round(sum(active_seconds) / 3600, 6) AS active_hours FROM g WHERE present AND gm_id % 3 <> 0 GROUP BY 1) SELECT gm_id, n, coalesce(active_hours, 0) AS active_hours FROM (SELECT gm_id, count(*) AS n FROM g GROUP BY 1) LEFT JOIN a USING (gm_id)")
+@query("attach_active_hours", _GM_SQL + ", a AS (SELECT gm_id, round(sum(active_seconds) / 3600, 6) AS active_hours FROM g WHERE present GROUP BY 1) SELECT gm_id, n, coalesce(active_hours, 0) AS active_hours FROM (SELECT gm_id, count(*) AS n FROM g GROUP BY 1) LEFT JOIN a USING (gm_id)")
 def attach_active_hours(spark, d):
     g = _gm(A.stems(spark, d))
-    a = g.filter("present and gm_id % 3 <> 0").groupBy("gm_id").agg(F.round(F.sum("active_seconds") / 3600, 6).alias("active_hours"))
+    a = g.filter("present").groupBy("gm_id").agg(F.round(F.sum("active_seconds") / 3600, 6).alias("active_hours"))
     return I.counts(g, "gm_id").join(a, "gm_id", "left").na.fill({"active_hours": 0.0})
 
 
@@ -414,10 +414,10 @@ def equivalence_expand(spark, d):
     return L.expand_equivalences(A.ratings(spark, d), q).select("listener_id", "trial_id", "variant_id", "event_id", "source")
 
 
-@query("probe_variant_cross", ", v AS (SELECT DISTINCT event_type AS variant_id FROM events), p AS (SELECT s.* FROM stems s WHERE song_no < 400 AND is_drum) SELECT song_id, track, variant_id FROM p, v WHERE NOT (track = 1 AND variant_id = 'view')")
+@query("probe_variant_cross", ", v AS (SELECT DISTINCT event_type AS variant_id FROM events), p AS (SELECT s.* FROM stems s WHERE is_drum) SELECT song_id, track, variant_id FROM p, v WHERE NOT (track = 1 AND variant_id = 'view')")
 def probe_variant_cross(spark, d):
     """Probes with every variant of a fixed list, less those that exist: an explode, not a cross join."""
-    probes = A.stems(spark, d).filter("song_no < 400 and is_drum").select("song_id", "track")
+    probes = A.stems(spark, d).filter("is_drum").select("song_id", "track")
     tasks = probes.withColumn("variant_id", F.explode(F.array(*map(F.lit, ("view", "error", "click", "purchase", "signup")))))
     done = tasks.filter("track = 1 and variant_id = 'view'")
     return M.delete_keys(tasks, done, ["song_id", "track", "variant_id"])
@@ -482,7 +482,7 @@ def missing_routing(spark, d):
 @query(
     "pass_progress",
     """, a AS (SELECT song_id, count(*) FILTER (method = 'midi-ddsp') AS n_neural, count(*) FILTER (method <> 'midi-ddsp') AS n_native FROM recipe GROUP BY 1),
-  x AS (SELECT song_id, count(*) FILTER (backend IN ('midi_ddsp', 'ddsp_piano')) AS neural, count(*) FILTER (method = 'midi-ddsp' AND backend = 'fluidsynth') AS fallback, count(*) FILTER (method <> 'midi-ddsp') AS native FROM recipe_rows WHERE p2 % 3 <> 0 GROUP BY 1),
+  x AS (SELECT song_id, count(*) FILTER (backend IN ('midi_ddsp', 'ddsp_piano')) AS neural, count(*) FILTER (method = 'midi-ddsp' AND backend = 'fluidsynth') AS fallback, count(*) FILTER (method <> 'midi-ddsp') AS native FROM recipe_rows GROUP BY 1),
   j AS (SELECT a.*, coalesce(neural, 0) AS neural, coalesce(fallback, 0) AS fallback, coalesce(native, 0) AS native FROM a LEFT JOIN x USING (song_id)),
   k AS (SELECT *, least(neural, n_neural) AS nd FROM j), l AS (SELECT *, least(fallback, greatest(0, n_neural - nd)) AS cr FROM k), m AS (SELECT *, least(native + fallback - cr, n_native) AS vd FROM l)
   SELECT song_id, nd AS neural_done, cr AS credit, vd AS native_done, n_neural - nd - cr + n_native - vd AS remaining FROM m""",
@@ -490,7 +490,7 @@ def missing_routing(spark, d):
 def pass_progress(spark, d):
     neural = F.col("method") == "midi-ddsp"
     a = A.recipe(spark, d).groupBy("song_id").agg(F.count_if(neural).alias("n_neural"), F.count_if(~neural).alias("n_native"))
-    done = A.recipe_rows(spark, d).filter("p2 % 3 <> 0").groupBy("song_id").agg(
+    done = A.recipe_rows(spark, d).groupBy("song_id").agg(
         F.count_if(F.col("backend").isin("midi_ddsp", "ddsp_piano")).alias("neural"), F.count_if(neural & (F.col("backend") == "fluidsynth")).alias("fallback"), F.count_if(~neural).alias("native")
     )
     return S.pass_progress(a, done)
@@ -558,18 +558,18 @@ def tied_winners(spark, d):
     return L.tied_winners(m, "category", "mean").select("category", "variant_id")
 
 
-@query("swipe_winners", ", c AS (SELECT category, variant_id, count(*) FILTER (tier = 'strong_accept') AS strong, count(*) FILTER (tier = 'weak_accept') AS weak FROM votes WHERE event_id % 7 <> 0 GROUP BY 1, 2), r AS (SELECT *, bool_or(strong > 0) OVER (PARTITION BY category) AS x, row_number() OVER (PARTITION BY category ORDER BY weak DESC, variant_id) AS place FROM c) SELECT category, variant_id, strong, weak FROM r WHERE (x AND strong > 0) OR (NOT x AND weak > 0 AND place <= 2)")
+@query("swipe_winners", ", c AS (SELECT category, variant_id, count(*) FILTER (tier = 'strong_accept') AS strong, count(*) FILTER (tier = 'weak_accept') AS weak FROM votes GROUP BY 1, 2), r AS (SELECT *, bool_or(strong > 0) OVER (PARTITION BY category) AS x, row_number() OVER (PARTITION BY category ORDER BY weak DESC, variant_id) AS place FROM c) SELECT category, variant_id, strong, weak FROM r WHERE (x AND strong > 0) OR (NOT x AND weak > 0 AND place <= 2)")
 def swipe_winners(spark, d):
-    return L.tier_winners(A.votes(spark, d).filter("event_id % 7 <> 0"))
+    return L.tier_winners(A.votes(spark, d))
 
 
-_LAST_VOTE = ", lv AS (SELECT * FROM votes WHERE event_id % 5 = 1 QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY voted_at DESC, event_id DESC) = 1), cards AS (SELECT DISTINCT card_id, category, variant_id FROM votes) "
+_LAST_VOTE = ", lv AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY voted_at DESC, event_id DESC) = 1), cards AS (SELECT DISTINCT card_id, category, variant_id FROM votes) "
 
 
 def _cards_votes(spark, d):
     v = A.votes(spark, d)
     cards = v.select("card_id", "category", "variant_id").distinct()
-    last = keep_last(v.filter("event_id % 5 = 1"), ["card_id"], ["voted_at", "event_id"])
+    last = keep_last(v, ["card_id"], ["voted_at", "event_id"])
     return cards, last
 
 
@@ -626,9 +626,9 @@ def band_scale(spark, d):
     return A.ratings(spark, d).select("event_id", X.band(r).alias("band"), X.likert(r).alias("likert"), X.band_midpoint(r).alias("midpoint"), X.band_label(r, "realism").alias("label"))
 
 
-@query("hidden_equivalent", "SELECT variant_id, bool_and(auto_assigned) AS hidden FROM ratings WHERE trial_id < 10 GROUP BY 1")
+@query("hidden_equivalent", "SELECT variant_id, bool_and(auto_assigned) AS hidden FROM ratings GROUP BY 1")
 def hidden_equivalent(spark, d):
-    return A.ratings(spark, d).filter("trial_id < 10").groupBy("variant_id").agg(F.bool_and("auto_assigned").alias("hidden"))
+    return A.ratings(spark, d).groupBy("variant_id").agg(F.bool_and("auto_assigned").alias("hidden"))
 
 
 @query("sdr_means", "SELECT train_arm, test_set, target, round(avg(si_sdr), 6) AS mean, count(*) AS n FROM metrics GROUP BY 1, 2, 3")
@@ -645,7 +645,7 @@ def metric_keep_last(spark, d):
 def paper_rows(spark, d):
     jobs = spark.createDataFrame([(a, t) for a in range(5) for t in ("view", "none")], "train_arm long, test_set string")
     m = A.metrics(spark, d).groupBy("train_arm", "test_set").agg(F.avg("si_sdr").alias("m"))
-    return F.broadcast(jobs).join(m, ["train_arm", "test_set"], "left").select("train_arm", "test_set", F.when(F.col("m").isNull(), "pending").otherwise("done").alias("state"), F.round("m", 6).alias("mean"))
+    return jobs.join(m, ["train_arm", "test_set"], "left").select("train_arm", "test_set", F.when(F.col("m").isNull(), "pending").otherwise("done").alias("state"), F.round("m", 6).alias("mean"))
 
 
 @query("bootstrap_ci")

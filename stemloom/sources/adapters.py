@@ -96,7 +96,8 @@ def ratings(spark: SparkSession, d: str) -> DataFrame:
 
 def votes(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    tier = F.element_at(F.array(*map(F.lit, ("strong_reject", "weak_accept", "weak_reject", "strong_accept"))), ((F.col("event_id") / 10).cast("long") % 4 + 1).cast("int"))
+    tiers = ("strong_reject", "weak_accept", "weak_reject", "strong_accept", None)  # null: shown, not voted on
+    tier = F.element_at(F.array(*map(F.lit, tiers)), ((F.col("event_id") / 10).cast("long") % 5 + 1).cast("int"))
     return e.select(
         F.col("event_id"),
         F.col("event_type").alias("variant_id"),
@@ -156,7 +157,7 @@ recipe_rows AS (SELECT *, CASE WHEN method <> 'midi-ddsp' THEN 'fluidsynth' WHEN
 recipe AS (SELECT * FROM recipe_rows QUALIFY row_number() OVER (PARTITION BY song_id, track ORDER BY {_ORDER_DESC}) = 1),
 ratings AS (SELECT event_id, user_id % 25 AS listener_id, event_id % 20 AS trial_id, (['drums', 'piano', 'strings', 'wind'])[(event_id % 4 + 1)::INT] AS category, event_id % 11 AS stem_id,
   event_type AS variant_id, CASE WHEN event_id % 17 <> 0 THEN least(100.0::DOUBLE, value / 5) END AS content, (value * 7) % 100.0::DOUBLE AS realism, event_id % 3 = 0 AS auto_assigned FROM events),
-votes AS (SELECT event_id, event_type AS variant_id, user_id % 50 AS clip_id, (event_id % 10)::VARCHAR AS category, (['strong_reject', 'weak_accept', 'weak_reject', 'strong_accept'])[((event_id // 10) % 4 + 1)::INT] AS tier,
+votes AS (SELECT event_id, event_type AS variant_id, user_id % 50 AS clip_id, (event_id % 10)::VARCHAR AS category, (['strong_reject', 'weak_accept', 'weak_reject', 'strong_accept', NULL])[((event_id // 10) % 5 + 1)::INT] AS tier,
   CASE WHEN event_id % 19 = 0 THEN CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'other' END || '|x' END AS cascaded_from, epoch_us(ts) AS voted_at,
   event_type || '|' || (event_id % 10) || '|' || (user_id % 50) AS card_id FROM events),
 metrics AS (SELECT event_id % 3 AS train_arm, event_type AS test_set, user_id % 4 AS target, user_id AS song_no, event_id, value AS si_sdr FROM events),

@@ -63,22 +63,80 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, batch: DataFrame, keys: list[str]) -> None:
-    """Replace rows by key; the new version is written beside the old one and renamed.
+    """Replace rows by key; the new version is written beside the old one and put in its place.
 
-    One writer at a time, as with any table without a transaction log.
+    One writer at a time, as with any table without a transaction log. A writer that died on the way is
+    finished first.
     """
+    recover(spark, path)
     new = batch if not exists(spark, path) else merge.upsert(spark.read.parquet(path), batch, keys)
     swap(spark, new, path)
 
 
-def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside a path, then put it in the path's place."""
-    jvm = spark.sparkContext._jvm
-    side, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(side, old)
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return p, p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _put(spark: SparkSession, path: str) -> None:
+    """Put the finished folder beside a path in its place, part by part where it is partitioned.
+
+    What is deleted is always there in a finished copy; each step may be repeated after a crash.
+    """
+    to, fs = _fs(spark, path)
+    parts = [x.getPath().getName() for x in fs.listStatus(to(f"{path}.new")) if x.isDirectory() and "=" in x.getPath().getName()]
+    if not parts:
+        fs.delete(to(path), True)
+        fs.rename(to(f"{path}.new"), to(path))
+        return
+    fs.mkdirs(to(path))
+    for name in parts:
+        fs.delete(to(f"{path}/{name}"), True)
+        fs.rename(to(f"{path}.new/{name}"), to(f"{path}/{name}"))
+    fs.delete(to(f"{path}.new"), True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish what a writer that died had begun: a finished folder is put in place, an unfinished one counts for nothing."""
+    to, fs = _fs(spark, path)
+    if fs.exists(to(f"{path}.new/_SUCCESS")):
+        _put(spark, path)
+
+
+def swap(spark: SparkSession, df: DataFrame, path: str, part: str | None = None) -> None:
+    """Write beside a path, then put it in the path's place; with `part`, only the parts that df has."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(part) if part else writer).parquet(f"{path}.new")
+    _put(spark, path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A small table, such as a summary or a saved sample, as one file of JSON lines."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_sample(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A saved sample."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_assignment(spark: SparkSession, path: str) -> DataFrame:
+    """(song_id, chunk) of a table in which each song stands once, else an error."""
+    x = spark.read.schema("song_id string, chunk int").option("header", True).csv(path)
+    twice = x.groupBy("song_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"songs with more than one chunk: {', '.join(str(r.song_id) for r in twice)}")
+    return x
+
+
+def write_assignment(frozen: DataFrame, new: DataFrame, path: str) -> None:
+    """Frozen assignments with the new ones, those of frozen songs left as they are."""
+    merge.frozen_wins(frozen, new, "song_id").write.mode("overwrite").option("header", True).csv(path)
+
+
+def first_existing_path(spark: SparkSession, candidates: Sequence[str]) -> str | None:
+    """The first of some paths that exists."""
+    return next((p for p in candidates if exists(spark, p)), None)
 
 
 def write_csv(df: DataFrame, path: str, compressed: bool = True) -> None:

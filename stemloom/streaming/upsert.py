@@ -14,18 +14,28 @@ def stream_parquet(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def keep_last_into(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+#: Parts of a table that a stream keeps up to date; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def keep_last_into(stream: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Append-only logs into a table with the last row of each key: each micro-batch is merged by key.
 
-    A batch that is run again gives the same table, so a restart loses and repeats nothing.
+    The table is cut by a hash of the key in `bucket`, and a batch reads and rewrites only the buckets of
+    its keys. A batch that is run again gives the same table, and a writer that died is finished first,
+    so a restart loses and repeats nothing.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        last = keep_last(batch, keys, order)
+        files.recover(spark, target)
+        last = keep_last(batch, keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in last.select("bucket").distinct().collect()]  # `buckets` at most
         if files.exists(spark, target):
-            last = keep_last(spark.read.parquet(target).unionByName(last, allowMissingColumns=True), keys, order)
-        files.swap(spark, last, target)
+            have = spark.read.parquet(target).filter(F.col("bucket").isin(touched))
+            last = keep_last(have.unionByName(last, allowMissingColumns=True), keys, order)
+        if touched:
+            files.swap(spark, last.repartition("bucket"), target, "bucket")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
