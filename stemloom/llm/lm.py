@@ -244,7 +244,7 @@ def _line(t: pa.RecordBatch, k: int, lex: Lexicon) -> tuple[np.ndarray, np.ndarr
 def rare(docs: DataFrame, words: DataFrame, lexicon: Broadcast) -> DataFrame:
     """(uid, kind, h, w, c, held, ac, ar, hc, hr): tokens that are beyond the head, or that follow such a word.
 
-    h, w: the context and the word, by number or, beyond the head, by hash. kind: 4 times the fold, plus
+    h, w: the context and the word by number, 0 beyond the head. kind: 4 times the fold, plus
     2 where the context and 1 where the word is beyond the head. c, held: counts of the pair; ac, ar: of
     the word or else the context that is beyond the head, in all training tokens and in the rest; hc, hr:
     of the context, where both are. Counts of the other words are at hand. All tokens that a word beyond
@@ -273,7 +273,9 @@ def rare(docs: DataFrame, words: DataFrame, lexicon: Broadcast) -> DataFrame:
     two = x.filter("kind % 4 = 3")
     counts = words.select(F.xxhash64("word").alias("code"), F.col("c").alias("hc"), (F.col("c") - F.col("held")).alias("hr"))
     two = two.join(counts, two["h"] == counts["code"], "left").drop("code")
-    return x.filter("kind % 4 < 3").withColumns({"hc": none, "hr": none}).unionByName(two)
+    x = x.filter("kind % 4 < 3").withColumns({"hc": none, "hr": none}).unionByName(two)
+    number = lambda c, bit: F.when(F.col("kind").bitwiseAND(bit) > 0, 0).otherwise(F.col(c)).cast("int").alias(c)
+    return x.select("uid", "kind", number("h", 2), number("w", 1), "c", "held", "ac", "ar", "hc", "hr")
 
 
 def _counts(b: pa.RecordBatch, lex: Lexicon) -> tuple[np.ndarray, ...]:
@@ -281,7 +283,6 @@ def _counts(b: pa.RecordBatch, lex: Lexicon) -> tuple[np.ndarray, ...]:
     kind, h, w, c, held, ac, ar = (b.column(k).to_numpy() for k in ("kind", "h", "w", "c", "held", "ac", "ar"))
     hc, hr = (pc.fill_null(b.column(k), 0).to_numpy() for k in ("hc", "hr"))
     rare_h, own = kind & 2 > 0, kind & 1 > 0
-    h, w = np.where(rare_h, 0, h), np.where(own, 0, w)
     return (
         kind >> 2, own, c, held,
         np.where(rare_h, np.where(own, hc, ac), lex.counts[h]), np.where(rare_h, np.where(own, hr, ar), lex.rest[h]),
@@ -327,7 +328,7 @@ def mixture_weights(dense: np.ndarray, pairs: DataFrame, loose: DataFrame, lexic
 
     whole = pairs.filter("held is not null").select(F.col("held").alias("x"))
     few = loose.filter(F.floor(F.col("kind") / 4) == HELD_FOLD).drop("uid").mapInArrow(held_rows, "x binary")
-    x = T.checkpointed(whole.unionByName(few))
+    x = whole.unionByName(T.written(few, "held-out"))
     lex = lexicon.value
     h, w, c, held = (y[dense[3] > 0] for y in dense)
     own = _held(_buckets(lex.counts[h]), (c - held) / np.maximum(lex.rest[h], 1), lex.rest[w] / n_rest, held)
@@ -378,8 +379,8 @@ def score_corpus(docs: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD
     got = bigrams(x.filter(in_training), lexicon).toArrow()  # the vocabulary squared at most
     dense = np.stack([got.column(k).to_numpy().astype(np.int64) for k in ("h", "w", "c", "held")])
     tokens = x.agg(F.sum("n")).first()[0] or 0
-    pairs = T.checkpointed(dealt(x, lexicon, -(-tokens // PIECE) or 1, n_rest))
-    loose = T.checkpointed(rare(x, words, lexicon))
+    pairs = T.written(dealt(x, lexicon, -(-tokens // PIECE) or 1, n_rest), "pairs")
+    loose = T.written(rare(x, words, lexicon), "rare-tokens")
     weights = mixture_weights(dense, pairs, loose, lexicon, n_rest, v_rest)
     key = dense[0] * lex.width + dense[1]
     order = np.argsort(key)

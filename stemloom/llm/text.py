@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stemloom.session import checkpointed, removed, shared_folder, table
 
 __all__ = [
-    "WORD", "Coded", "Memo", "checkpointed", "coded", "documents", "fresh", "hub_join", "hubs_of", "n_words", "packed", "removed", "row_hash", "shared_folder", "spread", "table", "unpacked", "words_of",
+    "WORD", "Coded", "Memo", "checkpointed", "coded", "documents", "fresh", "hub_join", "hubs_of", "n_words", "packed", "removed", "row_hash", "shared_folder", "spread", "table", "unpacked", "words_of", "written",
 ]
 
 #: A word: what stands between the ASCII white space characters.
@@ -32,6 +32,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def written(df: DataFrame, stem: str) -> DataFrame:
+    """df as a compressed table in the shared folder: like a checkpoint, for many rows of small numbers."""
+    path = shared_folder(df.sparkSession, stem)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
