@@ -41,6 +41,7 @@ def _fold(doc_id: Column) -> Column:
 
 
 def _coded(column: pa.Array) -> Iterator[tuple[slice, T.Coded]]:
+    T.Memo.clear()
     return T.coded(pc.ascii_lower(column.cast(pa.string())), 12_000_000)  # A-Z only
 
 

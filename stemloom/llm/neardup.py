@@ -55,6 +55,7 @@ def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
 
 
 def text_shingles(texts: pa.Array, n: int = WORDS) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    T.Memo.clear()
     for part, x in T.coded(texts):
         own = x.words.to_pylist()
         words = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))[x.codes]

@@ -79,14 +79,13 @@ class Coded:
         return values, np.append(0, np.cumsum(times))[self.starts]
 
 
-def coded(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[slice, Coded]]:
+def coded(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[slice, Coded]]:
     """The words of a column of texts, portion by portion, each distinct one only once; null has none."""
-    column = pc.fill_null(column.cast(pa.string()), "")
-    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < len(column):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most_bytes)))
-        lists = pc.ascii_split_whitespace(column.slice(start, stop - start))
+        lists = pc.ascii_split_whitespace(pc.fill_null(column.slice(start, stop - start).cast(pa.string()), ""))
         found = lists.flatten().dictionary_encode()
         codes, starts = found.indices.to_numpy(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64))
         empty = pc.index(found.dictionary, "").as_py()
@@ -95,6 +94,7 @@ def coded(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[slice
             codes, starts = codes[keep], np.append(0, np.cumsum(keep))[starts]
         yield slice(start, stop), Coded(found.dictionary, codes, starts)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -155,10 +155,16 @@ class Memo:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @classmethod
+    def clear(cls) -> None:
+        """Empty the memo that an operator before this one left in the worker."""
+        if cls.latest is not None:
+            cls.latest.forget()
+            cls.latest = None
+
     def learn(self, batches: Iterable[list[str]]) -> None:
         if Memo.latest is not self:
-            if Memo.latest is not None:
-                Memo.latest.forget()
+            Memo.clear()
             Memo.latest = self
         self.add(batches)
 
