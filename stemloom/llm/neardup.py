@@ -310,16 +310,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bucket pairs are pruned by the posterior of their similarity; the components of what is left hold
     all candidates, and in each component pairs are pruned again and verified exactly. Large buckets
     and components are cut into tiles: pairs stay inside tasks, and only counts and spanning forests
-    leave them. No bucket is capped.
+    leave them. No bucket is capped. Where one text has very many copies, its rows meet the one row
+    that is known of it in pieces.
     """
     x = docs.select(F.col("`doc_id`").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     x = x.withColumn("tid", F.xxhash64("text"))
     signed = T.checkpointed(_signed(x))
     comp = components(_candidates(signed)).select(F.col("node").alias("tid"), F.col("root").alias("comp"))
     size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    copies = x.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
+    copies = T.checkpointed(x.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")))
+    rows = copies.agg(F.sum("copies")).first()[0] or 0
+    hubs = copies.filter(F.col("copies") > max(rows / T.HUBS, T.HUB_LEAST)).select("tid")
     known = comp.join(size, "comp").join(signed.select("tid", "sig"), "tid").join(copies.select("tid", "copies"), "tid")
-    texts = x.join(comp.select("tid"), "tid", "left_semi").select("tid", "text").dropDuplicates(["tid"])
+    texts = T.hub_join(x.select("tid", "text"), comp.select("tid"), "tid", hubs, "left_semi").dropDuplicates(["tid"])
     found = T.checkpointed(_links(known.join(texts, "tid"), threshold))
     classes = components(found.select(F.col("tid").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("tid").agg(F.sum("links").alias("links"))
@@ -327,7 +330,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     info = info.withColumn("root", F.coalesce("root", "tid"))
     least = info.groupBy("root").agg(F.min("first_id").alias("class_id"))
     info = info.join(least, "root").select("tid", "root", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return x.select("doc_id", "tid").join(info, "tid").select("doc_id", "tid", "root", "class_id", "n_links", "copies")
+    return T.hub_join(x.select("doc_id", "tid"), info, "tid", hubs).select("doc_id", "tid", "root", "class_id", "n_links", "copies")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

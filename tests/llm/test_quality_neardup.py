@@ -126,6 +126,14 @@ def test_join_in_tiles(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.class_id, r.n_links) for r in x.collect()) == brute(docs)
 
 
+def test_join_with_hot_texts(spark, monkeypatch):
+    monkeypatch.setattr(T, "HUB_LEAST", 5)
+    near = " ".join([*BASE[:-1], "other"])
+    docs = [(k, (" ".join(BASE), near, None)[k % 3]) for k in range(60)] + variants()
+    x = neardup.join(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((str(r.doc_id), r.class_id, r.n_links) for r in x.collect()) == brute(docs)
+
+
 def test_join_on_corpus(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     x = neardup.join(spark.createDataFrame(docs, "doc_id long, text string"))
