@@ -112,10 +112,10 @@ def part_bytes(spark, d):
     return x.groupBy(X.download_part(F.col("chunk")).alias("part")).agg((F.sum(F.coalesce("bytes", F.lit(0))) + 1000).alias("bytes"))
 
 
-@query("mix_length_update", "SELECT song_id, CASE WHEN song_no % 5 = 0 THEN 1.5::DOUBLE ELSE song_length END AS song_length FROM songs_meta")
+@query("mix_length_update", "SELECT song_id, CASE WHEN NOT all_valid THEN 1.5::DOUBLE ELSE song_length END AS song_length FROM songs_meta")
 def mix_length_update(spark, d):
-    s = A.songs_meta(spark, d).select("song_id", "song_no", "song_length")
-    return S.rewritten(s, s.filter("song_no % 5 = 0").select("song_id", F.lit(1.5).alias("song_length")), "song_id", "song_length").drop("song_no")
+    s = A.songs_meta(spark, d).select("song_id", "all_valid", "song_length")
+    return S.rewritten(s, s.filter("not all_valid").select("song_id", F.lit(1.5).alias("song_length")), "song_id", "song_length").drop("all_valid")
 
 
 @query("dense_tracks", "SELECT song_id, (row_number() OVER (PARTITION BY song_id ORDER BY track) - 1)::INT AS track, track AS original_track FROM stems WHERE present")
@@ -461,10 +461,10 @@ def upsert_replace(spark, d):
     return M.upsert(A.stems(spark, d).select(*c), A.raw_stems(spark, d).filter("pass_no = 2").select(*c), _KEYS)
 
 
-@query("frozen_wins_union", ", f AS (SELECT song_id, 0 AS chunk FROM songs_meta WHERE song_no % 4 = 0), n AS (SELECT song_id, chunk FROM songs_meta WHERE song_no % 3 = 0) SELECT * FROM f UNION ALL SELECT * FROM n WHERE song_id NOT IN (SELECT song_id FROM f)")
+@query("frozen_wins_union", ", f AS (SELECT song_id, 0 AS chunk FROM songs_meta WHERE rated_deduplicated), n AS (SELECT song_id, chunk FROM songs_meta) SELECT * FROM f UNION ALL SELECT * FROM n WHERE song_id NOT IN (SELECT song_id FROM f)")
 def frozen_wins_union(spark, d):
     m = A.songs_meta(spark, d)
-    return M.frozen_wins(m.filter("song_no % 4 = 0").select("song_id", F.lit(0).alias("chunk")), m.filter("song_no % 3 = 0").select("song_id", "chunk"), "song_id")
+    return M.frozen_wins(m.filter("rated_deduplicated").select("song_id", F.lit(0).alias("chunk")), m.select("song_id", "chunk"), "song_id")
 
 
 @query("complete_songs", "SELECT song_id, got FROM (SELECT song_id, count(DISTINCT track) AS got FROM raw_stems WHERE pass_no > 0 GROUP BY 1) JOIN (SELECT song_id, count(DISTINCT track) AS n_tracks FROM raw_stems GROUP BY 1) USING (song_id) WHERE got >= n_tracks")
