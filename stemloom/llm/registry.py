@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, lm, mixing, neardup, quality, sharding, tokencount, tokenindex, urls
+from . import decontaminate, extract, lm, mixing, neardup, pii, quality, sharding, tokencount, tokenindex, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_extract": extract.op10_extract,
+    "op12_pii": pii.op12_pii,
 }
 
 ORACLE = {
     "op1_mixing": mixing.ORACLE_SQL,
+    "op12_pii": pii.ORACLE_SQL,
 }
