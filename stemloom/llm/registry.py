@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, lm, mixing, neardup, pii, quality, sharding, tokencount, tokenindex, urls
+from . import decontaminate, divergence, extract, lm, mixing, neardup, periodic, pii, quality, sharding, tokencount, tokenindex, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_extract": extract.op10_extract,
+    "op11_divergence": divergence.op11_divergence,
     "op12_pii": pii.op12_pii,
+    "op13_periodic": periodic.op13_periodic,
 }
 
 ORACLE = {
     "op1_mixing": mixing.ORACLE_SQL,
+    "op11_divergence": divergence.ORACLE_SQL,
     "op12_pii": pii.ORACLE_SQL,
 }
