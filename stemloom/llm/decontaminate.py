@@ -59,18 +59,38 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _runs(h: np.ndarray, place: np.ndarray, item: np.ndarray | None = None) -> np.ndarray:
-    """Where a run of equal hashes at one place after another begins (and of one item)."""
-    same = (h[1:] == h[:-1]) & (place[1:] == place[:-1] + 1)
+def _progressions(h: np.ndarray, place: np.ndarray, item: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, times, step): rows of equal hashes (and items) at evenly spaced places, as in periodic texts.
+
+    Rows are sorted by hash, item and place. Four evenly spaced ones or more are one progression, each
+    other row is one by itself; a row may end one and begin another.
+    """
+    if not len(h):
+        return (np.empty(0, np.int64),) * 3
+    alike = h[1:] == h[:-1]
     if item is not None:
-        same &= item[1:] == item[:-1]
-    return np.flatnonzero(np.concatenate([[True], ~same])) if len(h) else np.empty(0, np.int64)
+        alike &= item[1:] == item[:-1]
+    links, gap = np.flatnonzero(alike), np.diff(place)
+    new = np.ones(len(links), bool)
+    new[1:] = (np.diff(links) != 1) | (gap[links[1:]] != gap[links[:-1]])
+    begin = np.flatnonzero(new)
+    size = np.diff(begin, append=len(links))
+    long = size >= 3
+    first, times = links[begin[long]], size[long] + 1
+    covered = np.zeros(len(h) + 1, np.int64)
+    np.add.at(covered, first, 1)
+    np.add.at(covered, first + times, -1)
+    alone = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    step = np.append(gap[first], np.zeros(len(alone), np.int64))
+    first, times = np.append(first, alone), np.append(times, np.ones(len(alone), np.int64))
+    order = np.argsort(first, kind="stable")
+    return first[order], times[order], step[order]
 
 
 class Seeds:
     """The seeds of a block of test items, sorted, with a bit table that answers most lookups.
 
-    Equal seeds at one place after another, as in a text of one word, are one run. Items too short for
+    Equal seeds at evenly spaced places, as in a periodic text, are one progression. Items too short for
     the masks to catch every change they may have are cut in three parts, of which one is whole where
     two tokens at most are changed.
     """
@@ -88,13 +108,13 @@ class Seeds:
             h = np.concatenate([*[x for _, x, _ in own], np.empty(0, np.uint64)])
             item = np.repeat(np.array([k for k, _, _ in own], np.int64), [len(x) for _, x, _ in own])
             place = np.concatenate([*[np.arange(p, p + len(x)) for _, x, p in own], np.empty(0, np.int64)])
-            order = np.argsort(h, kind="stable")
+            order = np.lexsort((place, item, h))
             h, item, place = h[order], item[order], place[order]
-            first = _runs(h, place, item)
+            first, times, step = _progressions(h, place, item)
             bits = max(16, int(len(first) * 16).bit_length())
             maybe = np.zeros(1 << bits, bool)
             maybe[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.tables.append((mask, h[first], item[first], place[first], np.diff(first, append=len(h)), maybe, np.uint64(64 - bits)))
+            self.tables.append((mask, h[first], item[first], place[first], times, step, maybe, np.uint64(64 - bits)))
         #: Items under SHORT tokens: compared whole, by their first token.
         self.short: dict[int, list[int]] = {}
         for k, x in enumerate(items):
@@ -102,30 +122,54 @@ class Seeds:
                 self.short.setdefault(int(x[0]), []).append(k)
 
     def hits(self, tokens: np.ndarray, most: int = 1_000_000) -> np.ndarray:
-        """Rows (item, place of the item's first token among the tokens) of all seed matches, each once."""
-        found = np.empty((0, 2), np.int64)
-        for mask, h, item, place, times, maybe, shift in self.tables:
+        """Rows (item, place of the item's first token among the tokens) of all seed matches, each once.
+
+        Progressions of the document meet those of the items that have their hash; two give the shifts
+        of one more progression, not the product of their places. No more than `most` pairs or shifts
+        are written out at a time.
+        """
+        longest = max(map(len, self.items), default=0)
+        span = len(tokens) + longest + 1
+        found = np.empty(0, np.int64)
+        for mask, h, item, place, times, step, maybe, shift in self.tables:
             mine = seed_hashes(tokens, mask)
             at = np.flatnonzero(maybe[(mine >> shift).astype(np.int64)])
             if not len(at):
                 continue
-            start = _runs(mine[at], at)
-            p, n = at[start], np.diff(start, append=len(at))
+            at = at[np.lexsort((at, mine[at]))]
+            start, n, d = _progressions(mine[at], at)
+            p = at[start]
             first, last = np.searchsorted(h, mine[p], "left"), np.searchsorted(h, mine[p], "right")
-            on = last > first
-            p, n, first, last = p[on], n[on], first[on], last[on]
-            # each pair of runs covers the shifts from low on, `width` of them
-            pairs = last - first
-            own = np.repeat(np.arange(len(p)), pairs)
-            run = np.arange(len(own)) - np.repeat(np.cumsum(pairs) - pairs, pairs) + first[own]
-            low, width = p[own] - place[run] - times[run] + 1, n[own] + times[run] - 1
-            cut = np.cumsum(width) // most
-            for k in np.unique(cut):
-                some = cut == k
-                lo, wide = low[some], width[some]
-                shifts = np.repeat(lo - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
-                found = np.unique(np.concatenate([found, np.column_stack([np.repeat(item[run[some]], wide), shifts])]), axis=0)
-        return found
+            ends = np.cumsum(last - first)
+            for begin in range(0, int(ends[-1]), most):
+                pair = np.arange(begin, min(int(ends[-1]), begin + most))
+                own = np.searchsorted(ends, pair, "right")
+                run = last[own] - (ends[own] - pair)
+                for k, low, by, width in self._shifts(p[own], n[own], d[own], place[run], times[run], step[run], most):
+                    key = item[run[k]] * span + longest
+                    shifts = np.repeat(key + low, width) + np.repeat(by, width) * (np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width))
+                    found = np.union1d(found, shifts)
+        return np.column_stack([found // span, found % span - longest])
+
+    @staticmethod
+    def _shifts(p: np.ndarray, n: np.ndarray, d: np.ndarray, q: np.ndarray, m: np.ndarray, e: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(pair, lowest shift, step, number of shifts): what each pair of progressions covers, in portions."""
+        one = (d == e) | (n == 1) | (m == 1)
+        each = np.where(one, 1, np.minimum(n, m))  # of two with unlike steps, the shorter is taken place by place
+        width = np.where(one, n + m - 1, np.maximum(n, m))
+        cuts = np.cumsum(width * each) // most
+        for c in np.unique(cuts):
+            some = np.flatnonzero(cuts == c)
+            k = np.repeat(some, each[some])
+            j = np.arange(len(k)) - np.repeat(np.cumsum(each[some]) - each[some], each[some])
+            by_item = one[k] | (n[k] <= m[k])
+            low = np.where(by_item, p[k] + j * d[k] - q[k] - (m[k] - 1) * e[k], p[k] - q[k] - j * e[k])
+            by = np.where(one[k], np.maximum(d[k], e[k]), np.where(by_item, e[k], d[k]))
+            size = width[k]
+            parts = np.cumsum(size) // most
+            for part in np.unique(parts):
+                x = np.flatnonzero(parts == part)
+                yield k[x], low[x], by[x], size[x]
 
     def short_hits(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
         if self.short:
@@ -165,7 +209,12 @@ def overlaps(tokens: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, int, int,
     for item, offset in seeds.hits(tokens).tolist():
         x = seeds.items[item]
         lo, hi = max(0, -offset), min(len(x), len(tokens) - offset)
-        equal = np.flatnonzero(x[lo:hi] == tokens[offset + lo : offset + hi])
+        equal = x[lo:hi] == tokens[offset + lo : offset + hi]
+        if equal.all():
+            if hi - lo >= min(LEAST_TOKENS, len(x)):
+                yield item, offset + lo, hi - lo, hi - lo
+            continue
+        equal = np.flatnonzero(equal)
         if found := _best_stretch(equal, min(LEAST_TOKENS, len(x))):
             yield item, offset + lo + found[0], found[1], found[2]
     for item, offset in seeds.short_hits(tokens):

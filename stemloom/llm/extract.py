@@ -37,9 +37,23 @@ SECTIONS = frozenset("article aside body details dialog div figure footer form h
 CONTENT = frozenset(("article", "main"))
 BOILERPLATE = frozenset(("aside", "dialog", "footer", "form", "head", "header", "menu", "nav", "title"))
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|foot|footer|header|login|menu|modal|nav\w*|newsletter|notices?|outbrain|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|taboola|toolbar|widget)(?:$|[\s_-])",
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|foot|footer|header|login|menu|modal|nav\w*|newsletter|notices?|outbrain|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|taboola|toolbar|widget",
     re.I,
 )
+#: Words that say what kind of box it is, after a word that says what is in it.
+BOX = frozenset("area articles bar block box button buttons column container form group icons inner items left links list message overlay panel posts right row section text top widget widgets wrap wrapper".split())
+#: Words that begin the name of a state of the page, not of a part of it.
+STATE = frozenset("has have hide is no non not show with without".split())
+# Headings of reader comments, and words of copyright lines.
+COMMENTS = re.compile(
+    r"\s*(?:(?:\d+|no|one)\s+(?:\w+\s+)?(?:comments?|responses?|repl(?:y|ies)|kommentare?|antworten|comentarios?|respuestas?|commentaires?|réponses?)(?:\s+(?:yet|on|to|zu|auf|a|en|sur|à)\b.*)?|(?:comments?|responses|replies|kommentare|comentarios|commentaires)(?:\s*\(\d+\))?|(?:leave|post|write) a (?:reply|comment).*)\s*:?\s*",
+    re.I | re.S,
+)
+RIGHTS = re.compile(r"all rights reserved|alle rechte vorbehalten|todos los derechos reservados|tous droits réservés|^\s*(?:©|&copy;|\(c\)|copyright)\s+(?:©|&copy;|\(c\)|\d{4})", re.I)
+#: Most words of a copyright line.
+LINE = 40
+#: What holds more than one in so many of a page's words is no boilerplate by its class, nor a form, dialog or head.
+MOST_OF = 2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose start ends an open one of these names, and the elements at which the search for it stops.
 ENDED = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",))}
@@ -57,10 +71,13 @@ def _key(name: str, attrs: str) -> str:
     return name + "".join("." + x.lower() for f in found for x in " ".join(f).split()) if found else name
 
 
+NEVER = 1 << 62
+
+
 class Node:
     """An open element: what it is, what it is in, and what words in it score."""
 
-    __slots__ = ("content", "key", "name", "parent", "score", "section")
+    __slots__ = ("content", "cut", "key", "name", "parent", "score", "section", "words")
 
     def __init__(self, parent: Node | None, name: str, key: str):
         self.parent, self.name, self.key = parent, name, key
@@ -69,9 +86,11 @@ class Node:
         #: The innermost element around it that holds a part of the page.
         self.section = key if name in SECTIONS or parent is None else parent.section
         self.score: tuple[float, bool] = (WORD, False) if parent is None else parent.score
+        #: Words in it, and the token of the page from which on it is boilerplate.
+        self.words, self.cut = 0, NEVER
 
 
-def tokens(page: str, weights: Weights | None = None) -> Iterator[tuple[str, str, Node]]:
+def tokens(page: str) -> Iterator[tuple[str, str, Node]]:
     """(kind, value, element) of each tag and text outside comments, scripts and styles.
 
     kind is "open", "close" or "text"; element is the innermost open one, a start tag's its own. An end
@@ -110,23 +129,33 @@ def tokens(page: str, weights: Weights | None = None) -> Iterator[tuple[str, str
                 if name in BLOCKS:
                     at = close(("p",), SECTIONS)
                 node = Node(at, name, _key(name, m["attrs"]))
-                if weights:
-                    node.score = weights.state(at, node)
                 if name not in VOID and not m["attrs"].endswith("/"):
                     at = node
                     opened[name] += 1
                 yield "open", name, node
 
 
+def _names_boilerplate(cls: str) -> bool:
+    """Whether a class, as a whole, names a box of boilerplate: by its head, the last word that isn't a kind of box.
+
+    So post-sidebar and ad-block do; has-sidebar, header-content, comments-open and ad-free don't.
+    """
+    parts = [x for x in re.split(r"[-_]+", cls) if x]
+    if not parts or parts[0] in STATE:
+        return False
+    head = next((x for x in reversed(parts) if x not in BOX), "")
+    return bool(HINTS.fullmatch(head) or len(parts) == 1 and HINTS.fullmatch(parts[0]))
+
+
 @lru_cache(100_000)
 def _role(key: str) -> int:
-    """1 for a section of content, -1 for boilerplate, 0 for what its name and classes don't tell."""
-    name, _, classes = key.partition(".")
+    """1 for a section of content, -1 for boilerplate by its name, -2 by its class, 0 for neither."""
+    name, *classes = key.split(".")
     if name in CONTENT:
         return 1
-    if name in BOILERPLATE or classes and name not in HEADINGS and HINTS.search(classes.replace(".", " ")):
+    if name in BOILERPLATE:
         return -1
-    return 0
+    return -2 if name not in HEADINGS and any(map(_names_boilerplate, classes)) else 0
 
 
 def count_labelled(page: str) -> Counter:
@@ -137,6 +166,7 @@ def count_labelled(page: str) -> Counter:
             words = value.split()
             if words:
                 out["word@" + node.section, node.content] += len(words)
+                out.update({("class:" + c, node.content): len(words) for c in node.section.split(".")[1:]})
                 out.update(("text:" + w, node.content) for w in entities.unescape(value).lower().split() if len(w) <= 40)
         else:
             out["tag:" + value, node.content] += 1
@@ -151,9 +181,9 @@ class Weights:
     """
 
     def __init__(self, counts: dict[tuple[str, bool], int]):
-        kinds = {k for k, _ in counts if not k.startswith("text:")}
+        kinds = {k for k, _ in counts if not k.startswith(("text:", "class:"))}
         total = {x: sum(n for (k, y), n in counts.items() if y == x and k in kinds) + len(kinds) + 1 for x in (False, True)}
-        self.odds = {k: self._odds(counts, total, k) for k in kinds}
+        self.odds = {k: self._odds(counts, total, k) for k, _ in counts if not k.startswith("text:")}
         words = {x: sum(n for (k, y), n in counts.items() if y == x and k[:5] == "text:") + 1 for x in (False, True)}
         own = {k: self._odds(counts, words, k) for (k, x), n in counts.items() if not x and k[:5] == "text:" and n >= SEEN}
         #: Words of what stands around content, and what each scores.
@@ -163,16 +193,30 @@ class Weights:
     def _odds(counts: dict[tuple[str, bool], int], total: dict[bool, int], k: str) -> float:
         return math.log((counts.get((k, True), 0) + 0.5) / total[True] * total[False] / (counts.get((k, False), 0) + 0.5))
 
-    def state(self, parent: Node, node: Node) -> tuple[float, bool]:
-        """(what a word scores, in boilerplate) in an element: what its own kind says, else as around it."""
-        found, boiler = parent.score
-        role, odds = _role(node.key), self.odds.get("word@" + node.key)
-        if role < 0 and node.name == "header" and parent.content:
+    def of_element(self, key: str) -> float | None:
+        """The log odds of words in elements of this kind; of an unknown kind, those of its most telling class."""
+        known = self.odds.get("word@" + key)
+        if known is None and "." in key:
+            return max((x for c in key.split(".")[1:] if (x := self.odds.get("class:" + c)) is not None), key=abs, default=None)
+        return known
+
+    def state(self, node: Node, total: int) -> tuple[float, bool]:
+        """(what a word scores, in boilerplate) in an element: what its own kind says, else as around it.
+
+        `total` is the number of the page's words. What holds most of them is the page or its frame:
+        neither a class nor what was learned of such elements makes it boilerplate.
+        """
+        found, boiler = node.parent.score
+        role, odds = _role(node.key), self.of_element(node.key)
+        frame = node.name in ("html", "body") or node.words * MOST_OF > total
+        if role < 0 and frame and (role == -2 or node.name in ("form", "header", "dialog")):
+            role = 0
+        if role < 0 and node.name == "header" and node.parent.content:
             return found, boiler  # the head of an article is a part of it
         if role:
             boiler = boiler or role < 0
             found = min(-WORD, odds or -WORD) if boiler else max(LEAST, odds or WORD)
-        elif odds is not None and "." in node.key and not parent.content:
+        elif odds is not None and "." in node.key and not node.parent.content and not (frame and odds < 0):
             found = -WORD if boiler or odds < 0 else WORD
         return found, boiler
 
@@ -195,6 +239,47 @@ class Weights:
         return max(-WORD, min(-LEAST, self.odds.get("tag:" + name, -LEAST)))
 
 
+def _reader_comments(seen: list[tuple[str, str, Node]]) -> None:
+    """Mark what follows a heading of reader comments within the element that the heading stands in."""
+    heading, began, text = None, 0, []
+    for k, (kind, value, node) in enumerate(seen):
+        if kind == "open" and value in HEADINGS:
+            heading, began, text = node, k, []
+        elif heading is not None:
+            if kind == "text":
+                text.append(value)
+            elif kind == "close" and value in HEADINGS:
+                if heading.parent is not None and COMMENTS.fullmatch(entities.unescape("".join(text))):
+                    heading.parent.cut = min(heading.parent.cut, began)
+                heading = None
+
+
+def judge(seen: list[tuple[str, str, Node]], weights: Weights) -> None:
+    """Give each element of a page its score, with what the whole page shows."""
+    total = 0
+    for kind, value, node in seen:
+        if kind == "text":
+            n = len(value.split())
+            node.words += n
+            total += n
+    nodes = [node for kind, _, node in seen if kind == "open"]
+    for node in reversed(nodes):
+        node.parent.words += node.words
+    _reader_comments(seen)
+    lines: set[Node] = set()
+    for kind, value, node in seen:
+        if kind == "text" and not node.content and RIGHTS.search(value):
+            while node.parent is not None and node.name not in BLOCKS:
+                node = node.parent
+            if node.words <= LINE and node.words * MOST_OF <= total:
+                lines.add(node)
+    for k, (kind, _, node) in enumerate(seen):
+        if kind == "open":
+            node.score = weights.state(node, total)
+            if node in lines or k >= node.parent.cut:
+                node.score = (min(-WORD, node.score[0]), True)
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the best-scoring contiguous region of tokens, joined by empty lines.
 
@@ -203,10 +288,14 @@ def main_text(page: str | None, weights: Weights) -> str:
     """
     if not page:
         return ""
-    seen = list(tokens(page, weights))
+    seen = list(tokens(page))
+    judge(seen, weights)
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for k, (kind, value, node) in enumerate(seen):
-        score = weights.words(value, node) if kind == "text" else weights.tag(value, node)
+        if kind == "text":
+            score = weights.words(value, node) if k < node.cut else -WORD * len(value.split())
+        else:
+            score = weights.tag(value, node)
         if total <= 0:
             total, start = 0.0, k
         total += score
@@ -220,9 +309,9 @@ def main_text(page: str | None, weights: Weights) -> str:
             blocks.append(block)
         parts.clear()
 
-    for kind, value, node in seen[span[0] : span[1]]:
+    for k, (kind, value, node) in enumerate(seen[span[0] : span[1]], span[0]):
         if kind == "text":
-            if node.score[0] > 0:
+            if node.score[0] > 0 and k < node.cut:
                 parts.append(value)
         elif value in BLOCKS:
             end()

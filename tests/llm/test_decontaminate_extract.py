@@ -4,6 +4,7 @@ import html
 import itertools
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,6 +102,39 @@ def test_long_and_repetitive_texts():
     assert len(found) == 30_999 - 2 * 12 and max(x[2] for x in found) == 1_000
 
 
+@pytest.mark.parametrize(("period", "other"), [(1, 1), (2, 2), (5, 5), (2, 4), (7, 1), (1000, 1000)])
+def test_periodic_texts_take_bounded_memory_and_time(period, other):
+    import tracemalloc
+
+    doc, item = np.arange(20_000, dtype=np.uint64) % period, np.arange(20_000, dtype=np.uint64) % other
+    seeds = decontaminate.Seeds([item])
+    began = time.process_time()
+    shifts = {x[1] for x in decontaminate.overlaps(doc, seeds)}
+    assert time.process_time() - began < 2.5
+    tracemalloc.start()
+    seeds.hits(doc)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    if period == other:
+        assert len(decontaminate.Seeds([item]).hits(doc)) >= 2 * (19_900 // period) - 1 and 0 in shifts
+
+
+def test_hits_by_brute_force():
+    """Each place of a document and of an item with one seed gives their shift, and nothing else does."""
+    rng = np.random.default_rng(4)
+    for letters, n in ((2, 60), (3, 120), (1, 40), (30, 200)):
+        for _ in range(8):
+            items = [np.tile(rng.integers(0, letters, rng.integers(1, 9)), 30)[: rng.integers(13, 90)].astype(np.uint64) for _ in range(3)]
+            doc = np.concatenate([rng.integers(0, letters, n).astype(np.uint64), items[0], items[1][5:], items[0]])
+            want = set()
+            for mask in decontaminate.MASKS:
+                mine = decontaminate.seed_hashes(doc, mask)
+                for k, x in enumerate(items):
+                    own = decontaminate.seed_hashes(x, mask)
+                    want |= {(k, int(i - j)) for i, j in zip(*np.nonzero(mine[:, None] == own[None, :]), strict=True)}
+            assert {tuple(r) for r in decontaminate.Seeds(items).hits(doc, 500).tolist()} == want
+
+
 def test_longest_stretch_by_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(500):
@@ -163,6 +197,46 @@ def test_pages_of_other_layouts(weights, page, want):
     assert extract.main_text(page, weights) == want
 
 
+THREE = ["Seven plain words stand in this line, and seven more come after them here.", "A second paragraph of the same kind follows with other plain words in it.", "The third one ends the page, as long as both of those before it."]
+BODY = "".join(f"<p>{x}</p>" for x in THREE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="has-sidebar">{BODY}</body>', f'<body class="page no-sidebar promo-on">{BODY}</body>', f'<div class="container no-sidebar">{BODY}</div>', f'<div id="header-content">{BODY}</div>',
+        f'<section class="comments-open">{BODY}</section>', f'<div class="post social-links-on">{BODY}</div>', f'<div id="page" class="page ad-free">{BODY}</div>', f'<main class="widget-area-main"><div class="nav-open">{BODY}</div></main>',
+        f'<form id="aspnetForm">{BODY}</form>', f'<body class="sidebar">{BODY}<div class="sidebar">popular posts</div></body>', f'<div class="widget">{BODY}</div><div class="ad-block">Buy it now</div>',
+        f'<div class="page-wrapper"><div class="site-header"><a>Home</a></div>{BODY}<div class="related-posts"><a>More</a></div><div id="cookie_notice">We use cookies</div></div>',
+    ],
+)
+def test_classes_of_frames_lose_no_page(weights, page):
+    assert extract.main_text(page, weights) == "\n\n".join(THREE)
+
+
+@pytest.mark.parametrize(
+    "rest",
+    [
+        "<section><h3>3 responses</h3><p>I liked this one very much, thank you.</p><p>Me too, and I read it twice.</p></section>", "<div><h2>Comments (2)</h2><ul><li>First one here!</li><li>Second.</li></ul></div>",
+        "<h3>Leave a reply</h3><p>Your address will not be published.</p>", "<div>All rights reserved. Contact us by mail.</div>", "<p>&copy; 2024 Somebody and others</p>",
+    ],
+)
+def test_comments_and_notices_without_classes_go(weights, rest):
+    assert extract.main_text(f"<body><div>{BODY}{rest}</div></body>", weights) == "\n\n".join(THREE)
+    assert extract.main_text(f"<body><div>{BODY}</div>{rest}</body>", weights) == "\n\n".join(THREE)
+
+
+def test_pages_without_marks_and_classes(spark, weights):
+    """Precision and recall of words, all classes, ids and marks of content taken off."""
+    hit = got_n = want_n = 0
+    for p in T.table(spark, "/root/testdata/sf0.01", "pages").collect():
+        bare = re.sub(r"\s(?:class|id)=(?:\"[^\"]*\"|[^\s>]+)", "", p.html).replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div")
+        got, want = Counter(extract.main_text(bare, weights).split()), Counter(article(p.html).split())
+        hit, got_n, want_n = hit + (got & want).total(), got_n + got.total(), want_n + want.total()
+    print("precision", hit / got_n, "recall", hit / want_n)
+    assert hit / got_n > 0.97 and hit / want_n > 0.97
+
+
 def test_deep_nesting_takes_linear_time(weights):
     began = time.process_time()
     assert extract.main_text("<div>" * 20_000 + "hello world" + "</b></div>" * 20_000, weights) == "hello world"
