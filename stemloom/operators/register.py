@@ -1,15 +1,22 @@
-"""Instrument register: program corrections from track names."""
+"""Instrument register: program corrections from track names, by an alias dimension and a keyed needle join."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemloom.functions import exprs as X
 from stemloom.functions import values as V
 
+#: Needles from so many characters on may stand anywhere in a name; shorter ones stand between other characters than letters and digits.
+ANYWHERE = 5
+ALIASES = "list string, needle string, program int, gm_class string"
+#: The lists of a dimension in the order in which they decide; those of the list `skip` are names that tell no instrument.
+LISTS = ("alias", "family", "gm")
+
 
 def gm_tokens(name: str) -> list[str]:
     """Telling words of a GM name."""
@@ -27,59 +34,111 @@ def gm_needles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, min(p)) for n, p in sorted(found.items()) if len(p) == 1], "needle string, program int")
 
 
-def longest_hits(names: DataFrame, needles: DataFrame) -> DataFrame:
-    """Per name the longest needle in it, and the lowest and highest program of needles that long.
+def folded(name: Column) -> Column:
+    """A name as it is compared: sanitised, in lower case, without accents; '' where there is none."""
+    return F.trim(X.fold_accents(F.coalesce(X.sanitize_name(name), F.lit(""))))
+
+
+def dimension(entries: DataFrame) -> DataFrame:
+    """The entries of an alias dimension (list, needle, program, gm_class), needles as names are compared; empty ones go."""
+    x = entries.select("list", folded(F.col("needle")).alias("needle"), F.col("program").cast("int").alias("program"), "gm_class")
+    return x.filter("needle <> ''").distinct()
+
+
+def alias_rows(spark: SparkSession, aliases: Sequence[tuple[str, int]], families: Sequence[tuple[str, int, str]] = (), skip: Sequence[str] = ()) -> DataFrame:
+    """A small alias dimension from Python's values."""
+    rows = [("alias", n, p, None) for n, p in aliases] + [("family", n, p, c) for n, p, c in families] + [("skip", n, None, None) for n in skip]
+    return dimension(spark.createDataFrame(rows, ALIASES))
+
+
+def _keys(name: Column) -> Column:
+    """What a needle in the name can have as its key: each stretch of ANYWHERE characters, and each shorter one between boundaries."""
+    padded, size = F.concat(F.lit(" "), name, F.lit(" ")), F.length(name)
+    edge = lambda i: F.instr(F.lit("abcdefghijklmnopqrstuvwxyz0123456789"), F.substr(padded, i, F.lit(1))) == 0
+    long = F.when(size >= ANYWHERE, F.transform(F.sequence(F.lit(1), size - (ANYWHERE - 1)), lambda i: F.substr(name, i, F.lit(ANYWHERE))))
+    starts = F.filter(F.sequence(F.lit(1), size), edge)
+    lengths = F.array(*map(F.lit, range(1, ANYWHERE)))
+    whole = lambda i: F.transform(F.filter(lengths, lambda k: (i + k <= size + 1) & edge(i + k + 1)), lambda k: F.substr(name, i, k))
+    short = F.flatten(F.transform(starts, whole))
+    return F.array_distinct(F.concat(F.coalesce(long, F.array().cast("array<string>")), short))
+
+
+def hits(names: DataFrame, needles: DataFrame, *more: str) -> DataFrame:
+    """(folded, *columns of needles): each needle in each name, by a join on keys.
 
-    names are distinct, so the theta join runs once a name, not once a stem; needles are a fixed list.
+    A needle's key is the needle itself where it is short, else its first ANYWHERE characters; a name
+    has as many keys as characters. names (folded) are distinct and not empty.
     """
-    x = names.join(F.broadcast(needles), X.needle_in_name(F.col("needle"), F.col("folded")))
-    x = x.withColumn("len", F.length("needle"))
-    top = x.groupBy("folded").agg(F.max("len").alias("len"))
-    x = x.join(top, ["folded", "len"])
-    return x.groupBy("folded").agg(F.min("needle").alias("needle"), F.min("program").alias("low"), F.max("program").alias("high"))
+    keyed = names.select("folded", *more, F.explode(_keys(F.col("folded"))).alias("key"))
+    x = needles.withColumn("key", F.substring("needle", 1, ANYWHERE))
+    x = keyed.join(x, "key").filter((F.length("needle") < ANYWHERE) | F.col("folded").contains(F.col("needle")))
+    return x.drop("key").distinct()
 
 
-def resolve(stems: DataFrame, aliases: list[tuple[str, int]], families: list[tuple[str, int, str]], skip: tuple[str, ...] = ()) -> DataFrame:
-    """Stems with program_corrected, status and match_key.
+def longest_hits(names: DataFrame, needles: DataFrame) -> DataFrame:
+    """Per name the longest needle in it (the first of them), and the lowest and highest program of needles that long."""
+    x = hits(names.select("folded").filter("folded <> ''").distinct(), needles.select("needle", "program"))
+    x = x.groupBy("folded", F.length("needle").alias("len")).agg(F.min("needle").alias("needle"), F.min("program").alias("low"), F.max("program").alias("high"))
+    best = x.groupBy("folded").agg(F.max_by(F.struct("needle", "low", "high"), "len").alias("b"))
+    return best.select("folded", "b.*")
+
+
+def decisive_hits(names: DataFrame, needles: DataFrame) -> DataFrame:
+    """Per name the longest needle of the first list that has any: (folded, list, needle, low, high, gm_class)."""
+    x = hits(names, needles)
+    place = F.array_position(F.array(*map(F.lit, LISTS)), F.col("list"))
+    x = x.groupBy("folded", "list", F.length("needle").alias("len")).agg(
+        F.min("needle").alias("needle"), F.min("program").alias("low"), F.max("program").alias("high"), F.min_by("gm_class", "needle").alias("gm_class")
+    )
+    best = x.groupBy("folded").agg(F.max_by(F.struct("list", "needle", "low", "high", "gm_class"), F.struct(-place, F.col("len"))).alias("b"))
+    return best.select("folded", "b.*")
+
+
+def agrees_with_name(name: Column, program: Column) -> Column:
+    """Whether a name already looks like its GM program: one contains the other, or the name has a telling word of it."""
+    gm = X.fold_accents(X.program_name(program))
+    tokens = F.array(*[F.array(*map(F.lit, gm_tokens(n))) if gm_tokens(n) else F.array().cast("array<string>") for n in V.GM_NAMES])
+    own = F.when(program.between(0, 127), F.element_at(tokens, (program + 1).cast("int")))
+    return name.contains(gm) | gm.contains(name) | F.coalesce(F.exists(own, lambda t: X.needle_in_name(t, name)), F.lit(False))
 
-    In order: drums, unnamed, generic, agrees with its GM name, aliases, family defaults, GM names. At
-    each list the longest needle decides; needles of one length with different programs are ambiguous.
+
+def resolve(stems: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Stems with program_corrected, status and match_key, by an alias dimension (list, needle, program, gm_class).
+
+    In order: drums, unnamed, generic, agrees with its GM name, aliases, family defaults (unless the
+    program is of their class already), GM names. At each list the longest needle decides; needles of
+    one length with different programs are ambiguous.
+
+    All is decided once for each distinct name and program, whatever the number of stems that have them.
     """
     spark = stems.sparkSession
-    x = stems.withColumn("folded", F.trim(X.fold_accents(F.coalesce(X.sanitize_name(F.col("name")), F.lit("")))))
-    names = x.select("folded").filter("folded <> ''").distinct()
-    lists = {
-        "a": spark.createDataFrame(aliases or [("", 0)], "needle string, program int").filter("needle <> ''"),
-        "f": spark.createDataFrame([(n, p) for n, p, _ in families] or [("", 0)], "needle string, program int").filter("needle <> ''"),
-        "g": gm_needles(spark),
-    }
-    for k, needles in lists.items():
-        h = longest_hits(names, needles)
-        x = x.join(h.select("folded", *[F.col(c).alias(f"{k}_{c}") for c in ("needle", "low", "high")]), "folded", "left")
-    cls = F.lit(None).cast("string")
-    for n, _, c in families:
-        cls = F.when(F.col("f_needle") == n, c).otherwise(cls)
-    gm = X.fold_accents(X.program_name(F.col("program")))
-    tokens = F.array(*[F.array(*map(F.lit, gm_tokens(n))) if gm_tokens(n) else F.array().cast("array<string>") for n in V.GM_NAMES])
-    own = F.when(F.col("program").between(0, 127), F.element_at(tokens, (F.col("program") + 1).cast("int")))
-    agrees = F.col("folded").contains(gm) | gm.contains(F.col("folded")) | F.coalesce(F.exists(own, lambda t: X.needle_in_name(t, F.col("folded"))), F.lit(False))
-
-    def decision(k: str, keep=F.lit(False)):
-        needle, low = F.col(f"{k}_needle"), F.col(f"{k}_low")
-        same = F.col("program")
-        return F.when(low != F.col(f"{k}_high"), F.struct(same.alias("p"), F.lit("skipped_ambiguous").alias("s"), needle.alias("k"))).when(keep | (low == same), F.struct(same.alias("p"), F.lit("keep").alias("s"), needle.alias("k"))).otherwise(F.struct(low.alias("p"), F.lit("corrected").alias("s"), needle.alias("k")))
-
-    def left(status: str):
-        return F.struct(F.col("program").alias("p"), F.lit(status).alias("s"), F.lit(None).cast("string").alias("k"))
-
-    d = (
-        F.when(F.col("is_drum"), left("skipped_drum"))
-        .when(F.col("folded") == "", left("skipped_unnamed"))
-        .when(X.is_generic_name(F.col("folded"), skip), left("skipped_generic"))
-        .when(agrees, left("keep"))
-        .when(F.col("a_needle").isNotNull(), decision("a"))
-        .when(F.col("f_needle").isNotNull(), decision("f", F.coalesce(X.gm_class(F.col("program"), F.lit(False)) == cls, F.lit(False))))
-        .when(F.col("g_needle").isNotNull(), decision("g"))
-        .otherwise(left("skipped_no_match"))
+    name, program = F.col("folded"), F.col("program")
+    x = stems.withColumn("folded", folded(F.col("name")))
+    pairs = x.select("folded", "program").filter("folded <> ''").distinct()
+    names = pairs.select("folded").distinct()
+    gm = gm_needles(spark).select(F.lit("gm").alias("list"), "needle", "program", F.lit(None).cast("string").alias("gm_class"))
+    found = decisive_hits(names, aliases.filter(F.col("list").isin(*LISTS)).unionByName(gm))
+    skip = aliases.filter("list = 'skip'").select(F.col("needle").alias("folded"), F.lit(True).alias("skip")).distinct()
+    same = (F.col("low") == program) | F.coalesce((F.col("list") == "family") & (X.gm_class(program, F.lit(False)) == F.col("gm_class")), F.lit(False))
+    status = (
+        F.when(F.coalesce("skip", F.lit(False)) | X.is_generic_name(name), "skipped_generic")
+        .when(agrees_with_name(name, program), "keep")
+        .when(F.col("needle").isNull(), "skipped_no_match")
+        .when(F.col("low") != F.col("high"), "skipped_ambiguous")
+        .when(same, "keep_alias")
+        .otherwise("corrected")
+    )
+    decided = pairs.join(found, "folded", "left").join(skip, "folded", "left").select("folded", "program", "low", "needle", status.alias("decision"))
+    by_needle = F.col("decision").isin("skipped_ambiguous", "keep_alias", "corrected")
+    decided = decided.select(
+        F.col("folded").alias("_f"), F.col("program").alias("_p"), F.when(F.col("decision") == "corrected", F.col("low")).alias("_to"),
+        F.when(F.col("decision") == "keep_alias", "keep").otherwise(F.col("decision")).alias("_s"), F.when(by_needle, F.col("needle")).alias("_k"),
+    )
+    x = x.join(decided, (x["folded"] == F.col("_f")) & x["program"].eqNullSafe(F.col("_p")), "left")
+    drum = F.coalesce(F.col("is_drum"), F.lit(False))
+    return x.select(
+        *stems.columns,
+        F.when(~drum, F.coalesce("_to", "program")).otherwise(program).cast("int").alias("program_corrected"),
+        F.when(drum, "skipped_drum").when(name == "", "skipped_unnamed").otherwise(F.col("_s")).alias("status"),
+        F.when(~drum, F.col("_k")).alias("match_key"),
     )
-    return x.withColumn("_d", d).select(*stems.columns, F.col("_d.p").cast("int").alias("program_corrected"), F.col("_d.s").alias("status"), F.col("_d.k").alias("match_key"))

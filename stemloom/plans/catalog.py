@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stemloom.functions import exprs as X
 from stemloom.functions import values as V
+from stemloom.operators import documents as O
 from stemloom.operators import inventory as I
 from stemloom.operators import listening as L
 from stemloom.operators import merge as M
@@ -43,6 +44,7 @@ def _pipe(c: str, where: str = "true") -> str:
 
 
 _TARGET = "CASE WHEN is_drum THEN 'drums' WHEN program BETWEEN 0 AND 7 THEN 'piano' WHEN program BETWEEN 24 AND 31 THEN 'guitar' WHEN program BETWEEN 32 AND 39 THEN 'bass' END"
+_GM_CLASSES = "[" + ", ".join("'" + c + "'" for c in V.GM_CLASSES) + "]"
 _GM_NAMES = "[" + ", ".join("'" + n + "'" for n in V.GM_NAMES) + "]"
 
 
@@ -423,16 +425,58 @@ def probe_variant_cross(spark, d):
     return M.delete_keys(tasks, done, ["song_id", "track", "variant_id"])
 
 
-ALIASES = [("gitarre", 24), ("guitar", 25), ("tenor", 66), ("bass", 33), ("choir", 52), ("violin", 40)]
-FAMILIES = [("organ", 19, "organ"), ("flute", 73, "pipe")]
-
-
-@query("resolve_program")
+def _part_names(spark, d):
+    """Stems with long track names: their own, then the brand and name of their part; of unnamed ones some have the part's name."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("p2"), "p_brand", "p_name", "p_size")
+    full = F.coalesce(F.concat_ws(" ", F.col("name"), "p_brand", "p_name"), F.lit(""))
+    name = F.when(F.col("name").isNotNull(), full).when(F.col("p_size") > 25, F.col("p_name"))
+    return A.stems(spark, d).join(part, "p2").select("song_id", "track", name.alias("name"), "program", "is_drum")
+
+
+def _part_aliases(spark, d):
+    """An alias dimension of hundreds of entries: brands with part names, words of part names, and names that tell nothing."""
+    part, program = table(spark, d, "part"), (F.min("p_partkey") % 128).cast("int").alias("program")
+    none = F.lit(None).cast("string").alias("gm_class")
+    brands = part.filter("p_size > 40").groupBy(F.concat_ws(" ", "p_brand", "p_name").alias("needle")).agg(program).select(F.lit("alias").alias("list"), "needle", "program", none)
+    words = part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("needle")).groupBy("needle").agg(program)
+    words = words.select(F.lit("family").alias("list"), "needle", "program", X.gm_class(F.col("program"), F.lit(False)).alias("gm_class"))
+    skip = part.filter("p_name LIKE 'old %'").select(F.lit("skip").alias("list"), F.col("p_name").alias("needle"), F.lit(None).cast("int").alias("program"), none).distinct()
+    return register.dimension(brands.unionByName(words).unionByName(skip))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in V.GM_STOPWORDS) + "]"
+_HAS = "CASE WHEN length({n}) < 5 THEN regexp_matches({f}, '(^|[^a-z0-9])' || {n} || '([^a-z0-9]|$)') ELSE contains({f}, {n}) END"
+_REGISTER_SQL = rf""", named AS (SELECT song_id, track, program, is_drum, CASE WHEN name IS NOT NULL THEN name || ' ' || p_brand || ' ' || p_name WHEN p_size > 25 THEN p_name END AS name FROM stems JOIN part ON p_partkey = p2),
+  x AS (SELECT *, coalesce(lower(strip_accents(trim(regexp_replace(translate(name, ',', ' '), '\s+', ' ', 'g')))), '') AS folded FROM named),
+  gm AS (SELECT unnest(range(128)) AS program, regexp_replace(lower(unnest({_GM_NAMES})), '[()+,/]', ' ', 'g') AS n),
+  gm_words AS (SELECT program, trim(regexp_replace(n, ' +', ' ', 'g')) AS needle FROM gm UNION SELECT program, w FROM (SELECT program, unnest(string_split(n, ' ')) AS w FROM gm) WHERE length(w) >= 4 AND w NOT IN (SELECT unnest({_STOP}))),
+  needles AS (SELECT 1 AS o, lower(p_brand || ' ' || p_name) AS needle, (min(p_partkey) % 128)::INT AS program, NULL AS cls FROM part WHERE p_size > 40 GROUP BY 2
+    UNION ALL SELECT 2, w, program, ({_GM_CLASSES})[program // 8 + 1] FROM (SELECT w, (min(p_partkey) % 128)::INT AS program FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w)
+    UNION ALL SELECT 3, needle, min(program)::INT, NULL FROM gm_words WHERE length(needle) >= 4 GROUP BY needle HAVING count(DISTINCT program) = 1),
+  h AS (SELECT DISTINCT folded, o, needle, needles.program, cls, length(needle) AS len FROM (SELECT DISTINCT folded FROM x WHERE folded <> '') JOIN needles ON {_HAS.format(n='needle', f='folded')}),
+  first_list AS (SELECT folded, min(o) AS o FROM h GROUP BY 1), longest AS (SELECT folded, o, max(len) AS len FROM h JOIN first_list USING (folded, o) GROUP BY 1, 2),
+  best AS (SELECT folded, o, min(needle) AS needle, min(program) AS low, max(program) AS high, min_by(cls, needle) AS cls FROM h JOIN longest USING (folded, o, len) GROUP BY 1, 2),
+  own AS (SELECT program, lower(({_GM_NAMES})[program + 1]) AS gm, list(w) FILTER (length(w) >= 4 AND w NOT IN (SELECT unnest({_STOP}))) AS words FROM (SELECT program, unnest(string_split(n, ' ')) AS w FROM gm) GROUP BY program),
+  skips AS (SELECT DISTINCT p_name FROM part WHERE p_name LIKE 'old %'),
+  d AS (SELECT x.*, best.needle, low, CASE WHEN is_drum THEN 'skipped_drum' WHEN x.folded = '' THEN 'skipped_unnamed'
+    WHEN x.folded IN (SELECT p_name FROM skips) OR regexp_matches(x.folded, '^((track|part|staff|channel)[\s_\-]*\d+|\d+)$') OR contains(x.folded, 'musicxml') THEN 'skipped_generic'
+    WHEN contains(x.folded, gm) OR contains(gm, x.folded) OR coalesce((SELECT bool_or({_HAS.format(n='w', f='x.folded')}) FROM (SELECT unnest(own.words) AS w)), false) THEN 'keep'
+    WHEN best.needle IS NULL THEN 'skipped_no_match' WHEN low <> high THEN 'skipped_ambiguous' WHEN low = x.program OR o = 2 AND cls = ({_GM_CLASSES})[x.program // 8 + 1] THEN 'keep_alias' ELSE 'corrected' END AS st
+    FROM x LEFT JOIN best ON x.folded = best.folded JOIN own ON own.program = x.program)
+"""
+
+
+@query("resolve_program", _REGISTER_SQL + "SELECT name, replace(st, '_alias', '') AS status, CASE WHEN st IN ('skipped_ambiguous', 'keep_alias', 'corrected') THEN needle END AS match_key, count(*) AS n, sum(CASE WHEN st = 'corrected' THEN low ELSE program END)::BIGINT AS programs FROM d GROUP BY 1, 2, 3")
 def resolve_program(spark, d):
-    x = register.resolve(A.stems(spark, d).select("song_id", "track", "name", "program", "is_drum"), ALIASES, FAMILIES, ("bass guitar x",))
+    x = register.resolve(_part_names(spark, d), _part_aliases(spark, d))
     return x.groupBy("name", "status", "match_key").agg(F.count(F.lit(1)).alias("n"), F.sum("program_corrected").alias("programs"))
 
 
+@query("top_corrections", _REGISTER_SQL + "SELECT name, program, low AS program_corrected, count(*) AS n FROM d WHERE st = 'corrected' GROUP BY 1, 2, 3 ORDER BY n DESC, name, program LIMIT 25")
+def top_corrections(spark, d):
+    return O.top_corrections(register.resolve(_part_names(spark, d), _part_aliases(spark, d)), 25)
+
+
 @query("needle_theta", ", n(needle) AS (VALUES ('bolt'), ('red'), ('small ring'), ('ring'), ('idge'), ('all')), h AS (SELECT DISTINCT p_name, needle FROM part JOIN n ON CASE WHEN length(needle) < 5 THEN regexp_matches(p_name, '(^|[^a-z0-9])' || needle || '([^a-z0-9]|$)') ELSE contains(p_name, needle) END) SELECT p_name, min(needle) AS needle FROM h WHERE length(needle) = (SELECT max(length(needle)) FROM h x WHERE x.p_name = h.p_name) GROUP BY 1")
 def needle_theta(spark, d):
     n = spark.createDataFrame([(x, 0) for x in ("bolt", "red", "small ring", "ring", "idge", "all")], "needle string, program int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from stemloom.operators import merge
+from stemloom.operators import merge, register
 from stemloom.operators.dedupe import keep_last
 
 
@@ -134,6 +134,30 @@ def write_assignment(frozen: DataFrame, new: DataFrame, path: str) -> None:
     merge.frozen_wins(frozen, new, "song_id").write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """An alias dimension (list, needle, program, gm_class) from a small file of the listing kind.
+
+    The file has sections `generic_skip` (lines `- name`), `family_defaults` and `aliases` (lines
+    `- needle: name`, then `program:` and `gm_class:`); quotes are taken off, comments and blank lines skipped.
+    A needle without a program, and a section of another name, is an error.
+    """
+    line = F.regexp_replace("line", r"\s+#.*$|^\s*#.*$", "")
+    x = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select("at", line.alias("line"))
+    x = x.filter(F.trim("line") != "").withColumn("section", F.nullif(F.regexp_extract("line", r"^(\w+)\s*:", 1), F.lit("")))
+    so_far = W.partitionBy(F.lit(0)).orderBy("at")  # one file of a few hundred lines
+    x = x.withColumn("entry", F.sum(F.col("line").rlike(r"^\s*-").cast("int")).over(so_far)).withColumn("section", F.last("section", True).over(so_far))
+    part = F.regexp_replace("line", r"^\s*-\s*", "")
+    value = F.regexp_replace(F.trim(F.regexp_replace(part, r"^\s*(needle|program|gm_class)\s*:", "")), r"^(['\"])(.*)\1$", "$2")
+    field = F.when(F.col("section") == "generic_skip", "needle").otherwise(F.regexp_extract(part, r"^\s*(needle|program|gm_class)\s*:", 1))
+    kind = F.when(F.col("section") == "generic_skip", "skip").when(F.col("section") == "family_defaults", "family").when(F.col("section") == "aliases", "alias")
+    x = x.filter(~F.col("line").rlike(r"^\w+\s*:")).select(F.coalesce(kind, F.raise_error(F.concat(F.lit("unknown section "), F.coalesce("section", F.lit("")))).cast("string")).alias("list"), "entry", field.alias("field"), value.alias("value"))
+    one = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
+    x = x.groupBy("list", "entry").agg(one("needle"), one("program"), one("gm_class"))
+    whole = (F.col("list") == "skip") | F.col("program").isNotNull()
+    program = F.when(whole, F.col("program")).otherwise(F.raise_error(F.concat(F.lit("no program for "), F.coalesce("needle", F.lit("an entry")))).cast("string"))
+    return register.dimension(x.select("list", F.coalesce("needle", F.lit("")).alias("needle"), program.cast("int").alias("program"), "gm_class"))
+
+
 def first_existing_path(spark: SparkSession, candidates: Sequence[str]) -> str | None:
     """The first of some paths that exists."""
     return next((p for p in candidates if exists(spark, p)), None)

@@ -69,14 +69,16 @@ def test_bootstrap_brackets_the_mean(spark):
 
 
 def test_register_branches(spark):
-    from stemloom.operators.register import resolve
-    from stemloom.plans.catalog import ALIASES, FAMILIES
+    from stemloom.operators.register import alias_rows, resolve
+
+    aliases = alias_rows(spark, [("gitarre", 24), ("guitar", 25), ("tenor", 66), ("bass", 33), ("choir", 52), ("violin", 40)], [("organ", 19, "organ"), ("flute", 73, "pipe")], ["Bass guitar X"])
 
     cases = [
         ("Drum kit", 0, True, "skipped_drum", 0), (None, 5, False, "skipped_unnamed", 5), ("Track 7", 5, False, "skipped_generic", 5), ("12", 5, False, "skipped_generic", 5),
         ("Violin", 40, False, "keep", 40), ("Gitarre", 0, False, "corrected", 24), ("Ténor", 0, False, "corrected", 66), ("Flute 1", 74, False, "keep", 74),
-        ("Flute 1", 0, False, "corrected", 73), ("Marimba", 0, False, "corrected", 12), ("zzz qqq", 3, False, "skipped_no_match", 3), ("bass choir", 0, False, "corrected", 52),
+        ("Flute 1", 0, False, "corrected", 73), ("Marimba", 0, False, "corrected", 12), ("zzz qqq", 3, False, "skipped_no_match", 3), ("bass choir", 0, False, "corrected", 52), ("bass guitar x", 0, False, "skipped_generic", 0), ("contrabass", 3, False, "corrected", 43), ("tenor-gitarre tenor", 0, False, "corrected", 24),
+        ("Organ", 16, False, "keep", 16), ("my organ", 17, False, "keep", 17), ("my organ", 99, False, "corrected", 19), ("violin choir tenor guitar", 1, False, "skipped_ambiguous", 1),
     ]
     df = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases)], "k int, name string, program int, is_drum boolean")
-    got = {r.k: (r.status, r.program_corrected) for r in resolve(df, ALIASES, FAMILIES).collect()}
+    got = {r.k: (r.status, r.program_corrected) for r in resolve(df, aliases).collect()}
     assert got == {k: (c[3], c[4]) for k, c in enumerate(cases)}
