@@ -181,8 +181,13 @@ def is_vocal(program: Column, is_drum: Column, name: Column) -> Column:
     return ~is_drum & F.when(program.between(64, 67), always).otherwise(always | part | program.between(52, 54))
 
 
-def route(program: Column, is_drum: Column, name: Column) -> Column:
-    """P19 without notes: struct (backend, instrument, reason) from the metadata alone."""
+def route(program: Column, is_drum: Column, name: Column, notes: Column | None = None, lasting: Column | None = None, monophonic: Column | None = None) -> Column:
+    """Struct (backend, instrument, reason) of a stem.
+
+    With its notes (how many sound, whether any lasts, whether never two sound at a time) stems without
+    a note, or without one that lasts, go to the soundfont, and so do polyphonic ones of instruments that
+    the neural backend plays one note at a time; without them the metadata alone decides.
+    """
 
     def to(backend: str, instrument: Column, reason: str) -> Column:
         return F.struct(F.lit(backend).alias("backend"), instrument.alias("instrument"), F.lit(reason).alias("reason"))
@@ -190,16 +195,22 @@ def route(program: Column, is_drum: Column, name: Column) -> Column:
     none = F.lit(None).cast("string")
     n, cls = _clean(name), gm_class(program, is_drum)
     instrument = F.coalesce(neural_by_name(name, program), neural_by_program(program, is_drum))
-    return (
-        F.when(is_drum, to("soundfont", none, "drum"))
-        .when(is_vocal(program, is_drum, name), to("soundfont", none, "vocal"))
+    out = F.when(is_drum, to("soundfont", none, "drum"))
+    if notes is not None:
+        out = out.when(notes == 0, to("soundfont", none, "empty"))
+    if lasting is not None:
+        out = out.when(~lasting, to("soundfont", none, "zero_duration"))
+    out = (
+        out.when(is_vocal(program, is_drum, name), to("soundfont", none, "vocal"))
         .when(is_piano(program, is_drum, name), to("ddsp_piano", F.lit("piano"), "piano"))
         .when(n.rlike(r"guitar|gitar|\blute\b|\bluit\b"), to("soundfont", none, "guitar"))
         .when(cls == "bass", to("soundfont", none, "bass_guitar"))
         .when(cls == "guitar", to("soundfont", none, "guitar"))
         .when(instrument.isNull(), to("soundfont", none, "unsupported"))
-        .otherwise(to("midi_ddsp", instrument, "midi_ddsp"))
     )
+    if monophonic is not None:
+        out = out.when(~monophonic, to("soundfont", instrument, "polyphonic"))
+    return out.otherwise(to("midi_ddsp", instrument, "midi_ddsp"))
 
 
 def parse_bool(c: Column) -> Column:

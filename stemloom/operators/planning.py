@@ -172,19 +172,18 @@ def note_faults(events: DataFrame, key: str) -> DataFrame:
 def lasting_notes(events: DataFrame, key: str) -> DataFrame:
     """P25: (key, lasting): some note ends after the tick at which it started, the last start of a pitch first.
 
-    events: (key, place, tick, note, is_on). Each pitch of a key is walked once, with a stack.
+    events: (key, place, tick, note, is_on). The open notes of a pitch are a walk that goes up at a start
+    and down at an end, but not below zero; an end belongs to the start that reached the same height just
+    before it. So windows find each note's start, however many are open, and no array of events is built.
     """
-    rows = F.array_sort(F.collect_list(F.struct("place", "tick", "is_on")))
-    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.lit(False).alias("found"))
-
-    def step(s: Column, e: Column) -> Column:
-        top = F.element_at(s["open"], -1)
-        push = F.struct(F.concat(s["open"], F.array(e["tick"].cast("long"))).alias("open"), s["found"].alias("found"))
-        pop = F.struct(F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1).alias("open"), (s["found"] | (e["tick"] > top)).alias("found"))
-        return F.when(e["is_on"], push).when(F.size(s["open"]) > 0, pop).otherwise(s)
-
-    x = events.groupBy(key, "note").agg(F.aggregate(rows, start, step, lambda s: s["found"]).alias("_f"))
-    return x.groupBy(key).agg(F.bool_or("_f").alias("lasting"))
+    pitch = W.partitionBy(key, "note").orderBy("place")
+    so_far = pitch.rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = events.select(key, "note", "place", "tick", "is_on").withColumn("_s", F.sum(F.when(F.col("is_on"), 1).otherwise(-1)).over(so_far))
+    x = x.withColumn("_after", F.col("_s") - F.least(F.lit(0), F.min("_s").over(so_far)))
+    x = x.withColumn("_height", F.when(F.col("is_on"), F.col("_after")).otherwise(F.lag("_after", 1, 0).over(pitch)))
+    x = x.filter("_height > 0").withColumn("_began", F.lag("tick").over(W.partitionBy(key, "note", "_height").orderBy("place")))
+    ends = x.groupBy(key).agg(F.max(F.coalesce(~F.col("is_on") & (F.col("tick") > F.col("_began")), F.lit(False))).alias("lasting"))
+    return events.select(key).distinct().join(ends, key, "left").select(key, F.coalesce("lasting", F.lit(False)).alias("lasting"))
 
 
 def greedy_windows(scored: Column, n: int, apart: float) -> Column:

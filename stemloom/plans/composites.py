@@ -15,6 +15,7 @@ from stemloom.operators.dedupe import keep_last
 from stemloom.plans.catalog import _GM_SQL, _LAST_VOTE, _PLACED, _ROUTE, _STATS, _TARGET, _cards_votes, _gm, _pipe, _routed, query
 from stemloom.session import table
 from stemloom.sources import adapters as A
+from stemloom.sources import midi
 
 #: The recipe as it is now; recorded rows of wind and of organ were made by another one.
 SPEC = tuple((c, "midi-ddsp" if c in ("piano", "strings", "brass") else "basic" if c in ("drums", "mallet") else "slakh", "slakh" if c in ("strings", "piano") else "slakh" if c == "organ" else "basic") for c in V.CATEGORIES)
@@ -210,11 +211,82 @@ def monophonic(spark, d):
     return G.note_faults(_notes(spark, d), "k")
 
 
-@query("lasting_notes")
+_LASTING = """, lw AS (SELECT *, sum(CASE WHEN is_on THEN 1 ELSE -1 END) OVER w AS s FROM ne WINDOW w AS (PARTITION BY k, note ORDER BY place)),
+  la AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY k, note ORDER BY place)) AS after FROM lw),
+  lh AS (SELECT *, CASE WHEN is_on THEN after ELSE lag(after, 1, 0) OVER (PARTITION BY k, note ORDER BY place) END AS height FROM la),
+  le AS (SELECT *, lag(tick) OVER (PARTITION BY k, note, height ORDER BY place) AS began FROM lh WHERE height > 0),
+  lasting AS (SELECT k, coalesce(bool_or(NOT is_on AND tick > began), false) AS lasting FROM (SELECT DISTINCT k FROM ne) LEFT JOIN le USING (k) GROUP BY 1)"""
+
+
+@query("lasting_notes", _NOTES + _LASTING + "SELECT k, lasting FROM lasting")
 def lasting_notes(spark, d):
     return G.lasting_notes(_notes(spark, d), "k")
 
 
+def _midi_events(spark, d):
+    """Each user's events as a MIDI file of four tracks: notes where they start and end, a name and a program of each track."""
+    e = table(spark, d, "events")
+    path, track = F.concat(F.col("user_id").cast("string"), F.lit(".mid")), (F.col("event_id") % 4).cast("int")
+    none, no_text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    tick, note = F.floor(F.col("event_id") / 8).alias("tick"), (F.round(F.col("value") * 10).cast("long") % 12).cast("int")
+    on = F.col("event_type").isin("click", "view", "signup")
+    notes = e.select(path.alias("path"), track.alias("track"), (F.col("event_id") + 2).cast("int").alias("place"), tick, F.when(on, "on").otherwise("off").alias("kind"), F.lit(0).alias("channel"), note.alias("note"), F.when(on, 64).otherwise(0).alias("velocity"), no_text.alias("text"))
+    heads = notes.select("path", "track").distinct().withColumn("user", F.regexp_extract("path", r"\d+", 0).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, A.NAMES)), (F.col("user") + F.col("track")) % len(A.NAMES) + 1)
+    program = (F.col("user") * 7 + F.col("track")) % 128
+    row = lambda place, kind, channel, note, text: F.struct(F.lit(place).alias("place"), F.lit(0).cast("long").alias("tick"), F.lit(kind).alias("kind"), channel.alias("channel"), note.alias("note"), none.alias("velocity"), text.alias("text"))
+    heads = heads.select("path", "track", F.explode(F.array(row(0, "name", none, none, name), row(1, "program", F.lit(0), program, no_text))).alias("h")).select("path", "track", "h.*")
+    return notes.unionByName(heads)
+
+
+_MIDI = f""", me AS (SELECT user_id, (event_id % 4)::INT AS track, event_id AS place, event_id // 8 AS tick, (round(value * 10)::BIGINT % 12)::INT AS note, event_type IN ('click', 'view', 'signup') AS is_on FROM events),
+  ne AS (SELECT user_id || '.mid|' || track AS k, place, tick, note, is_on FROM me),
+  ng AS (SELECT *, sum(is_on::INT) OVER (PARTITION BY k ORDER BY place) AS grp FROM ne), no2 AS (SELECT *, max(note) FILTER (is_on) OVER (PARTITION BY k, grp) AS o FROM ng),
+  cl AS (SELECT k, grp, bool_or(NOT is_on AND coalesce(note = o, false)) AS closed FROM no2 GROUP BY 1, 2), fl AS (SELECT *, max(grp) OVER (PARTITION BY k) AS last FROM cl),
+  mono AS (SELECT k, bool_and(grp = 0 OR closed OR grp = last) AS monophonic FROM fl GROUP BY 1) {_LASTING},
+  mt AS (SELECT user_id || '.mid' AS path, track, user_id || '.mid|' || track AS k, ([{', '.join(repr(n) for n in A.NAMES)}])[((user_id + track) % {len(A.NAMES)} + 1)::INT] AS name, ((user_id * 7 + track) % 128)::INT AS program, count(*) FILTER (is_on) AS notes FROM me GROUP BY user_id, track),
+  tr AS (SELECT path, track, trim(regexp_replace(translate(name, ',', ' '), '\\s+', ' ', 'g')) AS name, program, notes, lasting, monophonic FROM mt JOIN mono USING (k) JOIN lasting USING (k))"""
+
+
+@query("midi_round_trip", _MIDI + "SELECT user_id || '.mid' AS path, track, tick, note, is_on, count(*) AS n FROM me GROUP BY ALL")
+def midi_round_trip(spark, d):
+    """Event rows written as MIDI files and read back."""
+    x = midi.read_events(midi.written_midis(_midi_events(spark, d))).filter("kind in ('on', 'off')")
+    return x.groupBy("path", "track", "tick", "note", (F.col("kind") == "on").alias("is_on")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("midi_tracks", _MIDI + "SELECT path, track, name, program, notes, lasting, monophonic FROM tr")
+def midi_tracks(spark, d):
+    """Track rows of files."""
+    x = midi.track_rows(midi.read_events(midi.written_midis(_midi_events(spark, d))))
+    return x.select("path", "track", "name", "program", "notes", "lasting", "monophonic")
+
+
+@query(
+    "route_with_notes",
+    _MIDI
+    + _ROUTE[: _ROUTE.index(" routed AS")].rstrip(",\n ").replace("FROM stems)", "FROM (SELECT *, false AS is_drum FROM tr))").replace("SELECT song_id, track,", "SELECT path, track, notes, lasting, monophonic,", 1)
+    + """, rn AS (SELECT path, track, inst, CASE WHEN notes = 0 THEN 'empty' WHEN NOT lasting THEN 'zero_duration' WHEN reason = 'midi_ddsp' AND NOT monophonic THEN 'polyphonic' ELSE reason END AS reason FROM r)
+  SELECT path, track, CASE reason WHEN 'piano' THEN 'ddsp_piano' WHEN 'midi_ddsp' THEN 'midi_ddsp' ELSE 'soundfont' END AS backend, CASE WHEN reason = 'piano' THEN 'piano' WHEN reason IN ('midi_ddsp', 'polyphonic') THEN inst END AS instrument, reason FROM rn""",
+)
+def route_with_notes(spark, d):
+    """P19 with both note predicates, from files."""
+    x = midi.routed(midi.track_rows(midi.read_events(midi.written_midis(_midi_events(spark, d)))))
+    return x.select("path", "track", "route.*")
+
+
+@query("corrected_midis", _MIDI + ", o AS (SELECT path, track, name, program, row_number() OVER (PARTITION BY path ORDER BY track) - 1 AS dense FROM tr WHERE notes > 0) SELECT path, dense::INT AS track, track AS original_track, CASE WHEN program < 8 THEN 6 ELSE program END AS program, false AS is_drum, name FROM o")
+def corrected_midis(spark, d):
+    """Files with the register's programs, read back from what was written."""
+    files = midi.written_midis(_midi_events(spark, d))
+    tracks = midi.track_rows(midi.read_events(files))
+    register = tracks.select("path", "track", F.when(F.col("program") < 8, 6).otherwise(F.col("program")).alias("program_corrected"))
+    out = midi.corrected_midis(files, register)
+    rows = out.select("path", F.explode("tracks").alias("t")).select("path", "t.*")
+    again = midi.track_rows(midi.read_events(out.filter("content is not null"))).select("path", "track", F.col("program").alias("p2"), F.col("name").alias("n2"))
+    return rows.join(again, ["path", "track"]).select("path", "track", "original_track", F.col("p2").alias("program"), "is_drum", F.col("n2").alias("name"))
+
+
 @query("greedy_windows")
 def greedy_windows(spark, d):
     starts = F.transform(F.sequence(F.lit(0), F.lit(48), F.lit(4)), lambda s: F.struct(X.rms(F.slice("x", s + 1, F.lit(16))).alias("score"), s.cast("double").alias("start")))
