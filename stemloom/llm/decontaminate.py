@@ -121,6 +121,24 @@ class Seeds:
             if 0 < len(x) < SHORT:
                 self.short.setdefault(int(x[0]), []).append(k)
 
+    def screened(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which documents have a seed, or the first token of a short item; text k has tokens[starts[k]:starts[k + 1]].
+
+        All of them are looked up together, so a document without any costs no calls of its own.
+        """
+        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        found = np.zeros(len(starts) - 1, bool)
+        for mask, h, *_, maybe, shift in self.tables:
+            mine = seed_hashes(tokens, mask)
+            at = np.flatnonzero(maybe[(mine >> shift).astype(np.int64)])
+            at = at[owner[at] == owner[at + len(mask) - 1]]
+            near = np.searchsorted(h, mine[at])
+            on = near < len(h)
+            found[owner[at[on][h[near[on]] == mine[at[on]]]]] = True
+        if self.short:
+            found[owner[np.isin(tokens, np.fromiter(self.short, np.uint64, len(self.short)))]] = True
+        return found
+
     def hits(self, tokens: np.ndarray, most: int = 1_000_000) -> np.ndarray:
         """Rows (item, place of the item's first token among the tokens) of all seed matches, each once.
 
@@ -270,8 +288,8 @@ def _finder(seeds: Broadcast):
             out = []
             for _, x in T.coded(pa.array(batch, pa.string())):
                 tokens, starts = x.values(memo, "<u8")
-                for a, z in pairwise(starts.tolist()):
-                    found = overlaps(tokens[a:z], seeds.value)
+                for (a, z), some in zip(pairwise(starts.tolist()), seeds.value.screened(tokens, starts), strict=True):
+                    found = overlaps(tokens[a:z], seeds.value) if some else ()
                     out.append([dict(zip(("item", "first_token", "n_tokens", "n_equal"), f, strict=True)) for f in found])
             yield pd.Series(out)
 
