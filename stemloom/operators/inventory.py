@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stemloom.session import checkpointed
+
 PERCENTS = (50.0, 75.0, 90.0, 95.0, 99.0, 99.9)
 
 
@@ -129,25 +131,53 @@ def token_counts(df: DataFrame, joined: Column) -> DataFrame:
     return counts(x, "token")
 
 
-def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 1000, alpha: float = 0.05, seed: int = 43) -> DataFrame:
-    """Mean and percentile interval of resampled means, a key at a time.
+#: Distinct values in a piece of a key, and most pieces of one.
+PIECE, PIECES = 4096, 4096
+
 
-    Resampling a multinomial over distinct values needs only their counts, so a group is its distinct
-    rounded values, not its rows; non-finite values are dropped.
+def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 1000, alpha: float = 0.05, seed: int = 43, piece: int = PIECE) -> DataFrame:
+    """(key, n, mean, low, high): mean and percentile interval of resampled means of each key.
+
+    Resampling rows draws how often each distinct value comes, which is a multinomial over their counts.
+    That is drawn in two steps: how many rows of each replicate come from each piece of a key's values,
+    then, in a task for each piece, which values those are; the pieces' sums are added. The law is that
+    of one draw over all values, and no task holds a key. Null and non-finite values are dropped.
     """
+    import zlib
+
     import numpy as np
     import pandas as pd
 
-    def ci(key_values: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v, n = pdf["v"].to_numpy(float), pdf["n"].to_numpy(np.int64)
-        total = int(n.sum())
-        mean = float((v * n).sum() / total)
-        if total == 1:
-            return pd.DataFrame([[*key_values, total, mean, mean, mean]])
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([rng.multinomial(total, n / total, min(50, n_boot - k)) @ v / total for k in range(0, n_boot, 50)])
-        return pd.DataFrame([[*key_values, total, mean, *np.quantile(means, [alpha / 2, 1 - alpha / 2])]])
-
-    x = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     kind = dict(df.dtypes)[key]
-    return x.groupBy(key).applyInPandas(ci, f"{key} {kind}, n long, mean double, low double, high double")
+    finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    x = df.filter(finite).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    x = checkpointed(x)
+    pieces = x.groupBy(key).agg(F.least(F.lit(PIECES), F.ceil(F.count(F.lit(1)) / piece)).cast("int").alias("pieces"))
+    x = x.join(pieces, key).withColumn("piece", F.pmod(F.xxhash64("v"), F.col("pieces")).cast("int")).drop("pieces")
+    totals = x.groupBy(key, "piece").agg(F.sum("n").alias("n"))
+
+    def generator(key_value, *more: int):
+        return np.random.default_rng([seed, zlib.crc32(repr(key_value).encode()), *more])
+
+    def shares(key_values: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("piece")
+        n = pdf["n"].to_numpy(np.int64)
+        drawn = generator(key_values[0]).multinomial(n.sum(), n / n.sum(), n_boot)
+        return pd.DataFrame({key: key_values[0], "piece": pdf["piece"], "drawn": list(drawn.T)})
+
+    def sums(key_values: tuple, values: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        values = values.sort_values("v")
+        v, n = values["v"].to_numpy(float), values["n"].to_numpy(np.int64)
+        rng, out = generator(key_values[0], int(key_values[1]) + 1), np.empty(n_boot)
+        times = np.asarray(drawn["drawn"].iloc[0])
+        for k in range(0, n_boot, 50):
+            out[k : k + 50] = rng.multinomial(times[k : k + 50], n / n.sum()) @ v
+        return pd.DataFrame({key: key_values[0], "boot": np.arange(n_boot), "total": out})
+
+    draws = totals.groupBy(key).applyInPandas(shares, f"{key} {kind}, piece int, drawn array<bigint>")
+    parts = x.groupBy(key, "piece").cogroup(draws.groupBy(key, "piece")).applyInPandas(sums, f"{key} {kind}, boot int, total double")
+    whole = x.groupBy(key).agg(F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    means = parts.groupBy(key, "boot").agg(F.sum("total").alias("total")).join(whole, key)
+    ends = F.percentile(F.col("total") / F.col("n"), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    x = means.groupBy(key).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), ends.alias("e"))
+    return x.select(key, "n", "mean", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemloom.functions import exprs as X
+from stemloom.session import checkpointed
 
 
 def first_n(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
@@ -103,6 +104,41 @@ def quota_sample(df: DataFrame, song: str, category: str, least: int, most: int,
     return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(walk, f"{song} {dict(df.dtypes)[song]}")
 
 
+def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """df with place (from 0) and n, the number of rows, in each group, by the columns of a total order.
+
+    Rows are cut into ranges of (group, order), numbered within each, and ranges by their counts, so no
+    group, however large, is sorted in one task.
+    """
+    x = df.repartitionByRange(group, *order).withColumn("_p", F.spark_partition_id())
+    x = checkpointed(x)  # the ranges come from a sample, which a second run would draw again
+    counts = x.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    own = W.partitionBy(group)
+    before = F.coalesce(F.sum("_c").over(own.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(group, "_p", before.alias("_before"), F.sum("_c").over(own).alias("n"))
+    x = x.withColumn("_rn", F.row_number().over(W.partitionBy(group, "_p").orderBy(*order)))
+    return x.join(counts, [group, "_p"]).withColumn("place", F.col("_before") + F.col("_rn") - 1).drop("_p", "_rn", "_before")
+
+
+def spaced_examples(df: DataFrame, group: str, song: str, order: list[str], preferred: Column, usable: Column, n: int, candidates: int) -> DataFrame:
+    """Up to n rows of each group, k from 0: evenly spaced places of its pool, unusable ones skipped, one a song.
+
+    A group's pool is its preferred rows if there are n of them, else all. `candidates` places from the
+    first to the last are looked at, in order.
+    """
+    x = df.withColumns({"_good": preferred, "_ok": usable})
+    enough = x.groupBy(group).agg((F.sum(F.col("_good").cast("int")) >= n).alias("_enough"))
+    x = placed(x.join(enough, group).filter(~F.col("_enough") | F.col("_good")), group, order)
+    take = F.least(F.lit(candidates), F.col("n")).cast("int")
+    at = lambda i: F.when(i == take - 1, F.col("n") - 1).otherwise(F.floor(i * ((F.col("n") - 1) / (take - 1))))
+    places = F.when(take == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), take - 1), at))
+    x = x.filter(F.array_contains(places, F.col("place")) & F.col("_ok"))
+    first = W.partitionBy(group, song).orderBy("place")  # `candidates` rows a group at most from here on
+    x = x.withColumn("_first", F.row_number().over(first)).filter("_first = 1")
+    x = x.withColumn("k", F.row_number().over(W.partitionBy(group).orderBy("place")) - 1).filter(F.col("k") < n)
+    return x.select(*df.columns, F.col("k").cast("int").alias("k"))
+
+
 def cycled(df: DataFrame, n: int) -> DataFrame:
     """The first n rows of an ordered list (place, ...), from the start again when it ends."""
     size = df.count()
