@@ -117,8 +117,12 @@ def song_index(songs: DataFrame, stems: DataFrame, targets: tuple[str, ...]) ->
 
 
 def first_nonempty(*pools: DataFrame) -> DataFrame:
-    """The first of some pools that has rows, else the last one, empty."""
-    return next((p for p in pools if not p.isEmpty()), pools[-1])
+    """The first of some pools of the same columns that has rows; none has, none is left. One plan, no job of its own."""
+    x = None
+    for k, p in enumerate(pools):
+        p = p.withColumn("_k", F.lit(k))
+        x = p if x is None else x.unionByName(p)
+    return x.join(F.broadcast(x.agg(F.min("_k").alias("_k"))), "_k").drop("_k")  # one row
 
 
 #: Kinds of demo songs: a pattern of their classes, if any, least and most tracks, and whether they cover all targets.

@@ -748,12 +748,6 @@ def split_hours(spark, d):
     return x.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("song_length") / 3600, 6).alias("hours"))
 
 
-@query("cycled_prompts", ", p(place, prompt) AS (VALUES (0, 'a'), (1, 'b'), (2, 'c')) SELECT r.id, prompt FROM (SELECT unnest(range(10)) AS id) r JOIN p ON r.id % 3 = place")
-def cycled_prompts(spark, d):
-    p = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "place int, prompt string")
-    return P.cycled(p, 10).select("id", "prompt")
-
-
 @query("quota_sample")
 def quota_sample(spark, d):
     return P.quota_sample(_gm(A.stems(spark, d)).select("song_id", "category"), "song_id", "category", 20, 100, 7)
@@ -898,9 +892,13 @@ def stable_seed(spark, d):
     return A.songs_meta(spark, d).select("song_id", X.stable_seed(F.lit("7"), F.col("song_id")).alias("seed"))
 
 
-@query("blind_labels", "SELECT i, CASE WHEN i < 26 THEN chr((i + 65)::INT) ELSE chr((i // 26 + 64)::INT) || chr((i % 26 + 65)::INT) END AS label FROM (SELECT unnest(range(60)) AS i)")
+@query("blind_labels", """, c AS (SELECT DISTINCT trial_id, listener_id || '|' || variant_id AS condition FROM ratings), o AS (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY md5('7|' || trial_id || '|' || condition), condition) - 1 AS i FROM c)
+  SELECT trial_id, condition, CASE WHEN i < 26 THEN chr((i + 65)::INT) ELSE chr((i // 26 + 64)::INT) || chr((i % 26 + 65)::INT) END AS label FROM o""")
 def blind_labels(spark, d):
-    return spark.range(60).select(F.col("id").alias("i"), X.blind_label(F.col("id")).alias("label"))
+    """The conditions of each trial in a seeded order, under letters that don't tell them."""
+    c = A.ratings(spark, d).select("trial_id", F.concat_ws("|", "listener_id", "variant_id").alias("condition")).distinct()
+    order = W.partitionBy("trial_id").orderBy(X.seeded_order(7, F.concat_ws("|", "trial_id", "condition")), "condition")
+    return c.select("trial_id", "condition", X.blind_label((F.row_number().over(order) - 1).cast("long")).alias("label"))
 
 
 @query("json_props", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")

@@ -157,12 +157,21 @@ def song_index(spark, d):
     return _index(spark, d)
 
 
-@query("matched_pool", _INDEX + ", mt AS (SELECT song_id FROM ix WHERE eligible) SELECT song_id, row_number() OVER (ORDER BY md5('43|' || song_id), song_id) AS place FROM mt")
+@query("matched_pool", _INDEX + """, mp AS (SELECT song_id, 0 AS k FROM ix WHERE eligible AND hours >= 0.5 UNION ALL SELECT song_id, 1 FROM ix JOIN songs_meta USING (song_id) WHERE eligible AND genre = '1-URGENT' AND rated_deduplicated UNION ALL SELECT song_id, 2 FROM ix WHERE eligible),
+  mt AS (SELECT song_id FROM mp WHERE k = (SELECT min(k) FROM mp)) SELECT song_id, row_number() OVER (ORDER BY md5('43|' || song_id), song_id) AS place FROM mt""")
 def matched_pool(spark, d):
-    index = _index(spark, d).select("song_id", "eligible")
-    named = index.join(A.songs_meta(spark, d).filter("path is null").select("song_id"), "song_id", "left_semi")
-    pool = G.first_nonempty(named, index.filter("eligible"))
-    return P.ranked(pool.select("song_id"), 43, "song_id").select("song_id", "place")
+    index = _index(spark, d).filter("eligible").select("song_id", "hours")
+    urgent = A.songs_meta(spark, d).filter("genre = '1-URGENT' and rated_deduplicated").select("song_id")
+    pool = G.first_nonempty(index.filter("hours >= 0.5").select("song_id"), index.join(urgent, "song_id", "left_semi").select("song_id"), index.select("song_id"))
+    return P.ranked(pool, 43, "song_id").select("song_id", "place")
+
+
+@query("cycled_prompts", _INDEX + ", p AS (SELECT caption, row_number() OVER (ORDER BY caption) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT caption FROM ix)) SELECT r.id, caption AS prompt FROM (SELECT unnest(range(500)) AS id) r JOIN p ON r.id % n = place")
+def cycled_prompts(spark, d):
+    """Captions of the songs in their order, from the first again after the last."""
+    captions = _index(spark, d).select("caption").distinct()
+    place = F.row_number().over(D.W.partitionBy(F.lit(0)).orderBy("caption")) - 1  # a caption for each set of classes
+    return P.cycled(captions.select(F.col("caption").alias("prompt"), place.cast("int").alias("place")), 500).select("id", "prompt")
 
 
 @query("arms_summary", _MANIFEST + _second_sql(False) + f", arms AS (SELECT 'first' AS arm, split, duration_sec FROM manifest UNION ALL SELECT 'second', split, duration_sec FROM second UNION ALL SELECT 'both', split, duration_sec FROM manifest UNION ALL SELECT 'both', split, duration_sec FROM second) SELECT arm, split, {_SUMMARY} FROM arms GROUP BY 1, 2")
@@ -293,10 +302,11 @@ def greedy_windows(spark, d):
     return A.waveforms(spark, d).select("vec_id", F.transform(G.greedy_windows(starts, 3, 12.0), lambda t: t.cast("int")).alias("starts")).select("vec_id", F.array_join("starts", "|").alias("starts"))
 
 
-@query("velocity_applied", ", sc(label, scale) AS (SELECT DISTINCT label, 1.0::DOUBLE / (label + 2) FROM waveforms WHERE label % 2 = 0) SELECT vec_id, round(list_sum(list_transform(x, lambda v: v * coalesce(scale, 1.0))), 9) AS total FROM waveforms LEFT JOIN sc USING (label)")
+@query("velocity_applied", ", sc AS (SELECT label, 0.3::DOUBLE / max(list_max(list_transform(x, lambda v: abs(v)))) AS scale FROM waveforms GROUP BY label HAVING max(list_max(list_transform(x, lambda v: abs(v)))) > 0.42) SELECT vec_id, round(list_sum(list_transform(x, lambda v: v * coalesce(scale, 1.0))), 9) AS total FROM waveforms LEFT JOIN sc USING (label)")
 def velocity_applied(spark, d):
     w = A.waveforms(spark, d)
-    scales = w.select("label").distinct().filter("label % 2 = 0").withColumn("scale", F.lit(1.0) / (F.col("label") + 2))
+    peaks = w.groupBy("label").agg(F.max(F.array_max(F.transform("x", F.abs))).alias("peak"))
+    scales = peaks.filter("peak > 0.42").withColumn("scale", F.lit(0.3) / F.col("peak"))  # quieter ones stay
     return G.scaled(w, scales, "label").select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 9).alias("total"))
 
 
@@ -343,9 +353,10 @@ def verification_messages(spark, d):
     return D.messages(x).unionByName(D.messages(x, patch=True))
 
 
-@query("verification_bypass", _DOC + ", sb AS (SELECT category, bool_and(tier IN ('strong_reject', 'weak_reject')) AS s FROM lv WHERE category IN ('1', '2', '6') GROUP BY 1) SELECT category FROM doc LEFT JOIN sb USING (category) WHERE coalesce(s, bypass)")
+@query("verification_bypass", _DOC + ", ls AS (SELECT * FROM lv WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY category ORDER BY voted_at, event_id) = 1), sb AS (SELECT category, bool_and(tier IN ('strong_reject', 'weak_reject')) AS s FROM ls GROUP BY 1) SELECT category FROM doc LEFT JOIN sb USING (category) WHERE coalesce(s, bypass)")
 def verification_bypass(spark, d):
-    stems = _cards_votes(spark, d)[1].filter(F.col("category").isin("1", "2", "6")).select("category", F.col("tier").endswith("reject").alias("bypass"))
+    oldest = F.row_number().over(D.W.partitionBy("category").orderBy("voted_at", "event_id"))
+    stems = _cards_votes(spark, d)[1].filter("tier is not null").withColumn("_n", oldest).filter("_n = 1").select("category", F.col("tier").endswith("reject").alias("bypass"))
     return D.bypassed(_doc(spark, d), stems)
 
 
@@ -359,17 +370,18 @@ def verification_approved(spark, d):
     return D.approved(lists.withColumn("place", place), v).select("category", F.array_join("approved", "|").alias("approved"))
 
 
-@query("category_detail", ", nm AS (SELECT DISTINCT stem_id, 'stem ' || stem_id AS name FROM ratings WHERE stem_id < 9), x AS (SELECT DISTINCT category, variant_id, r.stem_id, coalesce(name, '?') AS name FROM ratings r LEFT JOIN nm USING (stem_id)) SELECT category, variant_id, array_to_string(list(stem_id || ':' || name ORDER BY stem_id, name), '|') AS stems FROM x GROUP BY 1, 2")
+@query("category_detail", ", nm AS (SELECT DISTINCT stem_id, (" + A._NAMES_SQL + ")[(stem_id + 7)::INT] AS name FROM ratings), x AS (SELECT DISTINCT category, variant_id, r.stem_id, coalesce(name, '?') AS name FROM ratings r LEFT JOIN nm USING (stem_id)) SELECT category, variant_id, array_to_string(list(stem_id || ':' || name ORDER BY stem_id, name), '|') AS stems FROM x GROUP BY 1, 2")
 def category_detail(spark, d):
     r = A.ratings(spark, d).select("category", "variant_id", "stem_id").distinct()
-    names = r.select("stem_id").distinct().filter("stem_id < 9").withColumn("name", F.concat(F.lit("stem "), F.col("stem_id").cast("string")))
+    name = F.element_at(F.array(*map(F.lit, A.NAMES), F.lit(None)), (F.col("stem_id") + 7).cast("int"))  # the last has none
+    names = r.select("stem_id").distinct().withColumn("name", name)
     return D.category_detail(r, names)
 
 
-@query("locked_config", _DOC + ", s2 AS (SELECT category, winner FROM doc WHERE category < '5' AND winner IS NOT NULL) SELECT category, approved[1] AS primary, array_to_string(approved, '|') AS fonts, coalesce(s2.winner, 'dry') AS fx FROM doc LEFT JOIN s2 USING (category) WHERE len(approved) > 0")
+@query("locked_config", _DOC + ", s2 AS (SELECT category, winner FROM doc WHERE list_contains(approved, winner)) SELECT category, approved[1] AS primary, array_to_string(approved, '|') AS fonts, coalesce(s2.winner, 'dry') AS fx FROM doc LEFT JOIN s2 USING (category) WHERE len(approved) > 0")
 def locked_config(spark, d):
     x = _doc(spark, d)
-    return D.locked(x, x.filter("category < '5' and winner is not null").select("category", "winner"), "dry")
+    return D.locked(x, x.filter("array_contains(approved, winner)").select("category", "winner"), "dry")
 
 
 @query("fonts_by_category", _DOC + ", ct(font, title) AS (VALUES ('click', 'alpha Font'), ('view', 'Beta font'), ('purchase', 'ALPHA two')), t AS (SELECT DISTINCT category, coalesce(title, font) AS t FROM (SELECT category, unnest(approved) AS font FROM doc) LEFT JOIN ct USING (font)) SELECT category, array_to_string(list(t ORDER BY lower(t), t), '|') AS fonts FROM t GROUP BY 1")
@@ -443,12 +455,14 @@ def swipe_cards(spark, d):
     return D.swipe_cards(A.ratings(spark, d).withColumnRenamed("listener_id", "clip_id"), 7, "piano")
 
 
-@query("clip_rows", """, m AS (SELECT DISTINCT stem_id, variant_id FROM ratings), w AS (SELECT DISTINCT stem_id, trial_id AS clip FROM ratings WHERE stem_id < 8), nw AS (SELECT stem_id, variant_id, clip FROM m JOIN w USING (stem_id))
+@query("clip_rows", """, m AS (SELECT DISTINCT stem_id, variant_id FROM ratings), w AS (SELECT DISTINCT stem_id, trial_id AS clip FROM ratings WHERE content >= (SELECT 0.98::DOUBLE * max(content) FROM ratings)), nw AS (SELECT stem_id, variant_id, clip FROM m JOIN w USING (stem_id))
   SELECT * FROM nw UNION ALL SELECT stem_id, variant_id, -1 FROM m WHERE stem_id NOT IN (SELECT stem_id FROM nw)""")
 def clip_rows(spark, d):
     r = A.ratings(spark, d)
     m = r.select("stem_id", "variant_id").distinct()
-    return D.clip_rows(m, r.filter("stem_id < 8").select("stem_id", F.col("trial_id").alias("clip")).distinct(), m.withColumn("clip", F.lit(-1).cast("long")))
+    best = r.agg((F.lit(0.98) * F.max("content")).alias("least"))  # one row
+    r = r.join(F.broadcast(best), F.col("content") >= F.col("least"))
+    return D.clip_rows(m, r.select("stem_id", F.col("trial_id").alias("clip")).distinct(), m.withColumn("clip", F.lit(-1).cast("long")))
 
 
 @query("tagged_parts", "SELECT p_partkey::VARCHAR AS id FROM part WHERE list_has_any(string_split(p_type, ' '), ['BRASS', 'SMALL', 'bolt']) ORDER BY id LIMIT 50")

@@ -60,8 +60,8 @@ def songs_meta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recipe_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Recipe rows of stems; every 13th song has none, some are pending or fell back."""
-    r = raw_stems(spark, d).filter("song_no % 13 <> 0")
+    """Recipe rows of stems; those under nine seconds have none, some are pending or fell back."""
+    r = raw_stems(spark, d).filter("wall_seconds >= 9")
     category = X.probe_category(F.col("program"), F.col("is_drum"), F.col("name"))
     x = r.select("song_id", "song_no", "track", "program", "is_drum", "name", "pass", "pass_no", *ORDER, category.alias("category"))
     method = F.when(F.col("category").isin("piano", "strings", "wind", "brass"), "midi-ddsp").when(F.col("category").isin("drums", "mallet"), "basic").otherwise("slakh")
@@ -149,7 +149,7 @@ VIEWS_SQL = f"""WITH raw_stems AS (SELECT 's' || l_orderkey AS song_id, l_orderk
 stems AS (SELECT * FROM raw_stems QUALIFY row_number() OVER (PARTITION BY song_id, track ORDER BY {_ORDER_DESC}) = 1),
 songs_meta AS (SELECT 's' || o_orderkey AS song_id, o_orderkey AS song_no, CASE WHEN o_orderkey % 37 <> 0 THEN o_totalprice / 1000 END AS song_length,
   o_orderstatus <> 'P' AS all_valid, o_custkey % 3 <> 0 AS rated_deduplicated, (o_orderkey % 64)::INT AS chunk, o_orderpriority AS genre, './data/raw/s' || o_orderkey AS path FROM orders),
-recipe_cat AS (SELECT song_id, song_no, track, program, is_drum, name, pass, pass_no, p1, p2, p3, p4, {CATEGORY_SQL} AS category FROM raw_stems WHERE song_no % 13 <> 0),
+recipe_cat AS (SELECT song_id, song_no, track, program, is_drum, name, pass, pass_no, p1, p2, p3, p4, {CATEGORY_SQL} AS category FROM raw_stems WHERE wall_seconds >= 9),
 recipe_method AS (SELECT *, CASE WHEN category IN ('piano', 'strings', 'wind', 'brass') THEN 'midi-ddsp' WHEN category IN ('drums', 'mallet') THEN 'basic' ELSE 'slakh' END AS method FROM recipe_cat),
 recipe_rows AS (SELECT *, CASE WHEN method <> 'midi-ddsp' THEN 'fluidsynth' WHEN p2 % 5 = 0 THEN 'fluidsynth' WHEN p2 % 7 = 0 THEN 'pending_midi_ddsp' WHEN category = 'piano' THEN 'ddsp_piano' ELSE 'midi_ddsp' END AS backend,
   CASE WHEN category IN ('strings', 'piano') THEN 'slakh' ELSE 'basic' END AS fallback, CASE WHEN p2 % 5 = 0 THEN CASE WHEN p2 % 2 = 0 THEN 'polyphonic' ELSE '' END END AS reason,
