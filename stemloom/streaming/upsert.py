@@ -47,7 +47,7 @@ def unfinished(stream: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
 
 def requeued(stream: DataFrame, specs: DataFrame) -> DataFrame:
     """Rows whose recipe differs from their category's present spec; specs (category, want_method) is a fixed list."""
-    return stream.join(F.broadcast(specs), "category").filter(~F.col("method").eqNullSafe(F.col("want_method"))).drop("want_method")
+    return stream.join(specs, "category").filter(~F.col("method").eqNullSafe(F.col("want_method"))).drop("want_method")
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
