@@ -54,10 +54,13 @@ NEURAL_NAMES = (
     ("saksafon", "saxophone"), ("saksofon", "saxophone"), ("alto sax", "saxophone"), ("tenor sax", "saxophone"), ("bari sax", "saxophone"),
     ("sax", "saxophone"), ("trumpet", "trumpet"), ("cornet", "trumpet"), ("trombone", "trombone"), ("tuba", "tuba"), ("french horn", "horn"), ("horn", "horn"),
 )
+# Names that the neural backend doesn't play though one of its cues is in them.
 NEURAL_DENY = ("piccolo", "english horn", "englishhorn", "cor anglais", "coranglais", "pan flute", "panflute", "recorder", "muted trumpet", "mute trumpet")
 # Instruments of the neural backend by program.
 NEURAL_PROGRAMS = {40: "violin", 41: "viola", 42: "cello", 43: "double bass", 56: "trumpet", 57: "trombone", 58: "tuba", 60: "horn", 66: "saxophone", 68: "oboe", 70: "bassoon", 71: "clarinet", 73: "flute"}
+# Names of keyboards that are no acoustic piano.
 PIANO_DENY = ("harpsichord", "cembalo", "clavinet", "clavi", "electric piano", "epiano", "e-piano", "e piano", "rhodes", "wurlitzer", "wurli", "dx7", "dx piano", "toy piano", "synth piano", "digital piano")
+# Names of voices, part names that mean one, and instruments beside which they don't.
 VOCAL_ALWAYS = ("voice", "vocal", "choir", "bass singer")
 VOCAL_PARTS = ("soprano", "alto", "tenor", "baritone")
 VOCAL_EXCEPT = (
@@ -71,4 +74,5 @@ BAND_LABELS = {
     "content": ("Very different", "Different", "Mostly same", "Same", "Identical"),
     "realism": ("Very synthetic", "Synthetic", "Mixed", "Realistic", "Very realistic"),
 }
+# Thresholds of accepted scores.
 CONTENT_THRESHOLD, CONTENT_MEAN_THRESHOLD, REALISM_THRESHOLD = 50, 60, 70

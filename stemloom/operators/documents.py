@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stemloom.functions import exprs as X
 from stemloom.functions import values as V
 from stemloom.operators import listening as L
 from stemloom.operators.dedupe import keep_first, keep_last
@@ -48,7 +49,8 @@ def bypassed(doc: DataFrame, stems: DataFrame) -> DataFrame:
 
 def messages(doc: DataFrame, patch: bool = False, preset: bool = False) -> DataFrame:
     """(category, message): what is wrong with the entries of a document."""
-    c, n = F.col("category"), F.coalesce(F.size("approved"), F.lit(0))
+    empty = lambda x: F.nullif(F.col(x), F.lit(""))  # noqa: E731  an empty text is as good as none
+    c, winner, n = empty("category"), empty("winner"), F.coalesce(F.size("approved"), F.lit(0))
     if patch:
         tests = [F.when(n <= 0, F.concat(c, F.lit(": keep at least one soundfont")))]
     elif preset:
@@ -57,9 +59,10 @@ def messages(doc: DataFrame, patch: bool = False, preset: bool = False) -> DataF
         live = ~F.coalesce("bypass", F.lit(False))
         tests = [
             F.when(live & (n <= 0), F.concat(c, F.lit(": approve at least one variant"))),
-            F.when(live & F.col("winner").isNull(), F.concat(c, F.lit(": pick a winner"))),
-            F.when(live & F.col("winner").isNotNull() & ~F.coalesce(F.array_contains("approved", F.col("winner")), F.lit(False)), F.concat(c, F.lit(": winner must be among approved variants"))),
+            F.when(live & winner.isNull(), F.concat(c, F.lit(": pick a winner"))),
+            F.when(live & winner.isNotNull() & ~F.coalesce(F.array_contains("approved", winner), F.lit(False)), F.concat(c, F.lit(": winner must be among approved variants"))),
         ]
+    # fixed values: the texts of these messages
     said = F.when(c.isNull(), F.array(F.lit("missing category"))).otherwise(F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>"))
     return doc.select("category", F.explode(said).alias("message"))
 
@@ -219,17 +222,46 @@ def top_corrections(report: DataFrame, n: int) -> DataFrame:
     return x.orderBy(F.desc("n"), "name", "program").limit(n)
 
 
-def listening_summary(ratings: DataFrame) -> DataFrame:
-    """(section, key, n, content, realism): means over all, by trial type and by condition, in one pass."""
-    x = ratings.groupingSets([[], ["category"], ["variant_id"]], "category", "variant_id").agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.round(F.avg("content"), 6).alias("content"), F.round(F.avg("realism"), 6).alias("realism"))
-    section = F.when(F.col("_g") == 3, "all").when(F.col("_g") == 1, "category").otherwise("variant")
-    return x.select(section.alias("section"), F.coalesce("category", "variant_id", F.lit("")).alias("key"), "n", "content", "realism")
+def listening_summary(ratings: DataFrame, conditions: tuple[str, ...], reference: str) -> DataFrame:
+    """(place, section, key, n, listeners, content, content_likert, content_band, realism, realism_likert, realism_band).
 
-
-def duration_report(stems: DataFrame) -> DataFrame:
-    """(section, key, n, hours, mean): lengths by program, drums and name, in one pass."""
-    x = stems.select(F.col("program").cast("string").alias("program"), F.col("is_drum").cast("string").alias("is_drum"), F.coalesce("name", F.lit("(unnamed)")).alias("name"), "wall_seconds")
-    keys = ["program", "is_drum", "name"]
-    x = x.groupingSets([[k] for k in keys], *keys).agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.round(F.sum("wall_seconds") / 3600, 6).alias("hours"), F.round(F.avg("wall_seconds"), 6).alias("mean"))
-    section = F.when(F.col("_g") == 3, "program").when(F.col("_g") == 5, "is_drum").otherwise("name")
-    return x.select(section.alias("section"), F.coalesce(*keys).alias("key"), "n", "hours", "mean")
+    ratings: (listener_id, condition_id, trial_type, is_reference, content, realism). Section `all` has the
+    counts, `condition` a row for each condition in the order given, rated or not, `mixture` and `stem` the
+    means by condition of their trials. Content leaves out ratings of the reference itself, in `condition`;
+    the reference condition has no content. Means have two digits. One pass; conditions are a few rows.
+    """
+    rated = ratings.filter(F.col("condition_id").isin(*conditions))
+    heard = ~F.coalesce("is_reference", F.lit(False))
+    mean = lambda x: F.round(F.avg(x), 2)
+    every = ratings.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("listener_id").alias("listeners")).select(F.lit("all").alias("section"), F.lit("").alias("key"), "n", "listeners")
+    by = rated.groupBy("condition_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("listener_id").alias("listeners"), F.avg(F.when(heard, F.col("content"))).alias("c"), F.avg("realism").alias("r"))
+    # a condition whose content was heard only as the reference keeps the mean of what there is, the reference itself none
+    rest = rated.groupBy("condition_id").agg(F.avg("content").alias("any"))
+    order = ratings.sparkSession.createDataFrame([(k, c) for k, c in enumerate(conditions)], "place int, condition_id string")
+    x = order.join(by, "condition_id", "left").join(rest, "condition_id", "left")
+    c = F.when(F.col("condition_id") == reference, F.col("c")).otherwise(F.coalesce("c", "any"))
+    label = lambda v, rubric: F.when(v.isNotNull(), X.band_label(v, rubric))
+    rubrics = [F.round(c, 2).alias("content"), F.when(c.isNotNull(), X.likert(c)).alias("content_likert"), F.coalesce(label(c, "content"), F.when((F.col("condition_id") == reference) & F.col("n").isNotNull(), "— (reference)")).alias("content_band")]
+    rubrics += [F.round("r", 2).alias("realism"), F.when(F.col("r").isNotNull(), X.likert(F.col("r"))).alias("realism_likert"), label(F.col("r"), "realism").alias("realism_band")]
+    x = x.select("place", F.lit("condition").alias("section"), F.col("condition_id").alias("key"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("listeners", F.lit(0)).alias("listeners"), *rubrics)
+    kinds = rated.filter(F.col("trial_type").isin("mixture", "stem")).groupBy("trial_type", "condition_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("listener_id").alias("listeners"), mean("content").alias("content"), mean("realism").alias("realism"))
+    kinds = kinds.join(order, "condition_id").select("place", F.col("trial_type").alias("section"), F.col("condition_id").alias("key"), "n", "listeners", "content", "realism")
+    return x.unionByName(kinds, allowMissingColumns=True).unionByName(every.withColumn("place", F.lit(-1)), allowMissingColumns=True)
+
+
+def duration_report(stems: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
+    """(section, key, n, mean, median, p95, p99, max): lengths of songs.
+
+    stems: (song_id, track, seconds, *columns). A song is as long as its longest stem. Section `summary`
+    has one row; each column has a section with its `most` most frequent values, by the first track's
+    value of a song; rows of equal count stand by key. Values of a column are counted in one pass each.
+    """
+    first = [F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col("track"))).alias(c) for c in columns]
+    songs = stems.groupBy("song_id").agg(F.max("seconds").alias("s"), *first)
+    at = lambda p: F.round(F.percentile("s", p), 2)
+    out = songs.agg(F.count("s").alias("n"), F.round(F.avg("s"), 2).alias("mean"), at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.round(F.max("s"), 2).alias("max"))
+    out = out.select(F.lit("summary").alias("section"), F.lit("").alias("key"), "*")
+    for c in columns:
+        x = songs.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("key")).agg(F.count("s").alias("n"), at(0.5).alias("median"), F.round(F.max("s"), 2).alias("max"))
+        out = out.unionByName(x.orderBy(F.desc("n"), "key").limit(most).withColumn("section", F.lit(c)), allowMissingColumns=True)
+    return out

@@ -60,6 +60,28 @@ def work_for_pass(assigned: DataFrame, native: DataFrame, neural: DataFrame, han
     return x.filter("native_left + neural_left > 0")
 
 
+def neural_work(assigned: DataFrame, own: DataFrame, soundfont: DataFrame) -> DataFrame:
+    """(song_id, left) of songs that the neural pass still has to visit.
+
+    `assigned` (path, n): tracks of a song that are laid out for it. `own` (path, track) has the rows of the
+    pass itself that hold, `soundfont` (path, track, method, backend) those of the soundfont pass: its
+    fallbacks of neural tracks count as done, what it left pending and nobody rendered is owed whatever
+    the counts say. Paths differ between machines, so songs meet by the last part of theirs.
+    """
+    song = X.song_id_from_audio(F.col("path")).alias("song_id")
+    zero = F.lit(0).cast("long")
+    own = own.select(song, "track").distinct()
+    soundfont = soundfont.select(song, "track", "method", "backend")
+    fallback = soundfont.filter((F.col("method") == NEURAL) & (F.col("backend") == "fluidsynth")).select("song_id", "track")
+    pending = soundfont.filter(F.col("backend") == "pending_midi_ddsp").select("song_id", "track").distinct().join(own, ["song_id", "track"], "left_anti")
+    count = lambda x, name: x.groupBy("song_id").agg(F.count(F.lit(1)).alias(name))
+    x = assigned.groupBy(song).agg(F.sum("n").alias("n"))
+    done = count(own.unionAll(fallback), "done")
+    x = x.join(done, "song_id", "left").join(count(pending, "pending"), "song_id", "full")
+    left = F.greatest(F.coalesce("n", zero) - F.coalesce("done", zero), F.coalesce("pending", zero), zero)
+    return x.select("song_id", left.alias("left")).filter("left > 0")
+
+
 def remaining(work: DataFrame, examples: int = 3) -> DataFrame:
     """(pass, songs, tracks, examples): the work left in each pass, and its first songs.
 
@@ -125,7 +147,7 @@ def first_nonempty(*pools: DataFrame) -> DataFrame:
     return x.join(F.broadcast(x.agg(F.min("_k").alias("_k"))), "_k").drop("_k")  # one row
 
 
-#: Kinds of demo songs: a pattern of their classes, if any, least and most tracks, and whether they cover all targets.
+# Fixed values, W35: kinds of demo songs: a pattern of their classes, if any, least and most tracks, and whether they cover all targets.
 DEMO_KINDS = (
     ("solo_piano", r"(?i)^piano$", 1, 1, None), ("bdgp", None, 4, 8, True), ("ensemble", r"(^|\|)ensemble(\||$)", 3, 8, None),
     ("orchestral", r"(?i)string|brass|reed", 4, 10, False), ("strings", r"(?i)(^|\|)strings(\||$)", 2, 8, None), ("brass", r"(?i)(^|\|)brass(\||$)", 2, 8, None),

@@ -98,16 +98,3 @@ def best_window(x: Column, width: int, hop: int) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - width) / hop)).cast("int"))
     scored = F.transform(starts, lambda i: F.struct(X.rms(F.slice(x, i * hop + 1, F.lit(width))).alias("r"), (-i * hop).alias("s")))
     return -F.array_max(scored)["s"]
-
-
-def window_score(x: Column, least_rms: float, edge: float = 0.1) -> Column:
-    """K20 without its onset detector: twice the RMS plus the active share, less the share at silent edges."""
-    k = F.greatest(F.lit(1), F.floor(F.size(x) * edge).cast("int"))
-    quiet = F.when(X.rms(F.slice(x, F.lit(1), k)) < least_rms, edge).otherwise(0.0) + F.when(X.rms(F.slice(x, -k, k)) < least_rms, edge).otherwise(0.0)
-    return 2 * X.rms(x) + active_samples(x, 8, least_rms) / F.size(x) - quiet
-
-
-def peak_normalised(x: Column, limit: float = 0.99) -> Column:
-    """K09, K12 without the loudness filter: gain to a peak; silent arrays stay."""
-    peak = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    return F.when(peak > 0, F.transform(x, lambda v: v * limit / peak)).otherwise(x)

@@ -75,6 +75,24 @@ def work_for_pass(spark, d):
     return _work(spark, d)
 
 
+@query("neural_work", _GM_SQL + _SPEC_SQL + """, an AS (SELECT song_id, count(*) AS n FROM g JOIN spec USING (category) WHERE spec.method = 'midi-ddsp' GROUP BY 1),
+  lp AS (SELECT * FROM recipe_rows QUALIFY row_number() OVER (PARTITION BY pass, song_id, track ORDER BY p1 DESC, p2 DESC, p3 DESC, p4 DESC) = 1),
+  cu AS (SELECT lp.* FROM lp JOIN spec USING (category) WHERE lp.method = spec.method AND lp.fallback = spec.fallback),
+  ow AS (SELECT DISTINCT song_id, track FROM cu WHERE pass = 'midi_ddsp'), fb AS (SELECT song_id, track FROM cu WHERE pass = 'fluidsynth' AND method = 'midi-ddsp' AND backend = 'fluidsynth'),
+  pe AS (SELECT song_id, count(*) AS pending FROM (SELECT DISTINCT song_id, track FROM cu WHERE pass = 'fluidsynth' AND backend = 'pending_midi_ddsp' EXCEPT SELECT * FROM ow) GROUP BY 1),
+  dn AS (SELECT song_id, count(*) AS done FROM (SELECT * FROM ow UNION ALL SELECT * FROM fb) GROUP BY 1),
+  le AS (SELECT song_id, greatest(coalesce(n, 0) - coalesce(done, 0), coalesce(pending, 0), 0) AS owed FROM (SELECT * FROM an LEFT JOIN dn USING (song_id)) FULL JOIN pe USING (song_id)) SELECT song_id, owed AS "left" FROM le WHERE owed > 0""")
+def neural_work(spark, d):
+    """The neural pass, its tables recorded under other folders than the plan's."""
+    spec = _spec(spark)
+    under = lambda folder: F.concat(F.lit(folder), F.col("song_id")).alias("path")
+    plan = G.track_plan(_gm(A.stems(spark, d)).select("song_id", "track", "category"), spec).filter(F.col("method") == G.NEURAL)
+    assigned = plan.groupBy("song_id").agg(F.count(F.lit(1)).alias("n")).select(under("./data/audio/"), "n")
+    rows = keep_last(A.recipe_rows(spark, d), ["pass", "song_id", "track"], list(A.ORDER))
+    rows = G.current(rows, spec)
+    return G.neural_work(assigned, rows.filter(F.col("pass") == "midi_ddsp").select(under("/old/disk/audio/"), "track"), rows.filter(F.col("pass") == "fluidsynth").select(under("/new/audio/"), "track", "method", "backend"))
+
+
 @query("pass_remaining", _WORK + """, u AS (SELECT 'native' AS pass, song_id, native_left AS k FROM work UNION ALL SELECT 'neural', song_id, neural_left FROM work)
   SELECT pass, count(*) AS songs, sum(k)::BIGINT AS tracks, array_to_string(list_slice(list(song_id ORDER BY song_id), 1, 3), '|') AS examples FROM u WHERE k > 0 GROUP BY 1""")
 def pass_remaining(spark, d):
@@ -528,20 +546,43 @@ def patch_pool(spark, d):
     return A.stems(spark, d).select("program", "is_drum").distinct().select("program", "is_drum", F.when(F.col("is_drum"), "128").otherwise(F.array_join(pool, "|")).alias("pool"))
 
 
-_MEANS = "count(*) AS n, round(avg(content), 6) AS content, round(avg(realism), 6) AS realism FROM ratings"
 
 
-@query("listening_summary", f"SELECT 'all' AS section, '' AS key, {_MEANS} UNION ALL SELECT 'category', category, {_MEANS} GROUP BY 2 UNION ALL SELECT 'variant', variant_id, {_MEANS} GROUP BY 2")
+_CONDITIONS = ("view", "click", "purchase", "signup", "refund", "error")
+_BANDS = {k: "[" + ", ".join(f"'{b}'" for b in v) + "]" for k, v in V.BAND_LABELS.items()}
+_BAND = "least(4, floor(greatest(0, least(100, {x})) / 20))::INT"
+
+
+@query(
+    "listening_summary",
+    f""", lr AS (SELECT listener_id, variant_id AS condition_id, CASE WHEN category = 'drums' THEN 'mixture' WHEN category IN ('piano', 'strings') THEN 'stem' ELSE 'other' END AS trial_type, variant_id = 'view' OR auto_assigned AS is_reference, content, realism FROM ratings),
+  co(place, condition_id) AS (VALUES {', '.join(f"({k}, '{c}')" for k, c in enumerate(_CONDITIONS))}),
+  m AS (SELECT condition_id, count(*) AS n, count(DISTINCT listener_id) AS listeners, avg(content) FILTER (NOT is_reference) AS c0, avg(content) AS any_c, avg(realism) AS r FROM lr GROUP BY 1),
+  j AS (SELECT co.place, co.condition_id, n, listeners, r, CASE WHEN co.condition_id = 'view' THEN c0 ELSE coalesce(c0, any_c) END AS c FROM co LEFT JOIN m USING (condition_id))
+  SELECT place, 'condition' AS section, condition_id AS key, coalesce(n, 0) AS n, coalesce(listeners, 0) AS listeners, round(c, 2) AS content, CASE WHEN c IS NOT NULL THEN {_BAND.format(x='c')} + 1 END AS content_likert,
+    CASE WHEN c IS NOT NULL THEN ({_BANDS['content']})[{_BAND.format(x='c')} + 1] WHEN condition_id = 'view' AND n > 0 THEN '— (reference)' END AS content_band, round(r, 2) AS realism, CASE WHEN r IS NOT NULL THEN {_BAND.format(x='r')} + 1 END AS realism_likert, CASE WHEN r IS NOT NULL THEN ({_BANDS['realism']})[{_BAND.format(x='r')} + 1] END AS realism_band FROM j
+  UNION ALL SELECT place, trial_type, condition_id, count(*), count(DISTINCT listener_id), round(avg(content), 2), NULL, NULL, round(avg(realism), 2), NULL, NULL FROM lr JOIN co USING (condition_id) WHERE trial_type <> 'other' GROUP BY 1, 2, 3
+  UNION ALL SELECT -1, 'all', '', count(*), count(DISTINCT listener_id), NULL, NULL, NULL, NULL, NULL, NULL FROM lr""",
+)
 def listening_summary(spark, d):
-    return D.listening_summary(A.ratings(spark, d))
+    kind = F.when(F.col("category") == "drums", "mixture").when(F.col("category").isin("piano", "strings"), "stem").otherwise("other")
+    r = A.ratings(spark, d).select("listener_id", F.col("variant_id").alias("condition_id"), kind.alias("trial_type"), ((F.col("variant_id") == "view") | F.col("auto_assigned")).alias("is_reference"), "content", "realism")
+    return D.listening_summary(r, _CONDITIONS, "view")
 
 
-_LENGTHS = "count(*) AS n, round(sum(wall_seconds) / 3600, 6) AS hours, round(avg(wall_seconds), 6) AS mean FROM stems GROUP BY 2"
+def _lengths(column: str) -> str:
+    return f"SELECT * FROM (SELECT '{column}' AS section, {column} AS key, count(s) AS n, NULL::DOUBLE AS mean, round(median(s), 2) AS median, NULL::DOUBLE AS p95, NULL::DOUBLE AS p99, round(max(s), 2) AS max FROM so WHERE {column} IS NOT NULL GROUP BY 2 ORDER BY n DESC, key LIMIT 10)"
 
 
-@query("duration_report", f"SELECT 'program' AS section, program::VARCHAR AS key, {_LENGTHS} UNION ALL SELECT 'is_drum', is_drum::VARCHAR, {_LENGTHS} UNION ALL SELECT 'name', coalesce(name, '(unnamed)'), {_LENGTHS}")
+@query(
+    "duration_report",
+    """, sg AS (SELECT s.*, genre FROM stems s JOIN songs_meta USING (song_id)), so AS (SELECT song_id, max(wall_seconds) AS s, arg_min(program::VARCHAR, track) AS program, arg_min(is_drum::VARCHAR, track) AS is_drum, arg_min(name, track) FILTER (name IS NOT NULL) AS name, arg_min(genre, track) AS genre FROM sg GROUP BY 1)
+  SELECT 'summary' AS section, '' AS key, count(s) AS n, round(avg(s), 2) AS mean, round(median(s), 2) AS median, round(quantile_cont(s, 0.95), 2) AS p95, round(quantile_cont(s, 0.99), 2) AS p99, round(max(s), 2) AS max FROM so UNION ALL """
+    + " UNION ALL ".join(map(_lengths, ("program", "is_drum", "name", "genre"))),
+)
 def duration_report(spark, d):
-    return D.duration_report(A.stems(spark, d))
+    x = A.stems(spark, d).join(A.songs_meta(spark, d).select("song_id", "genre"), "song_id").withColumnRenamed("wall_seconds", "seconds")
+    return D.duration_report(x.select("song_id", "track", "seconds", "program", "is_drum", "name", "genre"), ["program", "is_drum", "name", "genre"])
 
 
 @query("clipped_lengths", "SELECT song_id, least(song_length, 300.0) AS song_length FROM songs_meta WHERE all_valid AND song_length IS NOT NULL")
