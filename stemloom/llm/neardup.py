@@ -27,6 +27,8 @@ TOLERANCE = 1e-6
 STEP = 30
 #: Texts on each side of a tile. Larger groups are cut into tiles, and all pairs of tiles compared.
 TILE = 256
+#: A component of more texts than a tile, with no more candidate pairs a text than this, is verified pair by pair.
+SPARSE = 32
 _MASK = (1 << 64) - 1
 
 
@@ -212,25 +214,56 @@ def _signed(docs: DataFrame) -> DataFrame:
     return x.groupBy("tid").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"))
 
 
-def _candidates(signed: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest, in each bucket tile, of the pairs that the pruning leaves."""
+def _buckets(signed: DataFrame) -> DataFrame:
+    """(gid, side, tid, band, sig): the texts of each bucket of two or more, dealt to tiles."""
     slim = signed.select("tid", F.posexplode("keys").alias("band", "key"))
     full = slim.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = slim.join(full, "key").join(signed.select("tid", "sig"), "tid")
+    return _tiled(members, "key", "size").select("gid", "side", "tid", "band", "sig")
+
+
+def _left(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Pairs of rows of some whole buckets that the pruning leaves, each in the first band that it shares."""
+    band, sig = t.column("band").to_numpy(), _matrix(t.column("sig"))
+    for i, j, lo, hi in _pairs(t.column("gid").to_numpy(), t.column("side").to_numpy()):
+        new = ~_earlier(sig, i, j, band[i])
+        i, j = i[new], j[new]
+        stay = pruned(sig, i, j)
+        yield i[stay], j[stay], lo, hi
+
+
+def _candidates(signed: DataFrame) -> DataFrame:
+    """(u, v, pairs): a spanning forest, in each bucket tile, of the pairs that the pruning leaves.
+
+    The sum of `pairs` over the rows of a component is the number of its pairs.
+    """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches):
-            tid, band, sig = t.column("tid").to_numpy(), t.column("band").to_numpy(), _matrix(t.column("sig"))
-            for i, j, lo, hi in _pairs(t.column("gid").to_numpy(), t.column("side").to_numpy()):
-                new = ~_earlier(sig, i, j, band[i])
-                i, j = i[new], j[new]
-                stay = pruned(sig, i, j)
-                root = _forest(hi - lo, i[stay] - lo, j[stay] - lo)
+            tid = t.column("tid").to_numpy()
+            for i, j, lo, hi in _left(t):
+                root = _forest(hi - lo, i - lo, j - lo)
                 linked = np.flatnonzero(root != np.arange(hi - lo))
                 if len(linked):
-                    yield pa.RecordBatch.from_pydict({"u": tid[lo + root[linked]], "v": tid[lo + linked]})
+                    trees, first = np.unique(root[linked], return_index=True)
+                    pairs = np.zeros(len(linked), np.int64)
+                    pairs[first] = np.bincount(root[i - lo], minlength=hi - lo)[trees]
+                    yield pa.RecordBatch.from_pydict({"u": tid[lo + root[linked]], "v": tid[lo + linked], "pairs": pairs})
+
+    return _buckets(signed).mapInArrow(compare, "u long, v long, pairs long")
+
 
-    return _tiled(members, "key", "size").select("gid", "side", "tid", "band", "sig").mapInArrow(compare, "u long, v long")
+def _listed(signed: DataFrame) -> DataFrame:
+    """(u, v): all pairs that the pruning leaves, each once; of texts that have few."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches):
+            tid = t.column("tid").to_numpy()
+            for i, j, _, _ in _left(t):
+                if len(i):
+                    yield pa.RecordBatch.from_pydict({"u": tid[i], "v": tid[j]})
+
+    return _buckets(signed).mapInArrow(compare, "u long, v long")
 
 
 def _linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -265,6 +298,39 @@ def _linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: flo
     return kept[both >= threshold * (size[i] + size[j] - both)]
 
 
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the shingles of their text in place of it."""
+    for b in batches:
+        out = [s.tobytes() for _, some in text_shingles(b.column("text")) for s in some]
+        yield b.drop_columns(["text"]).append_column("set", pa.array(out, pa.binary()))
+
+
+def _pair_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(tid, root, links) as _links has it, of members of sparse components: each candidate pair by itself.
+
+    A pair's two texts meet as their sets of shingles; a text in very many pairs meets them in pieces. So
+    the work grows with the pairs, however long a chain of texts is.
+    """
+    pairs = T.checkpointed(_listed(members.select("tid", "keys", "sig")))
+    sets = T.written(members.select("tid", "copies", "text").mapInArrow(_sets, "tid long, copies long, set binary"), "sets")
+    rows = pairs.count()
+    for side in ("u", "v"):
+        known = sets.select(F.col("tid").alias(side), F.col("copies").alias(f"{side}_copies"), F.col("set").alias(f"{side}_set"))
+        pairs = T.hub_join(pairs, known, side, T.hubs_of(pairs.select(side), side, rows))
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v = ([np.frombuffer(x, np.uint64) for x in b.column(f"{side}_set").to_pylist()] for side in ("u", "v"))
+            both = np.fromiter((len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(u, v, strict=True)), np.int64, len(u))
+            size = np.fromiter(map(len, u), np.int64, len(u)) + np.fromiter(map(len, v), np.int64, len(v))
+            yes = pa.array(both >= threshold * (size - both))
+            yield b.drop_columns(["u_set", "v_set"]).filter(yes)
+
+    found = pairs.select("u", "v", "u_copies", "v_copies", "u_set", "v_set").mapInArrow(verify, "u long, v long, u_copies long, v_copies long")
+    each = F.array(F.struct(F.col("u").alias("tid"), F.col("v_copies").alias("links")), F.struct(F.col("v").alias("tid"), F.col("u_copies").alias("links")))
+    return found.select(F.least("u", "v").alias("root"), F.inline(each)).select("tid", "root", "links")
+
+
 def _links(members: DataFrame, threshold: float) -> DataFrame:
     """(tid, root, links): in each tile of a component, exact links of a text and the least text linked.
 
@@ -272,11 +338,6 @@ def _links(members: DataFrame, threshold: float) -> DataFrame:
     texts included.
     """
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [s.tobytes() for _, some in text_shingles(b.column("text")) for s in some]
-            yield b.drop_columns(["text"]).append_column("set", pa.array(out, pa.binary()))
-
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, 512):
             tid, copies, sig = t.column("tid").to_numpy(), t.column("copies").to_numpy(), _matrix(t.column("sig"))
@@ -293,7 +354,7 @@ def _links(members: DataFrame, threshold: float) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"tid": tid[lo + some], "root": tid[lo + root[some]], "links": links[some].astype(np.int64)})
 
     schema = "tid long, comp long, size long, copies long, sig binary, set binary"
-    x = members.select("tid", "comp", "size", "copies", "sig", "text").mapInArrow(sets, schema)
+    x = members.select("tid", "comp", "size", "copies", "sig", "text").mapInArrow(_sets, schema)
     return _tiled(x, "comp", "size").select("gid", "side", "tid", "copies", "sig", "set").mapInArrow(verify, "tid long, root long, links long")
 
 
@@ -310,20 +371,27 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bucket pairs are pruned by the posterior of their similarity; the components of what is left hold
     all candidates, and in each component pairs are pruned again and verified exactly. Large buckets
     and components are cut into tiles: pairs stay inside tasks, and only counts and spanning forests
-    leave them. No bucket is capped. Where one text has very many copies, its rows meet the one row
+    leave them. In a large component with few candidate pairs a text, such as a long chain, the pairs
+    are listed and verified one by one instead. No bucket is capped. Where one text has very many copies, its rows meet the one row
     that is known of it in pieces.
     """
     x = docs.select(F.col("`doc_id`").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     x = x.withColumn("tid", F.xxhash64("text"))
     signed = T.checkpointed(_signed(x))
-    comp = components(_candidates(signed)).select(F.col("node").alias("tid"), F.col("root").alias("comp"))
-    size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    forest = T.checkpointed(_candidates(signed))
+    comp = components(forest.select("u", "v")).select(F.col("node").alias("tid"), F.col("root").alias("comp"))
+    pairs = forest.groupBy(F.col("v").alias("tid")).agg(F.sum("pairs").alias("pairs"))
+    size = comp.join(pairs, "tid", "left").groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("pairs").alias("pairs"))
     copies = T.checkpointed(x.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")))
     rows = copies.agg(F.sum("copies")).first()[0] or 0
     hubs = copies.filter(F.col("copies") > max(rows / T.HUBS, T.HUB_LEAST)).select("tid")
-    known = comp.join(size, "comp").join(signed.select("tid", "sig"), "tid").join(copies.select("tid", "copies"), "tid")
+    known = comp.join(size, "comp").join(signed, "tid").join(copies.select("tid", "copies"), "tid")
     texts = T.hub_join(x.select("tid", "text"), comp.select("tid"), "tid", hubs, "left_semi").dropDuplicates(["tid"])
-    found = T.checkpointed(_links(known.join(texts, "tid"), threshold))
+    sparse = (F.col("size") > TILE) & (F.col("pairs") <= SPARSE * F.col("size"))
+    found = T.checkpointed(_links(known.filter(~sparse).join(texts, "tid"), threshold))
+    thin = T.checkpointed(known.filter(sparse))
+    if not thin.isEmpty():
+        found = found.unionByName(T.checkpointed(_pair_links(thin.join(texts, "tid"), threshold)))
     classes = components(found.select(F.col("tid").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("tid").agg(F.sum("links").alias("links"))
     info = copies.join(classes.select(F.col("node").alias("tid"), "root"), "tid", "left").join(links, "tid", "left")

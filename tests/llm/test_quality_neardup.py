@@ -126,6 +126,32 @@ def test_join_in_tiles(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.class_id, r.n_links) for r in x.collect()) == brute(docs)
 
 
+def test_join_pair_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 8)
+    monkeypatch.setattr(neardup, "SPARSE", 10**6)
+    monkeypatch.setattr(T, "HUB_LEAST", 5)
+    docs = variants()
+    x = neardup.join(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((str(r.doc_id), r.class_id, r.n_links) for r in x.collect()) == brute(docs)
+
+
+def chain(n, step):
+    return [(k, " ".join(f"v{j}" for j in range(k * step, k * step + 104))) for k in range(n)]
+
+
+@pytest.mark.parametrize(("step", "linked"), [(10, True), (12, False)])
+def test_long_chains_take_linear_work(spark, monkeypatch, step, linked):
+    """Neighbours of similarity 0.82 are linked, of 0.79 nearly; each text has two of them, and no work with the others."""
+    listed = []
+    real = neardup._listed
+    monkeypatch.setattr(neardup, "_listed", lambda signed: listed.append(T.checkpointed(real(signed))) or listed[-1])
+    n = 400
+    got = {r.doc_id: r for r in neardup.join(spark.createDataFrame(chain(n, step), "doc_id long, text string")).collect()}
+    assert listed and listed[0].count() < 4 * n
+    assert all(r.n_links == (0 if not linked else 1 if k in (0, n - 1) else 2) for k, r in got.items())
+    assert all(r.class_id == (0 if linked else k) for k, r in got.items())
+
+
 def test_join_with_hot_texts(spark, monkeypatch):
     monkeypatch.setattr(T, "HUB_LEAST", 5)
     near = " ".join([*BASE[:-1], "other"])
