@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from . import text as T
 
 END_ID = 2
-#: Ids of a shard at least, unless the task's documents end; a document is never cut.
-SHARD_IDS = 2_000_000
+#: Ids of a shard at least, unless the task's documents end; a document is never cut. A shard is what a
+#: lookup reads, some 64 KB of ids and its index, and so it is a page of its own in the file.
+SHARD_IDS = 1 << 15
+PAGES = {"parquet.page.row.count.limit": "1", "parquet.page.size": "65536", "parquet.page.size.row.check.min": "1"}
 #: Pre-tokens whose ids a worker remembers.
 KNOWN = 800_000
 #: Room for each key in the bit array of a level.
@@ -264,7 +266,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
 
     x = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")).withColumn("th", F.xxhash64("text"))
     x = x.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
-    x.mapInArrow(pack, SCHEMA).write.option("compression", "zstd").parquet(path)
+    x.mapInArrow(pack, SCHEMA).write.options(compression="zstd", **PAGES).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -295,33 +297,41 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each task that wrote
     parts = parts.select("part", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(up, -1)), F.lit(0)).alias("before"))
     base = sizes.select("part", "seq", in_part.alias("in_part")).join(parts, "part").select("part", "seq", (F.col("before") + F.col("in_part")).alias("base"))
-    # few documents a shard batch: a shard's row is large
     rows = shards.mapInArrow(scan, "part long, seq long, doc_id long, within long, n_tokens long, ids_crc32 long")
     return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """(doc_id, ids) of the documents with one of a few keys; only shards that can hold them are read."""
-    wanted = sorted({int(k) for k in keys})
+    """(doc_id, ids) of the documents with one of a few keys.
+
+    The first and last keys of shards, two numbers each, tell which shards can hold one; of these alone,
+    a page of the file each, the index and the ids are read. Up to ten such shards are found by the file's
+    own page index.
+    """
+    wanted = np.asarray(sorted({int(k) for k in keys}), np.int64)
+    if not len(wanted):
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+
+    def holding(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, last = b.column("first_key").to_numpy(), b.column("last_key").to_numpy()
+            some = np.searchsorted(wanted, first, "left") < np.searchsorted(wanted, last, "right")
+            yield b.select(["first_key"]).filter(pa.array(some))
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = np.asarray(wanted, np.int64)
         for b in batches:
             for row in b.to_pylist():
                 r = Reader(row)
-                first, times = r.find(k)
-                found = [(int(key), r.document(a + i).astype(np.int64)) for key, a, n in zip(k, first, times, strict=True) for i in range(n)]
+                first, times = r.find(wanted)
+                found = [(int(key), r.document(a + i).astype(np.int64)) for key, a, n in zip(wanted, first, times, strict=True) for i in range(n)]
                 found = [(key, ids) for key, ids in found if row["first_key"] <= key <= row["last_key"]]
                 if found:
                     yield pa.RecordBatch.from_pydict({"doc_id": [f[0] for f in found], "ids": [f[1] for f in found]}, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
     shards = spark.read.schema(SCHEMA).parquet(path).filter("not null_keys")
-    if not wanted:
-        return spark.createDataFrame([], "doc_id long, ids array<long>")
-    may = F.lit(False)
-    for k in wanted:
-        may = may | F.lit(k).between(F.col("first_key"), F.col("last_key"))
-    return shards.filter(may).mapInArrow(fetch, "doc_id long, ids array<long>")
+    heads = shards.filter((F.col("first_key") <= int(wanted[-1])) & (F.col("last_key") >= int(wanted[0]))).select("first_key", "last_key")
+    at = [r.first_key for r in heads.mapInArrow(holding, "first_key long").distinct().collect()]  # no more than the keys
+    return shards.filter(F.col("first_key").isin(at)).mapInArrow(fetch, "doc_id long, ids array<long>")
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
