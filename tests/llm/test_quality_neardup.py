@@ -145,7 +145,7 @@ def test_long_chains_take_linear_work(spark, monkeypatch, step, linked):
     listed = []
     real = neardup._listed
     monkeypatch.setattr(neardup, "_listed", lambda signed: listed.append(T.checkpointed(real(signed))) or listed[-1])
-    n = 400
+    n = 700
     got = {r.doc_id: r for r in neardup.join(spark.createDataFrame(chain(n, step), "doc_id long, text string")).collect()}
     assert listed and listed[0].count() < 4 * n
     assert all(r.n_links == (0 if not linked else 1 if k in (0, n - 1) else 2) for k, r in got.items())
