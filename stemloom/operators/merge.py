@@ -46,6 +46,13 @@ def lookup(table: DataFrame, dim: DataFrame, on: list[str], column: str, default
     return table.join(dim.select(*on, F.col(column).alias("_found")), on, "left").withColumn(column, F.coalesce(F.col("_found"), default)).drop("_found")
 
 
+def covers(src: DataFrame, dst: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """(group, covered): whether every row of src is in dst, group by group; dst may have more."""
+    there = dst.select(group, *columns).distinct().withColumn("_there", F.lit(True))
+    x = src.select(group, *columns).distinct().join(there, [group, *columns], "left")
+    return x.groupBy(group).agg(F.bool_and(F.coalesce("_there", F.lit(False))).alias("covered"))
+
+
 def contained(a: DataFrame, b: DataFrame) -> bool:
     """Whether every row of a is in b."""
     return a.exceptAll(b).isEmpty()

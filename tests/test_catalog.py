@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from stemloom.plans import composites  # noqa: F401
+from stemloom.plans import composites, lookups, signals  # noqa: F401
 from stemloom.plans.catalog import ORACLE, QUERIES
 
 from .oracle import assert_same, duck
