@@ -88,6 +88,26 @@ def test_keyed_lookup(spark, odd, tmp_path):
     assert got == Counter((i, (*t.encode(x or "", add_special_tokens=False).ids, 2)) for i, x in ODD if i in (1, 7))
 
 
+def test_a_lookup_reads_little(spark, tmp_path):
+    """Of 12 MB of ids, one key's page and its index, not the files."""
+    words = [f"{a}{b}" for a in ("ba", "ko", "li", "mu", "ne") for b in ("ra", "to", "su", "vi")]
+    rng = np.random.default_rng(0)
+    rows = [(k, " ".join(rng.choice(words, 1500))) for k in range(2500)]
+    path = str(tmp_path / "x")
+    tokenindex.write(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    total = sum(f.stat().st_size for f in (tmp_path / "x").glob("*.parquet"))
+    assert spark.read.parquet(path).count() > 100
+    stats = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem
+
+    def read():
+        return sum(s.getBytesRead() for s in stats.getAllStatistics() if s.getScheme() == "file")
+
+    tokenindex.lookup(spark, path, [3]).collect()
+    before = read()
+    got = tokenindex.lookup(spark, path, [1234, 5_000_000]).collect()
+    assert [r.doc_id for r in got] == [1234] and total > 2_000_000 and read() - before < 1_000_000
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 60, 5000).astype(np.uint64))
     mph = tokenindex.PerfectHash.build(keys)
