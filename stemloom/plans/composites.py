@@ -15,7 +15,7 @@ from stemloom.operators.dedupe import keep_last
 from stemloom.plans.catalog import _GM_SQL, _LAST_VOTE, _PLACED, _ROUTE, _STATS, _TARGET, _cards_votes, _gm, _pipe, _routed, query
 from stemloom.session import table
 from stemloom.sources import adapters as A
-from stemloom.sources import midi
+from stemloom.sources import collection, midi
 
 #: The recipe as it is now; recorded rows of wind and of organ were made by another one.
 SPEC = tuple((c, "midi-ddsp" if c in ("piano", "strings", "brass") else "basic" if c in ("drums", "mallet") else "slakh", "slakh" if c in ("strings", "piano") else "slakh" if c == "organ" else "basic") for c in V.CATEGORIES)
@@ -277,7 +277,7 @@ _MIDI = f""", me AS (SELECT user_id, (event_id % 4)::INT AS track, event_id AS p
 
 @query("midi_round_trip", _MIDI + "SELECT user_id || '.mid' AS path, track, tick, note, is_on, count(*) AS n FROM me GROUP BY ALL")
 def midi_round_trip(spark, d):
-    """Event rows written as MIDI files and read back."""
+    """Event rows written as MIDI files and read back."""
     x = midi.read_events(midi.written_midis(_midi_events(spark, d))).filter("kind in ('on', 'off')")
     return x.groupBy("path", "track", "tick", "note", (F.col("kind") == "on").alias("is_on")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -592,10 +592,42 @@ def clipped_lengths(spark, d):
     return x.filter("s is not null").select("song_id", F.least("s", F.lit(300.0)).alias("song_length"))
 
 
-@query("render_dataset", "SELECT song_id, replace(path, './data/raw/', './out/') AS path, song_length FROM songs_meta WHERE all_valid")
+def _songs_csv(spark, d):
+    """The song table as it is recorded: paths from a dot on, flags as text."""
+    m = A.songs_meta(spark, d)
+    song = F.col("song_id")
+    return m.select(
+        "path", F.concat(F.lit("./mid/"), song, F.lit(".mid")).alias("mid"), F.col("song_no").alias("tracks"), "genre", F.lit("x").alias("metadata"),
+        F.when(F.col("all_valid"), "True").otherwise("False").alias("subset:all_valid"), F.col("rated_deduplicated").cast("string").alias("subset:rated_deduplicated"),
+    )
+
+
+@query("render_dataset", "SELECT '/pdmx/data/raw/' || song_id AS path, '/pdmx/mid/' || song_id || '.mid' AS mid, song_no AS tracks, genre, '/out/basic/' || song_id AS path_output, '/pdmx/mid/' || song_id || '.mid' AS mid_pdmx FROM songs_meta WHERE all_valid")
 def render_dataset(spark, d):
-    """Songs to render: the valid ones, without wide columns, under the folder of the output."""
-    return A.songs_meta(spark, d).filter("all_valid").select("song_id", F.regexp_replace("path", r"^\./data/raw/", "./out/").alias("path"), "song_length")
+    """S42."""
+    return collection.render_rows(_songs_csv(spark, d), "/pdmx", "/out", "basic")
+
+
+@query("subset_mids", "SELECT '/pdmx/mid/' || song_id || '.mid' AS mid FROM songs_meta WHERE all_valid AND rated_deduplicated")
+def subset_mids(spark, d):
+    """S39, P30."""
+    return collection.of_subset(_songs_csv(spark, d), "rated_deduplicated").select(collection.mid_path(F.col("mid"), "/pdmx/").alias("mid"))
+
+
+@query("recorded_programs", ", t AS (SELECT song_id, string_agg(program, '-' ORDER BY track) AS tracks FROM stems GROUP BY 1), u AS (SELECT song_id, unnest(string_split(tracks, '-'))::INT AS program FROM t JOIN songs_meta USING (song_id) WHERE all_valid) SELECT program, count(*) AS n FROM u GROUP BY 1")
+def recorded_programs(spark, d):
+    """Programs of the track lists of valid songs."""
+    own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("track", "program"))), lambda s: s["program"].cast("string")), "-")  # a song's tracks are few
+    x = A.stems(spark, d).groupBy("song_id").agg(own.alias("tracks")).join(A.songs_meta(spark, d).select("song_id", F.col("all_valid").alias("subset:all_valid")), "song_id")
+    x = collection.of_subset(x, "all_valid").select(F.explode(collection.track_programs(F.col("tracks"))).alias("program"))
+    return x.groupBy("program").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("midi_index", _ROUTE + _GM_SQL.replace("SELECT *,", "SELECT song_id AS sid, track AS t,") + _SPEC_SQL + """, tb AS (SELECT song_id, CASE WHEN spec.method = 'midi-ddsp' AND routed.backend IN ('midi_ddsp', 'ddsp_piano') THEN routed.backend ELSE 'fluidsynth' END AS backend FROM routed JOIN g ON sid = song_id AND t = track JOIN spec USING (category))
+  SELECT song_id, '/corrected/' || song_id || '.mid' AS mid, count(*) AS n_tracks, count(*) FILTER (backend = 'fluidsynth') AS n_fluidsynth, count(*) FILTER (backend = 'ddsp_piano') AS n_ddsp_piano, count(*) FILTER (backend = 'midi_ddsp') AS n_midi_ddsp FROM tb GROUP BY 1""")
+def midi_index(spark, d):
+    """S45."""
+    return collection.midi_index(A.stems(spark, d), _spec(spark), "/corrected")
 
 
 @query("track_maps", "SELECT song_id, array_to_string(list(track || '>' || program || coalesce('/' || name, '') ORDER BY track), '|') AS tracks FROM stems GROUP BY 1")

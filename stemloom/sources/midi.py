@@ -239,7 +239,7 @@ def corrected_midis(files: DataFrame, register: DataFrame) -> DataFrame:
 
 
 def written_midis(events: DataFrame, ticks_per_beat: int = 480) -> DataFrame:
-    """(path, content): MIDI files of event rows, a group a file; names and programs stand before the notes of their tick."""
+    """(path, content): MIDI files of event rows, a group a file; names and programs stand before the notes of their tick."""
 
     def write(b: pd.DataFrame) -> pd.DataFrame:
         tracks = []
