@@ -131,6 +131,28 @@ def token_counts(df: DataFrame, joined: Column) -> DataFrame:
     return counts(x, "token")
 
 
+def release_summary(songs: DataFrame, chunks: DataFrame, least: int = 2) -> DataFrame:
+    """One row of counts, hours and shares of a release.
+
+    songs (song_id, n_tracks, song_length, bdgp): a song counts its mix's length once, whatever its stems;
+    lengths that are missing or not positive count nothing. chunks (chunk, bytes) has a row a stem or file.
+    Songs of `least` tracks are multitrack; shares of nothing are 0.
+    """
+    hours = F.sum(F.when(F.col("song_length") > 0, F.col("song_length"))) / 3600
+    many = F.col("n_tracks") >= least
+    many_hours = F.sum(F.when(many & (F.col("song_length") > 0), F.col("song_length"))) / 3600
+    zero = F.lit(0.0)
+    share = lambda part, whole, digits: F.when(whole > 0, F.round(part / whole, digits)).otherwise(zero)
+    x = songs.agg(
+        F.count(F.lit(1)).alias("songs"), F.sum("n_tracks").alias("stems"), F.round(F.coalesce(hours, zero), 1).alias("hours"),
+        F.count_if(many).alias("multitrack_songs"), F.round(F.coalesce(many_hours, zero), 1).alias("multitrack_hours"),
+        share(F.count_if(many), F.count(F.lit(1)), 4).alias("multitrack_song_share"), share(F.coalesce(many_hours, zero), F.coalesce(hours, zero), 4).alias("multitrack_hour_share"),
+        F.round(F.avg("n_tracks"), 6).alias("mean_stems"), F.percentile("n_tracks", 0.5).alias("median_stems"), F.max("n_tracks").alias("most_stems"), F.count_if("bdgp").alias("bdgp_songs"),
+    )
+    c = chunks.groupBy("chunk").agg(F.sum("bytes").alias("b")).agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("b") / 1024**3, 6).alias("chunk_gib"))
+    return x.join(F.broadcast(c))  # one row each
+
+
 #: Distinct values in a piece of a key, and most pieces of one.
 PIECE, PIECES = 4096, 4096
 

@@ -89,7 +89,7 @@ def conflicts(stems: DataFrame, recipe: DataFrame, wanted: DataFrame) -> DataFra
     x = stems.select("song_id", "track", F.col("category").alias("own")).join(recipe.select("song_id", "track", "category", "method", "fallback"), ["song_id", "track"], "left")
     x = x.withColumn("category", F.coalesce("category", "own")).drop("own")
     w = wanted.select("category", F.col("method").alias("want_method"), F.col("fallback").alias("want_fallback"))
-    x = x.join(F.broadcast(w), "category", "left")
+    x = x.join(w, "category", "left")
     same = F.col("method").eqNullSafe(F.col("want_method")) & F.col("fallback").eqNullSafe(F.col("want_fallback"))
     why = F.when(F.col("want_method").isNull(), "unknown_category").when(F.col("method").isNull(), "missing").when(~same, "differs")
     return x.withColumn("conflict", why).filter("conflict is not null").select("song_id", "track", "category", "conflict")

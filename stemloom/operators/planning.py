@@ -18,7 +18,7 @@ def track_plan(stems: DataFrame, spec: DataFrame) -> DataFrame:
 
     `spec` has one row for each listening category, of which there are ten.
     """
-    x = stems.join(F.broadcast(spec.select("category", "method", "fallback")), "category")
+    x = stems.join(spec.select("category", "method", "fallback"), "category")
     return x.withColumn("use_slakh", (F.col("method") == "slakh") | (F.col("fallback") == "slakh")).withColumn("neural_ok", F.col("method") == NEURAL)
 
 
@@ -30,7 +30,7 @@ def track_backend(neural_ok: Column, route: Column) -> Column:
 def current(recorded: DataFrame, spec: DataFrame) -> DataFrame:
     """Recorded rows whose method and fallback are those that their category has now."""
     wanted = spec.select("category", F.col("method").alias("_m"), F.col("fallback").alias("_f"))
-    x = recorded.join(F.broadcast(wanted), "category")  # ten categories
+    x = recorded.join(wanted, "category")
     return x.filter((F.col("method") == F.col("_m")) & (F.col("fallback") == F.col("_f"))).drop("_m", "_f")
 
 
@@ -147,6 +147,16 @@ def first_nonempty(*pools: DataFrame) -> DataFrame:
     return x.join(F.broadcast(x.agg(F.min("_k").alias("_k"))), "_k").drop("_k")  # one row
 
 
+def claimed_on_disk(tables: list[DataFrame], listing: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, on_disk): the rows that a pass claims, by the first of its tables that has any, each once.
+
+    `listing` (*keys, bytes) has the files that there are; an empty file isn't there.
+    """
+    claimed = first_nonempty(*[t.select(*keys) for t in tables]).distinct()
+    there = listing.filter("bytes > 0").select(*keys).distinct().withColumn("on_disk", F.lit(True))
+    return claimed.join(there, keys, "left").select(*keys, F.coalesce("on_disk", F.lit(False)).alias("on_disk"))
+
+
 # Fixed values, W35: kinds of demo songs: a pattern of their classes, if any, least and most tracks, and whether they cover all targets.
 DEMO_KINDS = (
     ("solo_piano", r"(?i)^piano$", 1, 1, None), ("bdgp", None, 4, 8, True), ("ensemble", r"(^|\|)ensemble(\||$)", 3, 8, None),

@@ -9,9 +9,10 @@ from stemloom.functions import picks
 from stemloom.functions import values as V
 from stemloom.operators import inventory as I
 from stemloom.operators import merge as M
+from stemloom.operators import planning as G
 from stemloom.operators import register
 from stemloom.operators import signal as K
-from stemloom.plans.catalog import _GM_SQL, _REGISTER_SQL, _gm, _part_names, query
+from stemloom.plans.catalog import _GM_SQL, _REGISTER_SQL, _TARGET, _gm, _part_names, query
 from stemloom.session import table
 from stemloom.sources import adapters as A
 from stemloom.sources import files
@@ -67,6 +68,32 @@ def covered_songs(spark, d):
     return M.covers(files_of(A.raw_stems(spark, d).filter("pass_no = 0")), files_of(A.stems(spark, d)), "song_id", ["track", "bytes"])
 
 
+@query("claimed_on_disk", """, c AS (SELECT DISTINCT pass, song_id, track FROM raw_stems WHERE pass = 'ddsp_piano' UNION SELECT DISTINCT pass, song_id, track FROM recipe_rows WHERE pass = 'midi_ddsp'), f AS (SELECT DISTINCT song_id, track FROM stems WHERE present AND bytes > 0)
+  SELECT pass, count(*) AS claimed, count(f.song_id) AS on_disk FROM c LEFT JOIN f ON f.song_id = c.song_id AND f.track = c.track GROUP BY 1""")
+def claimed_on_disk(spark, d):
+    """What each neural pass claims; the second one's stem table is empty, so its recipe speaks for it."""
+    raw, keys = A.raw_stems(spark, d), ["song_id", "track"]
+    listing = A.stems(spark, d).select(*keys, F.when(F.col("present"), F.col("bytes")).otherwise(0).alias("bytes"))
+    out = None
+    for name, stems in (("ddsp_piano", raw.filter("pass = 'ddsp_piano'")), ("midi_ddsp", raw.filter("pass = 'midi_ddsp' and wall_seconds < 0"))):
+        x = G.claimed_on_disk([stems, A.recipe_rows(spark, d).filter(F.col("pass") == name)], listing, keys)
+        x = x.select(F.lit(name).alias("pass"), "on_disk")
+        out = x if out is None else out.unionByName(x)
+    return out.groupBy("pass").agg(F.count(F.lit(1)).alias("claimed"), F.count_if("on_disk").alias("on_disk"))
+
+
+@query("release_summary", f""", t AS (SELECT song_id, count(*) AS n_tracks, count(DISTINCT {_TARGET}) = 4 AS bdgp, sum(bytes) AS bytes FROM stems GROUP BY 1), s AS (SELECT t.*, song_length, chunk FROM t JOIN songs_meta USING (song_id)),
+  h AS (SELECT sum(song_length) FILTER (song_length > 0) / 3600 AS h, sum(song_length) FILTER (song_length > 0 AND n_tracks >= 2) / 3600 AS m FROM s)
+  SELECT count(*) AS songs, sum(n_tracks)::BIGINT AS stems, round(any_value(h), 1) AS hours, count(*) FILTER (n_tracks >= 2) AS multitrack_songs, round(any_value(m), 1) AS multitrack_hours, round(count(*) FILTER (n_tracks >= 2) / count(*)::DOUBLE, 4) AS multitrack_song_share,
+    round(any_value(m) / any_value(h), 4) AS multitrack_hour_share, round(avg(n_tracks), 6) AS mean_stems, median(n_tracks)::DOUBLE AS median_stems, max(n_tracks) AS most_stems, count(*) FILTER (bdgp) AS bdgp_songs, count(DISTINCT chunk) AS chunks, round(sum(bytes) / count(DISTINCT chunk)::DOUBLE / 1073741824, 6) AS chunk_gib FROM s, h""")
+def release_summary(spark, d):
+    """A24."""
+    program, drum = F.col("program"), F.col("is_drum")
+    t = A.stems(spark, d).groupBy("song_id").agg(F.count(F.lit(1)).alias("n_tracks"), (F.countDistinct(X.separation_target(program, drum)) == 4).alias("bdgp"), F.sum("bytes").alias("bytes"))
+    s = t.join(A.songs_meta(spark, d).select("song_id", "song_length", "chunk"), "song_id")
+    return I.release_summary(s, s.select("chunk", "bytes"))
+
+
 @query("numbered_manifest", _GM_SQL + ", o AS (SELECT DISTINCT song_id, category FROM g) SELECT song_id, category, row_number() OVER (PARTITION BY category ORDER BY song_id) - 1 AS place FROM o")
 def numbered_manifest(spark, d):
     """C48."""
