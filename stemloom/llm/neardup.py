@@ -372,8 +372,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     all candidates, and in each component pairs are pruned again and verified exactly. Large buckets
     and components are cut into tiles: pairs stay inside tasks, and only counts and spanning forests
     leave them. In a large component with few candidate pairs a text, such as a long chain, the pairs
-    are listed and verified one by one instead. No bucket is capped. Where one text has very many copies, its rows meet the one row
-    that is known of it in pieces.
+    are listed and verified one by one instead. No bucket is capped. Where one text has very many copies,
+    its rows meet the one row that is known of it in pieces.
     """
     x = docs.select(F.col("`doc_id`").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     x = x.withColumn("tid", F.xxhash64("text"))
@@ -381,17 +381,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     forest = T.checkpointed(_candidates(signed))
     comp = components(forest.select("u", "v")).select(F.col("node").alias("tid"), F.col("root").alias("comp"))
     pairs = forest.groupBy(F.col("v").alias("tid")).agg(F.sum("pairs").alias("pairs"))
-    size = comp.join(pairs, "tid", "left").groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("pairs").alias("pairs"))
+    size = T.checkpointed(comp.join(pairs, "tid", "left").groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("pairs").alias("pairs")))
     copies = T.checkpointed(x.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")))
     rows = copies.agg(F.sum("copies")).first()[0] or 0
-    hubs = copies.filter(F.col("copies") > max(rows / T.HUBS, T.HUB_LEAST)).select("tid")
+    hubs = [r.tid for r in copies.filter(F.col("copies") > max(rows / T.HUBS, T.HUB_LEAST)).select("tid").collect()]  # fewer than T.HUBS
     known = comp.join(size, "comp").join(signed, "tid").join(copies.select("tid", "copies"), "tid")
     texts = T.hub_join(x.select("tid", "text"), comp.select("tid"), "tid", hubs, "left_semi").dropDuplicates(["tid"])
     sparse = (F.col("size") > TILE) & (F.col("pairs") <= SPARSE * F.col("size"))
-    found = T.checkpointed(_links(known.filter(~sparse).join(texts, "tid"), threshold))
-    thin = T.checkpointed(known.filter(sparse))
-    if not thin.isEmpty():
-        found = found.unionByName(T.checkpointed(_pair_links(thin.join(texts, "tid"), threshold)))
+    if size.filter(sparse).isEmpty():
+        found = T.checkpointed(_links(known.join(texts, "tid"), threshold))
+    else:
+        found = T.checkpointed(_links(known.filter(~sparse).join(texts, "tid"), threshold))
+        thin = T.written(known.filter(sparse).join(texts, "tid"), "thin")
+        found = found.unionByName(T.checkpointed(_pair_links(thin, threshold)))
     classes = components(found.select(F.col("tid").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("tid").agg(F.sum("links").alias("links"))
     info = copies.join(classes.select(F.col("node").alias("tid"), "root"), "tid", "left").join(links, "tid", "left")

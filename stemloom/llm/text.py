@@ -120,18 +120,23 @@ def hubs_of(facts: DataFrame, key: str, rows: int) -> DataFrame:
     return facts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(rows / HUBS, HUB_LEAST)).select(key)
 
 
-def hub_join(facts: DataFrame, nodes: DataFrame, key: str, hubs: DataFrame, how: str = "inner") -> DataFrame:
+def hub_join(facts: DataFrame, nodes: DataFrame, key: str, hubs: DataFrame | list, how: str = "inner") -> DataFrame:
     """facts joined by key with nodes, which have one row for each key, without a hot key in any task.
 
-    Each of the hubs, which are fewer than HUBS keys and so a list in the plan, meets its rows in SALTS pieces.
+    Each of the hubs, which are fewer than HUBS keys, meets its rows in SALTS pieces. A table of them is
+    sent to each task; a list of them stands in the plan, and an empty one leaves a plain join.
     """
-    keys = [r[0] for r in hubs.limit(HUBS).collect()]
-    if not keys:
+    if hubs == []:
         return facts.join(nodes, key, how)
-    salt, is_hub = fresh(facts, "salt"), F.coalesce(F.col(key).isin(keys), F.lit(False))
-    mine = F.when(is_hub, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
-    each = F.explode(F.when(is_hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    return facts.withColumn(salt, mine).join(nodes.withColumn(salt, each), [key, salt], how).drop(salt)
+    is_hub, salt = fresh(facts, "is_hub"), fresh(facts, "salt")
+    if isinstance(hubs, list):
+        mark = lambda x: x.withColumn(is_hub, F.coalesce(F.col(key).isin(hubs), F.lit(False)))
+    else:
+        table = F.broadcast(hubs.withColumn(is_hub, F.lit(True)))  # fewer than HUBS rows
+        mark = lambda x: x.join(table, key, "left")
+    mine = F.when(F.col(is_hub), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    each = F.explode(F.when(F.col(is_hub), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    return mark(facts).withColumn(salt, mine).drop(is_hub).join(mark(nodes).withColumn(salt, each).drop(is_hub), [key, salt], how).drop(salt)
 
 
 def unpacked(df: DataFrame, columns: list[str], extra: list[Column] | None = None) -> DataFrame:
