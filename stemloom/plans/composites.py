@@ -227,8 +227,9 @@ _NOTES = ", ne AS (SELECT user_id AS k, event_id AS place, event_id // 3 AS tick
 
 
 def _notes(spark, d):
+    """Each user's events as notes; a value between two goes to the even one, as a cast does in the SQL."""
     e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("k"), F.col("event_id").alias("place"), F.floor(F.col("event_id") / 3).alias("tick"), (F.round(F.col("value") * 10).cast("long") % 2).alias("note"), ((F.col("event_type") != "view") & (F.col("event_id") % 2 == 0)).alias("is_on"))
+    return e.select(F.col("user_id").alias("k"), F.col("event_id").alias("place"), F.floor(F.col("event_id") / 3).alias("tick"), (F.rint(F.col("value") * 10).cast("long") % 2).alias("note"), ((F.col("event_type") != "view") & (F.col("event_id") % 2 == 0)).alias("is_on"))
 
 
 @query("monophonic", _NOTES + """, ng AS (SELECT *, sum(is_on::INT) OVER (PARTITION BY k ORDER BY place) AS grp FROM ne), no2 AS (SELECT *, max(note) FILTER (is_on) OVER (PARTITION BY k, grp) AS o FROM ng),

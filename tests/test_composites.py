@@ -4,6 +4,7 @@ import heapq
 import random
 import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,17 @@ def test_messages_of_odd_entries(spark):
     doc = spark.createDataFrame([(None, None, None, None), ("a", None, None, None), ("b", ["x"], "y", False), ("c", [], None, True)], "category string, approved array<string>, winner string, bypass boolean")
     got = sorted(r.message for r in D.messages(doc).collect())
     assert got == ["a: approve at least one variant", "a: pick a winner", "b: winner must be among approved variants", "missing category"]
+
+
+def test_notes_of_values_between_two(spark, tmp_path):
+    """A value between two whole numbers goes to the even one, as in the SQL."""
+    from stemloom.plans.composites import monophonic
+    from stemloom.plans.catalog import ORACLE
+
+    rows = [(0, 1, "click", 12.45), (1, 1, "view", 12.4), (2, 1, "click", 1.0), (3, 2, "view", 0.35), (4, 2, "click", 0.25), (5, 2, "view", 0.3), (6, 2, "click", 0.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    sql = ORACLE["monophonic"]
+    want = con.sql("WITH " + sql[sql.index("ne AS (") :]).fetchall()
+    assert {(r.k, r.monophonic) for r in monophonic(spark, str(tmp_path)).collect()} == set(want) == {(1, True), (2, False)}
