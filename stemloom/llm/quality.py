@@ -19,13 +19,13 @@ from . import text as T
 SYMBOLS = "#*$%&|<>"
 #: Fixed value: the ASCII white space characters.
 SPACE = " \t\n\v\f\r"
-#: Most labelled documents from which the bands are fitted, the first in the order of a hash.
-FIT_ROWS = 20_000
 #: Fewest labelled documents of a band of its own.
 FIT_LEAST = 40
 #: How far a band goes beyond the outermost half percent of good documents, as a share of their
 #: distance from the median.
 SLACK = 0.6
+#: Measures are counted in steps of one GRID-th where bands are fitted, so a group's counts are bounded however many documents it has.
+GRID = 4096
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -115,26 +115,28 @@ def _lang(docs: DataFrame) -> Column:
     return F.coalesce(F.col("`lang`").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None, most: int = FIT_ROWS) -> DataFrame:
+def fit_bands(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(lang, octave, low_*, high_*): what good documents of a language and a length measure.
 
-    The bands come from at most `most` documents labelled good; each measure's band reaches from its
-    outermost half percent some way outward. Fertility of short texts scatters more, so each power of
-    two of the token count has its own band. lang null stands for all languages together.
+    The bands come from all documents labelled good; each measure's band reaches from its outermost
+    half percent some way outward. Fertility of short texts scatters more, so each power of two of the
+    token count has its own band. lang null stands for all languages together.
     """
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("id")).distinct()
-    good = good.orderBy(F.xxhash64("id"), "id").limit(most)
-    # `most` ids at most
     x = docs.select(F.col("`doc_id`").alias("id"), F.col("`text`").alias("text"), _lang(docs).alias("lang"))
     # written out, or the rules of the optimiser measure all documents before they choose
-    x = T.checkpointed(x.join(F.broadcast(good), "id", "left_semi"))
+    x = T.checkpointed(x.join(good, "id", "left_semi"))
     x = x.withColumn("m", measures(F.col("text"), vocabulary)).select("lang", "m.*")
     x = x.filter("n_tokens > 0").withColumn("octave", _octave(F.col("n_tokens")))
+    steps = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * GRID).cast("long").alias("step")) for m in MEASURES])
+    x = x.select("lang", "octave", F.explode(steps).alias("s")).groupBy("lang", "octave", "s.measure", "s.step").agg(F.count(F.lit(1)).alias("k"))
+    x = x.select(F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "octave", "measure", "step", "k")
     parts = []
     for m in MEASURES:
-        q = F.percentile(m, F.array(F.lit(0.005), F.lit(0.5), F.lit(0.995)))
+        q = F.percentile(F.when(F.col("measure") == m, F.col("step") / GRID), F.array(F.lit(0.005), F.lit(0.5), F.lit(0.995)), F.col("k"))
         parts += [(q[0] - (q[1] - q[0]) * SLACK).alias(f"low_{m}"), (q[2] + (q[2] - q[1]) * SLACK).alias(f"high_{m}")]
-    return x.rollup("octave", "lang").agg(F.count(F.lit(1)).alias("n"), *parts).filter(f"octave is not null and n >= {FIT_LEAST}").drop("n")
+    n = F.sum(F.when(F.col("measure") == MEASURES[0], F.col("k"))).alias("n")
+    return x.groupBy("octave", "lang").agg(n, *parts).filter(f"n >= {FIT_LEAST}").drop("n")
 
 
 def judge(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None, fit_docs: DataFrame | None = None) -> DataFrame:
@@ -158,7 +160,7 @@ def judge(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None, fit
     x = x.withColumn("m", measures(F.col("text"), vocabulary)).select("row", "lang", "m.*").withColumn("length", _octave(F.col("n_tokens")))
     have = F.array(*[F.lit(r.octave) for r in all_.select("octave").collect()]).cast("array<int>")  # powers of two
     x = x.withColumn("octave", F.coalesce(F.array_max(F.filter(have, lambda o: o <= F.col("length"))), F.array_min(have)))
-    # bands come from FIT_ROWS rows, so they have fewer rows than that
+    # a row for each language and power of two with FIT_LEAST good documents
     x = x.join(F.broadcast(own), ["lang", "octave"], "left").join(F.broadcast(all_), "octave", "left")
 
     def bound(side: str, m: str) -> Column:

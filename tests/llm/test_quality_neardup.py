@@ -50,6 +50,13 @@ def test_lengths_without_labels_are_judged(spark):
     assert got[100].kept == (not got[100].base_failed) and got[102].kept == (not got[102].base_failed)
 
 
+def test_bands_come_from_all_good_documents(spark):
+    docs = spark.range(501 * quality.FIT_LEAST).select(F.col("id").alias("doc_id"), F.lit("the river was slow").alias("text"), (F.col("id") % 501).cast("string").alias("lang"))
+    got = quality.fit_bands(docs, docs.select("doc_id", F.lit(1).alias("quality"))).collect()
+    assert sorted(r.lang for r in got if r.lang is not None) == sorted(map(str, range(501)))
+    assert len({tuple(r)[2:] for r in got}) == 1 and sum(r.lang is None for r in got) == 1
+
+
 def test_judge(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = T.documents(spark, d), T.table(spark, d, "labels")
