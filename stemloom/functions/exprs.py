@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Sequence
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def _clean(name: Column) -> Column:
     return F.lower(F.trim(F.coalesce(name, F.lit(""))))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once a row, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def sanitize_name(name: Column) -> Column:
     """No NUL, commas to spaces, white space collapsed; empty becomes null."""
     x = F.replace(name, F.lit("\0"), F.lit(""))
@@ -33,20 +39,27 @@ def normalize_name(name: Column) -> Column:
 
 def gm_class(program: Column, is_drum: Column) -> Column:
     """Drums first, else one of 16 classes; programs out of range fall in the outer classes."""
+    return F.when(is_drum, "drums").otherwise(_of_class(program, V.GM_CLASSES))
+
+
+def _of_class(program: Column, values: Sequence[str]) -> Column:
+    """The value of a program's GM class."""
     at = F.least(F.lit(15), F.greatest(F.lit(0), F.floor(program / 8).cast("int")))
-    return F.when(is_drum, "drums").otherwise(F.element_at(F.array(*map(F.lit, V.GM_CLASSES)), at + 1))
+    return F.element_at(F.array(*map(F.lit, values)), at + 1)
 
 
 def probe_category(program: Column, is_drum: Column, name: Column) -> Column:
     """Drums, then cues in the name in order, then the GM class."""
-    n = _clean(name)
-    out = F.when(is_drum, "drums")
-    for category, needles in V.CATEGORY_NAMES:
-        out = out.when(_any(n, needles), category)
-    cls = gm_class(program, F.lit(False))
-    for c, category in V.CATEGORY_CLASSES:
-        out = out.when(cls == c, category)
-    return out.otherwise("polyphonic")
+    of_class = dict(V.CATEGORY_CLASSES)
+
+    def by_name(n: Column) -> Column:
+        out = F.when(n == "", None)
+        for category, needles in V.CATEGORY_NAMES:
+            out = out.when(_any(n, needles), category)
+        return out
+
+    by_program = _of_class(program, [of_class.get(c, "polyphonic") for c in V.GM_CLASSES])
+    return F.when(is_drum, "drums").otherwise(F.coalesce(_once(_clean(name), by_name), by_program))
 
 
 def separation_target(program: Column, is_drum: Column) -> Column:
@@ -151,7 +164,10 @@ def is_generic_name(name: Column, skip: tuple[str, ...] = ()) -> Column:
 
 def neural_by_name(name: Column, program: Column) -> Column:
     """P20: the neural backend's instrument from the name; program 59 vetoes a trumpet."""
-    n = _clean(name)
+    return _once(_clean(name), lambda n: _neural_by_name(n, program))
+
+
+def _neural_by_name(n: Column, program: Column) -> Column:
     out = F.when((n == "") | _any(n, V.NEURAL_DENY), None)
     for needle, instrument in V.NEURAL_NAMES:
         out = out.when(n.contains(needle), F.when(program == 59, None).otherwise(instrument) if instrument == "trumpet" else F.lit(instrument))
@@ -168,14 +184,21 @@ def neural_by_program(program: Column, is_drum: Column) -> Column:
 
 def is_piano(program: Column, is_drum: Column, name: Column) -> Column:
     """An acoustic hammer piano."""
-    n, acoustic = _clean(name), program.isin(0, 1, 3)
+    return _once(_clean(name), lambda n: _is_piano(program, is_drum, n))
+
+
+def _is_piano(program: Column, is_drum: Column, n: Column) -> Column:
+    acoustic = program.isin(0, 1, 3)
     named = n.contains("piano") & ~n.contains("guitar")
     return ~is_drum & ~_any(n, V.PIANO_DENY) & ~(program.between(0, 7) & ~acoustic) & (named | acoustic)
 
 
 def is_vocal(program: Column, is_drum: Column, name: Column) -> Column:
     """A voice; bare part names of the saxophone family are none."""
-    n = _clean(name)
+    return _once(_clean(name), lambda n: _is_vocal(program, is_drum, n))
+
+
+def _is_vocal(program: Column, is_drum: Column, n: Column) -> Column:
     always = _any(n, V.VOCAL_ALWAYS)
     part = _any(n, V.VOCAL_PARTS) & ~_any(n, V.VOCAL_EXCEPT)
     return ~is_drum & F.when(program.between(64, 67), always).otherwise(always | part | program.between(52, 54))
@@ -193,24 +216,30 @@ def route(program: Column, is_drum: Column, name: Column, notes: Column | None =
         return F.struct(F.lit(backend).alias("backend"), instrument.alias("instrument"), F.lit(reason).alias("reason"))
 
     none = F.lit(None).cast("string")
-    n, cls = _clean(name), gm_class(program, is_drum)
-    instrument = F.coalesce(neural_by_name(name, program), neural_by_program(program, is_drum))
+    cls, by_program = gm_class(program, is_drum), neural_by_program(program, is_drum)
     out = F.when(is_drum, to("soundfont", none, "drum"))
     if notes is not None:
         out = out.when(notes == 0, to("soundfont", none, "empty"))
     if lasting is not None:
         out = out.when(~lasting, to("soundfont", none, "zero_duration"))
-    out = (
-        out.when(is_vocal(program, is_drum, name), to("soundfont", none, "vocal"))
-        .when(is_piano(program, is_drum, name), to("ddsp_piano", F.lit("piano"), "piano"))
-        .when(n.rlike(r"guitar|gitar|\blute\b|\bluit\b"), to("soundfont", none, "guitar"))
-        .when(cls == "bass", to("soundfont", none, "bass_guitar"))
-        .when(cls == "guitar", to("soundfont", none, "guitar"))
-        .when(instrument.isNull(), to("soundfont", none, "unsupported"))
-    )
-    if monophonic is not None:
-        out = out.when(~monophonic, to("soundfont", instrument, "polyphonic"))
-    return out.otherwise(to("midi_ddsp", instrument, "midi_ddsp"))
+
+    def by_instrument(instrument: Column) -> Column:
+        x = F.when(instrument.isNull(), to("soundfont", none, "unsupported"))
+        if monophonic is not None:
+            x = x.when(~monophonic, to("soundfont", instrument, "polyphonic"))
+        return x.otherwise(to("midi_ddsp", instrument, "midi_ddsp"))
+
+    def by_name(n: Column) -> Column:
+        return (
+            F.when(_is_vocal(program, is_drum, n), to("soundfont", none, "vocal"))
+            .when(_is_piano(program, is_drum, n), to("ddsp_piano", F.lit("piano"), "piano"))
+            .when(n.rlike(r"guitar|gitar|\blute\b|\bluit\b"), to("soundfont", none, "guitar"))
+            .when(cls == "bass", to("soundfont", none, "bass_guitar"))
+            .when(cls == "guitar", to("soundfont", none, "guitar"))
+            .otherwise(_once(F.coalesce(_neural_by_name(n, program), by_program), by_instrument))
+        )
+
+    return out.otherwise(_once(_clean(name), by_name))
 
 
 def parse_bool(c: Column) -> Column:

@@ -67,7 +67,7 @@ def _work(spark, d):
     plan = G.track_plan(_gm(A.stems(spark, d)).select("song_id", "track", "category"), spec)
     assigned = plan.groupBy("song_id").agg(F.count_if(~neural).alias("n_native"), F.count_if(neural).alias("n_neural"))
     cur = G.current(A.recipe(spark, d), spec)
-    return G.work_for_pass(assigned, G.done_by_song(cur.filter(~neural)), G.done_by_song(cur.filter(F.col("backend").isin("midi_ddsp", "ddsp_piano"))), G.fallbacks_by_song(cur, REASONS).withColumnRenamed("fallbacks", "done"))
+    return G.work_for_pass(assigned, G.work_done(cur, REASONS))
 
 
 @query("work_for_pass", _WORK + " SELECT * FROM work")
@@ -88,8 +88,7 @@ def neural_work(spark, d):
     under = lambda folder: F.concat(F.lit(folder), F.col("song_id")).alias("path")
     plan = G.track_plan(_gm(A.stems(spark, d)).select("song_id", "track", "category"), spec).filter(F.col("method") == G.NEURAL)
     assigned = plan.groupBy("song_id").agg(F.count(F.lit(1)).alias("n")).select(under("./data/audio/"), "n")
-    rows = keep_last(A.recipe_rows(spark, d), ["pass", "song_id", "track"], list(A.ORDER))
-    rows = G.current(rows, spec)
+    rows = G.current(A.recipe_by_pass(spark, d), spec)
     return G.neural_work(assigned, rows.filter(F.col("pass") == "midi_ddsp").select(under("/old/disk/audio/"), "track"), rows.filter(F.col("pass") == "fluidsynth").select(under("/new/audio/"), "track", "method", "backend"))
 
 

@@ -81,3 +81,21 @@ def test_unmatched_keys_raise(spark):
     a, b = spark.createDataFrame([("x",), ("y",)], "k string"), spark.createDataFrame([("x",)], "k string")
     with pytest.raises(ValueError, match="y"):
         songs.matched_or_raise(a, b, "k", "chunks")
+
+
+def test_a_name_is_cleaned_once(spark):
+    """Plans of rules with many cues name the cleaned text once, not for each cue."""
+    x = spark.range(1).select(F.lit(40).alias("program"), F.lit(False).alias("is_drum"), F.concat(F.lit("Violin "), F.col("id").cast("string")).alias("name"))
+    args = (F.col("program"), F.col("is_drum"), F.col("name"))
+    for rule in (X.probe_category(*args), X.route(*args)):
+        y = x.select(rule.alias("r"))
+        assert y._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    got = x.select(X.probe_category(*args).alias("c"), X.route(*args).alias("r")).first()
+    assert (got.c, tuple(got.r)) == ("strings", ("midi_ddsp", "violin", "midi_ddsp"))
+
+
+def test_keep_last_carries_no_column_twice(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, None, "x")], "k int, at int, v string")
+    x = keep_last(df, ["k"], ["at"])
+    assert "max_by" not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, x.collect())) == [(1, 3, "c"), (2, None, "x")]
