@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -19,6 +21,8 @@ _COLUMNS = [c.split()[0] for c in EVENTS.split(", ")]
 #: Meta events that tell a file's time and key, in the order in which they are written.
 CONDUCTOR = {0x51: "set_tempo", 0x58: "time_signature", 0x59: "key_signature", 0x54: "smpte_offset"}
 DRUMS = 9
+#: About how many events go into one batch: small files share one.
+ROWS = 20_000
 #: A corrected file's tracks, in their order.
 TRACKS = "array<struct<track:int,original_track:int,program:int,is_drum:boolean,name:string>>"
 
@@ -109,15 +113,22 @@ def midi_files(spark: SparkSession, path: str) -> DataFrame:
 def read_events(files: DataFrame) -> DataFrame:
     """The events of files (path, content), a row each, with absolute ticks; a file that is none has no rows."""
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=_COLUMNS).astype({"channel": "Int32", "note": "Int32", "velocity": "Int32"})
+
     def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows = []
             for p, data in zip(b["path"], b["content"], strict=True):
                 try:
-                    rows = [(p, *e) for e in events(bytes(data))]
+                    rows += [(p, *e) for e in events(bytes(data))]
                 except (ValueError, TypeError):
                     continue
-                x = pd.DataFrame(rows, columns=_COLUMNS)
-                yield x.astype({"channel": "Int32", "note": "Int32", "velocity": "Int32"})
+                if len(rows) >= ROWS:
+                    yield frame(rows)
+                    rows = []
+            if rows:
+                yield frame(rows)
 
     return files.select("path", "content").mapInPandas(parse, EVENTS)
 
@@ -130,6 +141,8 @@ def track_rows(events: DataFrame) -> DataFrame:
     """
     kind = F.col("kind")
     last = lambda k, c: F.max_by(F.when(kind == k, F.col(c)), F.when(kind == k, F.col("place")))
+    # files are read once, and a track's events meet once: windows and groups below need no other shuffle
+    events = planning.with_note_facts(events.repartition("path", "track"), ["path", "track"], "place", kind == "on", kind.isin("on", "off"))
     x = events.groupBy("path", "track").agg(
         X.sanitize_name(last("name", "text")).alias("name"),
         F.coalesce(last("program", "note"), F.lit(0)).alias("program"),
@@ -137,12 +150,10 @@ def track_rows(events: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(kind == "on", F.col("channel") == DRUMS)), F.lit(False)).alias("sounds_drums"),
         F.sum((kind == "on").cast("int")).cast("long").alias("notes"),
         F.max("tick").alias("ticks"),
+        F.max("_lasts").alias("lasting"),
+        (~F.max("_fault")).alias("monophonic"),
     )
-    notes = events.filter(kind.isin("on", "off")).select(F.struct("path", "track").alias("stem"), "place", "tick", "note", (kind == "on").alias("is_on"))
-    for facts in (planning.lasting_notes(notes, "stem"), planning.note_faults(notes, "stem")):
-        value = facts.columns[1]
-        x = x.join(facts.select(F.col("stem.path").alias("path"), F.col("stem.track").alias("track"), value), ["path", "track"], "left")
-    return x.withColumns({"lasting": F.coalesce("lasting", F.lit(False)), "monophonic": F.coalesce("monophonic", F.lit(True))})
+    return x
 
 
 def file_is_monophonic(events: DataFrame) -> DataFrame:
@@ -241,27 +252,26 @@ def corrected_midis(files: DataFrame, register: DataFrame) -> DataFrame:
 def written_midis(events: DataFrame, ticks_per_beat: int = 480) -> DataFrame:
     """(path, content): MIDI files of event rows, a group a file; names and programs stand before the notes of their tick."""
 
-    def write(b: pd.DataFrame) -> pd.DataFrame:
-        tracks = []
-        b = b.sort_values(["track", "place"])
-        for _, t in b.groupby("track"):
-            now, track = 0, []
-            for e in t.itertuples(index=False):
-                if e.kind == "channel":
-                    continue
-                status, x = {
-                    "on": lambda e: (0x90 | int(e.channel), bytes([int(e.note), int(e.velocity)])),
-                    "off": lambda e: (0x80 | int(e.channel), bytes([int(e.note), 0])),
-                    "program": lambda e: (0xC0 | int(e.channel), bytes([int(e.note)])),
-                    "name": lambda e: (0xFF, b"\3" + e.text.encode()),
-                    "end": lambda e: (0xFF, b"\x2f"),
-                }[e.kind](e)
-                track.append((int(e.tick) - now, status, x))
-                now = int(e.tick)
-            tracks.append(track)
-        return pd.DataFrame({"path": [b["path"].iloc[0]], "content": [file_of(ticks_per_beat.to_bytes(2, "big"), tracks)]})
-
-    return events.groupBy("path").applyInPandas(write, "path string, content binary")
+    make = {
+        "on": lambda channel, note, velocity, text: (0x90 | channel, bytes([note, velocity])),
+        "off": lambda channel, note, velocity, text: (0x80 | channel, bytes([note, 0])),
+        "program": lambda channel, note, velocity, text: (0xC0 | channel, bytes([note])),
+        "name": lambda channel, note, velocity, text: (0xFF, b"\3" + text.encode()),
+        "end": lambda channel, note, velocity, text: (0xFF, b"\x2f"),
+    }
+
+    def write(t: pa.Table) -> pa.Table:
+        tracks: dict[int, list] = {}
+        now: dict[int, int] = {}
+        for k, _, tick, kind, *x in sorted(zip(*[t[c].to_pylist() for c in _COLUMNS[1:]], strict=True), key=itemgetter(0, 1)):
+            track = tracks.setdefault(k, [])
+            if kind in make:
+                track.append((tick - now.get(k, 0), *make[kind](*x)))
+                now[k] = tick
+        content = file_of(ticks_per_beat.to_bytes(2, "big"), list(tracks.values()))
+        return pa.table({"path": t["path"].slice(0, 1), "content": pa.array([content], pa.binary())})
+
+    return events.groupBy("path").applyInArrow(write, "path string, content binary")
 
 
 class _Staged(WriterCommitMessage):

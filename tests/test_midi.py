@@ -151,3 +151,29 @@ def test_written_events_come_back(read, spark):
     again = midi.read_events(midi.written_midis(x))
     plain = lambda y: {tuple(r) for r in y.filter(F.col("kind") != "end").drop("place", "velocity").collect()}
     assert plain(again) == plain(x)
+
+
+def test_files_are_read_once_for_their_tracks(spark, read):
+    x = midi.track_rows(read(**{k: song(v[0]) for k, v in CASES.items()}))
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert x.count() == len(CASES)
+
+
+def test_note_facts_of_random_tracks(spark):
+    """The facts of a track's rows are those of the rules on notes alone."""
+    import random
+
+    from stemloom.operators import planning
+
+    rng = random.Random(3)
+    files = {}
+    for k in range(40):
+        messages = [rng.choice((note, off))(rng.choice((60, 61)), wait=rng.randrange(2)) for _ in range(rng.randrange(1, 9))]
+        files[f"f{k}.mid"] = bytearray(song(messages))
+    x = midi.read_events(spark.createDataFrame(list(files.items()), "path string, content binary")).cache()
+    notes = x.filter("kind in ('on', 'off')").select("path", "place", "tick", "note", (F.col("kind") == "on").alias("is_on"))
+    mono = {r.path: r.monophonic for r in planning.note_faults(notes, "path").collect()}
+    lasting = {r.path: r.lasting for r in planning.lasting_notes(notes, "path").collect()}
+    got = midi.track_rows(x).collect()
+    assert {r.path: (r.monophonic, r.lasting) for r in got} == {p: (mono[p], lasting[p]) for p in files}
+    assert len({(r.monophonic, r.lasting) for r in got}) == 4
