@@ -21,7 +21,7 @@ def _clean(name: Column) -> Column:
     return F.lower(F.trim(F.coalesce(name, F.lit(""))))
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is worked out once a row, however often f names it."""
     return F.element_at(F.transform(F.array(value), f), 1)
 
@@ -59,7 +59,7 @@ def probe_category(program: Column, is_drum: Column, name: Column) -> Column:
         return out
 
     by_program = _of_class(program, [of_class.get(c, "polyphonic") for c in V.GM_CLASSES])
-    return F.when(is_drum, "drums").otherwise(F.coalesce(_once(_clean(name), by_name), by_program))
+    return F.when(is_drum, "drums").otherwise(F.coalesce(once(_clean(name), by_name), by_program))
 
 
 def separation_target(program: Column, is_drum: Column) -> Column:
@@ -164,7 +164,7 @@ def is_generic_name(name: Column, skip: tuple[str, ...] = ()) -> Column:
 
 def neural_by_name(name: Column, program: Column) -> Column:
     """P20: the neural backend's instrument from the name; program 59 vetoes a trumpet."""
-    return _once(_clean(name), lambda n: _neural_by_name(n, program))
+    return once(_clean(name), lambda n: _neural_by_name(n, program))
 
 
 def _neural_by_name(n: Column, program: Column) -> Column:
@@ -184,7 +184,7 @@ def neural_by_program(program: Column, is_drum: Column) -> Column:
 
 def is_piano(program: Column, is_drum: Column, name: Column) -> Column:
     """An acoustic hammer piano."""
-    return _once(_clean(name), lambda n: _is_piano(program, is_drum, n))
+    return once(_clean(name), lambda n: _is_piano(program, is_drum, n))
 
 
 def _is_piano(program: Column, is_drum: Column, n: Column) -> Column:
@@ -195,7 +195,7 @@ def _is_piano(program: Column, is_drum: Column, n: Column) -> Column:
 
 def is_vocal(program: Column, is_drum: Column, name: Column) -> Column:
     """A voice; bare part names of the saxophone family are none."""
-    return _once(_clean(name), lambda n: _is_vocal(program, is_drum, n))
+    return once(_clean(name), lambda n: _is_vocal(program, is_drum, n))
 
 
 def _is_vocal(program: Column, is_drum: Column, n: Column) -> Column:
@@ -236,10 +236,10 @@ def route(program: Column, is_drum: Column, name: Column, notes: Column | None =
             .when(n.rlike(r"guitar|gitar|\blute\b|\bluit\b"), to("soundfont", none, "guitar"))
             .when(cls == "bass", to("soundfont", none, "bass_guitar"))
             .when(cls == "guitar", to("soundfont", none, "guitar"))
-            .otherwise(_once(F.coalesce(_neural_by_name(n, program), by_program), by_instrument))
+            .otherwise(once(F.coalesce(_neural_by_name(n, program), by_program), by_instrument))
         )
 
-    return out.otherwise(_once(_clean(name), by_name))
+    return out.otherwise(once(_clean(name), by_name))
 
 
 def parse_bool(c: Column) -> Column:

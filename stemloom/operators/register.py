@@ -39,6 +39,13 @@ def folded(name: Column) -> Column:
     return F.trim(X.fold_accents(F.coalesce(X.sanitize_name(name), F.lit(""))))
 
 
+def with_folded(rows: DataFrame, *keep: str) -> DataFrame:
+    """Distinct rows (name, *keep) with their folded name; a name is folded once, whatever the number of rows that have it."""
+    x = rows.groupBy("name", *keep).agg(F.count(F.lit(1)).alias("_n"))
+    # a column that needs the count: the optimiser can't move what asks for it below the groups, to each row
+    return x.select("name", *keep, F.when(F.col("_n") > 0, folded(F.col("name"))).alias("folded"))
+
+
 def dimension(entries: DataFrame) -> DataFrame:
     """The entries of an alias dimension (list, needle, program, gm_class), needles as names are compared; empty ones go."""
     x = entries.select("list", folded(F.col("needle")).alias("needle"), F.col("program").cast("int").alias("program"), "gm_class")
@@ -96,10 +103,12 @@ def decisive_hits(names: DataFrame, needles: DataFrame) -> DataFrame:
 
 def agrees_with_name(name: Column, program: Column) -> Column:
     """Whether a name already looks like its GM program: one contains the other, or the name has a telling word of it."""
-    gm = X.fold_accents(X.program_name(program))
+    known = F.element_at(F.array(*[F.lit(n.lower()) for n in V.GM_NAMES]), (program + 1).cast("int"))  # plain ASCII
+    gm = F.when(program.between(0, 127), known).otherwise(F.concat(F.lit("unknown program "), program.cast("string")))
     tokens = F.array(*[F.array(*map(F.lit, gm_tokens(n))) if gm_tokens(n) else F.array().cast("array<string>") for n in V.GM_NAMES])
     own = F.when(program.between(0, 127), F.element_at(tokens, (program + 1).cast("int")))
-    return name.contains(gm) | gm.contains(name) | F.coalesce(F.exists(own, lambda t: X.needle_in_name(t, name)), F.lit(False))
+    # the optimiser puts what makes a name into each place that names it
+    return X.once(name, lambda n: n.contains(gm) | gm.contains(n) | F.coalesce(F.exists(own, lambda t: X.needle_in_name(t, n)), F.lit(False)))
 
 
 def resolve(stems: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -113,8 +122,8 @@ def resolve(stems: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     spark = stems.sparkSession
     name, program = F.col("folded"), F.col("program")
-    x = stems.withColumn("folded", folded(F.col("name")))
-    pairs = x.select("folded", "program").filter("folded <> ''").distinct()
+    spelt = with_folded(stems, "program")
+    pairs = spelt.filter("folded <> ''").select("folded", "program").distinct()
     names = pairs.select("folded").distinct()
     gm = gm_needles(spark).select(F.lit("gm").alias("list"), "needle", "program", F.lit(None).cast("string").alias("gm_class"))
     found = decisive_hits(names, aliases.filter(F.col("list").isin(*LISTS)).unionByName(gm))
@@ -134,7 +143,9 @@ def resolve(stems: DataFrame, aliases: DataFrame) -> DataFrame:
         F.col("folded").alias("_f"), F.col("program").alias("_p"), F.when(F.col("decision") == "corrected", F.col("low")).alias("_to"),
         F.when(F.col("decision") == "keep_alias", "keep").otherwise(F.col("decision")).alias("_s"), F.when(by_needle, F.col("needle")).alias("_k"),
     )
-    x = x.join(decided, (x["folded"] == F.col("_f")) & x["program"].eqNullSafe(F.col("_p")), "left")
+    decided = spelt.join(decided, (F.col("folded") == F.col("_f")) & F.col("program").eqNullSafe(F.col("_p")), "left").drop("_f", "_p")
+    decided = decided.withColumnsRenamed({"name": "_n", "program": "_p"})
+    x = stems.join(decided, F.col("name").eqNullSafe(F.col("_n")) & F.col("program").eqNullSafe(F.col("_p")), "left")
     drum = F.coalesce(F.col("is_drum"), F.lit(False))
     return x.select(
         *stems.columns,

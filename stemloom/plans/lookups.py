@@ -30,14 +30,14 @@ def class_targets(spark, d):
 def name_agreement(spark, d):
     """Names that tell no instrument."""
     skip = table(spark, d, "part").filter("p_name LIKE 'old %'").select(F.col("p_name").alias("folded"), F.lit(True).alias("_skip")).distinct()
-    x = _part_names(spark, d).select(register.folded(F.col("name")).alias("folded"), "program").filter("folded <> ''").distinct()
+    x = register.with_folded(_part_names(spark, d), "program").select("folded", "program").filter("folded <> ''").distinct()
     return x.join(skip, "folded", "left").select("folded", "program", (F.coalesce("_skip", F.lit(False)) | X.is_generic_name(F.col("folded"))).alias("generic"))
 
 
 @query("agreeing_programs", _REGISTER_SQL + f"SELECT DISTINCT x.folded, x.program FROM x JOIN own ON own.program = x.program WHERE x.folded <> '' AND (contains(x.folded, gm) OR contains(gm, x.folded) OR coalesce((SELECT bool_or(CASE WHEN length(w) < 5 THEN regexp_matches(x.folded, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)') ELSE contains(x.folded, w) END) FROM (SELECT unnest(own.words) AS w)), false))")
 def agreeing_programs(spark, d):
     """Names that look like their program already."""
-    x = _part_names(spark, d).select(register.folded(F.col("name")).alias("folded"), "program").filter("folded <> ''").distinct()
+    x = register.with_folded(_part_names(spark, d), "program").select("folded", "program").filter("folded <> ''").distinct()
     return x.filter(register.agrees_with_name(F.col("folded"), F.col("program")))
 
 

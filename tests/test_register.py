@@ -105,3 +105,18 @@ def test_picks_are_those_of_the_generator(spark):
     for r in x.collect():
         own = ([0, 1, 2, 16, 17], [16, 0, 17], [])[r.k % 3]
         assert r.p == (random.Random(seed(1, f"song{r.k}")).choice(own) if own else r.k)
+
+
+def test_names_are_folded_once_for_all_their_rows(spark):
+    """A rule on folded names stays above the groups of names, where each is judged once."""
+    from pyspark.sql import functions as F
+
+    from stemloom.operators import register
+
+    df = spark.createDataFrame([("Violín", 40), ("Violín", 40), ("Harp", 3)], "name string, program int")
+    x = register.with_folded(df, "program")
+    x = x.filter(register.agrees_with_name(F.col("folded"), F.col("program")))
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate") :]
+    assert "translate(" not in below and "exists(" not in below
+    assert [tuple(r) for r in x.collect()] == [("Violín", 40, "violin")]
