@@ -19,7 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have under 50 words and go; a null language is one language; repeated rows are
     judged alike, each; an empty table gives an empty result; all columns stay, whatever their names.
     """
-    judged = quality.judge(docs, T.table(spark, sf_dir, "labels"), fit_docs=T.documents(spark, sf_dir))
+    whole = T.documents(spark, sf_dir)
+    # of the whole table itself each text is encoded once
+    judged = quality.judge(docs, T.table(spark, sf_dir, "labels"), fit_docs=None if docs.sameSemantics(whole) else whole)
     return T.unpacked(judged.filter("kept"), docs.columns)
 
 

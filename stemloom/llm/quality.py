@@ -115,6 +115,13 @@ def _lang(docs: DataFrame) -> Column:
     return F.coalesce(F.col("`lang`").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
 
 
+def measured(docs: DataFrame, vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(row, id, lang, base counts, measures) of each document; all columns travel in `row`, or those that `keep` names."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep]) if keep else docs
+    x = docs.select(T.packed(kept), F.col("`doc_id`").alias("id"), F.col("`text`").alias("text"), _lang(docs).alias("lang"))
+    return x.withColumn("m", measures(F.col("text"), vocabulary)).select("row", "id", "lang", "m.*")
+
+
 def fit_bands(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(lang, octave, low_*, high_*): what good documents of a language and a length measure.
 
@@ -122,11 +129,14 @@ def fit_bands(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None)
     half percent some way outward. Fertility of short texts scatters more, so each power of two of the
     token count has its own band. lang null stands for all languages together.
     """
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("id")).distinct()
-    x = docs.select(F.col("`doc_id`").alias("id"), F.col("`text`").alias("text"), _lang(docs).alias("lang"))
-    # written out, or the rules of the optimiser measure all documents before they choose
-    x = T.checkpointed(x.join(good, "id", "left_semi"))
-    x = x.withColumn("m", measures(F.col("text"), vocabulary)).select("lang", "m.*")
+    # written out, so that each text is encoded once whatever the optimiser does with the join
+    return bands_of(T.checkpointed(measured(docs, vocabulary, keep=["doc_id"])), labels)
+
+
+def bands_of(x: DataFrame, labels: DataFrame) -> DataFrame:
+    """The bands of fit_bands from measured documents: labels meet a few numbers a document, so no text is shuffled."""
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("id"))
+    x = x.select("id", "lang", "n_tokens", *MEASURES).join(good, "id", "left_semi")
     x = x.filter("n_tokens > 0").withColumn("octave", _octave(F.col("n_tokens")))
     steps = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * GRID).cast("long").alias("step")) for m in MEASURES])
     x = x.select("lang", "octave", F.explode(steps).alias("s")).groupBy("lang", "octave", "s.measure", "s.step").agg(F.count(F.lit(1)).alias("k"))
@@ -139,7 +149,7 @@ def fit_bands(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None)
     return x.groupBy("octave", "lang").agg(n, *parts).filter(f"n >= {FIT_LEAST}").drop("n")
 
 
-def judge(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None, fit_docs: DataFrame | None = None) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None, fit_docs: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """(row, base counts, measures, base_failed, kept) of each document.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: not
@@ -151,13 +161,19 @@ def judge(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None, fit
     entropy a lower bound only: a text can't be too varied.
 
     Null texts count as empty and fail the base rule; null languages are one language; repeated rows
-    are judged alike; an empty table gives an empty result; further columns travel in `row`.
+    are judged alike; an empty table gives an empty result; all columns travel in `row`, or those that
+    `keep` names.
+
+    The bands come from the labelled ones of `docs`, or of `fit_docs`. In the first case the measured rows are
+    written out, so that each text is encoded once; `keep` without the text keeps them small.
     """
-    bands = T.checkpointed(fit_bands(fit_docs or docs, labels, vocabulary))
+    x = measured(docs, vocabulary, keep)
+    if fit_docs is None:
+        x = T.checkpointed(x)
+    bands = T.checkpointed(bands_of(x, labels) if fit_docs is None else fit_bands(fit_docs, labels, vocabulary))
     own, all_ = bands.filter("lang is not null"), bands.filter("lang is null").drop("lang")
     all_ = all_.select("octave", *[F.col(c).alias(f"any_{c}") for c in all_.columns if c != "octave"])
-    x = docs.select(T.packed(docs), F.col("`text`").alias("text"), _lang(docs).alias("lang"))
-    x = x.withColumn("m", measures(F.col("text"), vocabulary)).select("row", "lang", "m.*").withColumn("length", _octave(F.col("n_tokens")))
+    x = x.withColumn("length", _octave(F.col("n_tokens")))
     have = F.array(*[F.lit(r.octave) for r in all_.select("octave").collect()]).cast("array<int>")  # powers of two
     x = x.withColumn("octave", F.coalesce(F.array_max(F.filter(have, lambda o: o <= F.col("length"))), F.array_min(have)))
     # a row for each language and power of two with FIT_LEAST good documents
@@ -178,5 +194,5 @@ def judge(docs: DataFrame, labels: DataFrame, vocabulary: str | None = None, fit
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = T.documents(spark, sf_dir)
-    x = judge(docs.select("doc_id", "text", "lang"), T.table(spark, sf_dir, "labels"))
+    x = judge(docs.select("doc_id", "text", "lang"), T.table(spark, sf_dir, "labels"), keep=["doc_id"])
     return x.select("row.doc_id", *[c for c in x.columns if c != "row"])

@@ -60,6 +60,16 @@ def test_quality_drops_what_fails_the_base_rule(spark, folder):
     assert sum(Counter(map(repr, kept))[x] for x in set(map(repr, good))) >= 0.97 * len(good)
 
 
+def test_quality_of_a_part_is_that_of_the_whole(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    encoded, measures = [], pipeline.quality.measures
+    monkeypatch.setattr(pipeline.quality, "measures", lambda *x: encoded.append(x) or measures(*x))
+    whole = _plain(pipeline.quality_rules(spark, docs, folder).collect())
+    assert len(encoded) == 1
+    part = _plain(pipeline.quality_rules(spark, docs.filter("doc_id % 3 = 1"), folder).collect())
+    assert part and _key(part) == _key(r for r in whole if r[0] is not None and r[0] % 3 == 1)
+
+
 def test_one_of_each_class_stays(spark, folder):
     rows = _rows()
     got = _plain(pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), folder).collect())

@@ -57,6 +57,16 @@ def test_bands_come_from_all_good_documents(spark):
     assert len({tuple(r)[2:] for r in got}) == 1 and sum(r.lang is None for r in got) == 1
 
 
+def test_each_text_is_encoded_once_and_not_written_for_the_fit(spark, monkeypatch):
+    """The labels meet the measures of the texts, so what is written out, and shuffled after that, are numbers."""
+    d, encoded, out = "/root/testdata/sf0.001", [], []
+    measures, checkpointed = quality.measures, T.checkpointed
+    monkeypatch.setattr(quality, "measures", lambda *x: encoded.append(x) or measures(*x))
+    monkeypatch.setattr(T, "checkpointed", lambda x: out.append(x.schema.simpleString()) or checkpointed(x))
+    assert quality.op5_quality(spark, d).count() == T.documents(spark, d).count()
+    assert len(encoded) == 1 and out and not any("text:" in x for x in out)
+
+
 def test_judge(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = T.documents(spark, d), T.table(spark, d, "labels")
