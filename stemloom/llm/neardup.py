@@ -386,7 +386,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = copies.agg(F.sum("copies")).first()[0] or 0
     hubs = [r.tid for r in copies.filter(F.col("copies") > max(rows / T.HUBS, T.HUB_LEAST)).select("tid").collect()]  # fewer than T.HUBS
     known = comp.join(size, "comp").join(signed, "tid").join(copies.select("tid", "copies"), "tid")
-    texts = T.hub_join(x.select("tid", "text"), comp.select("tid"), "tid", hubs, "left_semi").dropDuplicates(["tid"])
+    texts = T.marked(x.select("tid", "text"), "tid", T.marks(comp, "tid"))
+    texts = T.hub_join(texts, comp.select("tid"), "tid", hubs, "left_semi").dropDuplicates(["tid"])
     sparse = (F.col("size") > TILE) & (F.col("pairs") <= SPARSE * F.col("size"))
     if size.filter(sparse).isEmpty():
         found = T.checkpointed(_links(known.join(texts, "tid"), threshold))
@@ -406,14 +407,22 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each class kept: its least doc_id (nulls last, repeats once).
 
-    Of rows that share doc_id and text but differ elsewhere, the one with the least hash stays.
+    Of rows that share doc_id and text but differ elsewhere, the one with the least hash stays. Only rows
+    that may go or repeat are shuffled; most stay where they are.
     """
-    last = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    keep = join(docs, threshold).groupBy("root").agg(F.min_by(F.struct("tid", "doc_id"), F.struct(last, F.col("doc_id").isNull(), F.col("tid"))).alias("k"))
-    keep = keep.select("k.tid", F.col("k.doc_id").alias("kept_id"))
-    x = docs.select(T.packed(docs), T.row_hash(docs).alias("rh"), F.col("`doc_id`").alias("id"), F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))).alias("tid"))
-    x = x.join(keep, (x["tid"] == keep["tid"]) & x["id"].eqNullSafe(keep["kept_id"])).select("row", "rh", "id", x["tid"])
-    return T.unpacked(x.groupBy("id", "tid").agg(F.min_by("row", "rh").alias("row")), docs.columns)
+    found = join(docs, threshold).filter("n_links > 0").select("root", F.struct("tid", "doc_id").alias("key"))
+    found = T.checkpointed(found)
+    last = F.coalesce(F.col("key.doc_id").cast("long"), F.lit((1 << 63) - 1))
+    keep = found.groupBy("root").agg(F.min_by("key", F.struct(last, F.col("key.doc_id").isNull(), F.col("key.tid"))).alias("key"))
+    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(keep.select("key", F.lit(True).alias("stays")), "key", "left")
+    keys = T.checkpointed(keys.filter("stays IS NULL OR n > 1"))
+    table = T.marks(keys, "key")
+    key = F.struct(F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))).alias("tid"), F.col("`doc_id`").alias("doc_id"))
+    x = docs.select(T.packed(docs), T.row_hash(docs).alias("rh"), key.alias("key"))
+    sure = T.marked(x, "key", table, "left_anti").select("row")
+    some = T.marked(x, "key", table).join(keys.filter("stays IS NULL").select("key"), "key", "left_anti")
+    some = some.groupBy("key").agg(F.min_by("row", "rh").alias("row")).select("row")
+    return T.unpacked(sure.unionByName(some), docs.columns)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stemloom.session import checkpointed, removed, shared_folder, table
 
 __all__ = [
-    "WORD", "Coded", "Memo", "checkpointed", "coded", "documents", "fresh", "hub_join", "hubs_of", "n_words", "packed", "removed", "row_hash", "shared_folder", "spread", "table", "unpacked", "words_of", "written",
+    "WORD", "Coded", "Memo", "checkpointed", "coded", "documents", "fresh", "hub_join", "hubs_of", "marked", "marks", "n_words", "packed", "removed", "row_hash", "shared_folder", "spread", "table", "unpacked", "words_of", "written",
 ]
 
 #: A word: what stands between the ASCII white space characters.
@@ -24,6 +24,8 @@ _WORDS = re.compile(WORD)
 HUBS, HUB_LEAST = 500, 200
 #: Pieces of a hot key.
 SALTS = 64
+#: Cells of 64 bits in a table of marks (a power of two). Fewer let more rows through; no result depends on it.
+CELLS = 1 << 18
 # Fixed value: characters beyond the ASCII white space at which str.split cuts too.
 _MORE_SPACE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -139,6 +141,28 @@ def hub_join(facts: DataFrame, nodes: DataFrame, key: str, hubs: DataFrame | lis
     return mark(facts).withColumn(salt, mine).drop(is_hub).join(mark(nodes).withColumn(salt, each).drop(is_hub), [key, salt], how).drop(salt)
 
 
+def _cell_and_bit(key: str) -> tuple[Column, Column]:
+    h = F.xxhash64(key)
+    return h.bitwiseAND(F.lit(CELLS - 1)), F.shiftrightunsigned(h, 58).cast("int")
+
+
+def marks(keys: DataFrame, key: str) -> DataFrame:
+    """(cell, bits): a bit set for each key; CELLS rows at most, however many keys there are."""
+    cell, bit = _cell_and_bit(key)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return keys.groupBy(cell.alias("cell")).agg(F.bit_or(one).alias("bits"))
+
+
+def marked(df: DataFrame, key: str, table: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of df that may have one of the keys of a table of marks; with left_anti those that surely have none.
+
+    The table goes to each task, so that rows of other keys need no shuffle; some of them pass, so a join
+    with the keys themselves has to follow.
+    """
+    cell, bit = _cell_and_bit(key)
+    return df.join(F.broadcast(table), (cell == table["cell"]) & (F.getbit(table["bits"], bit) == 1), how)
+
+
 def unpacked(df: DataFrame, columns: list[str], extra: list[Column] | None = None) -> DataFrame:
     """The columns of a packed row again, and more columns after them."""
     return df.select(*[F.col("row").getField(c).alias(c) for c in columns], *(extra or []))

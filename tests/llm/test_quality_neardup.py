@@ -192,6 +192,45 @@ def test_representatives(spark):
     assert neardup.representatives(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1, T.CELLS])
+def test_marks_lose_no_key(spark, monkeypatch, cells):
+    monkeypatch.setattr(T, "CELLS", cells)
+    x = spark.range(3000).select(F.struct(F.when(F.col("id") > 0, F.col("id")).alias("k")).alias("key"))
+    table = T.marks(x.filter("key.k IS NULL OR key.k % 10 = 0"), "key")
+    assert table.count() <= cells
+    may, none = T.marked(x, "key", table).collect(), T.marked(x, "key", table, "left_anti").collect()
+    assert len(may) + len(none) == 3000 and (cells == 1 or len(may) < 400)
+    assert all(r.key.k is not None and r.key.k % 10 for r in none)
+
+
+@pytest.mark.parametrize("cells", [1, T.CELLS])
+def test_representatives_of_repeats(spark, monkeypatch, cells):
+    """Rows that no mark tells apart meet their keys all the same; a row stays once for each class."""
+    monkeypatch.setattr(T, "CELLS", cells)
+    monkeypatch.setattr(T, "HUB_LEAST", 5)
+    docs = spark.createDataFrame([(d, t, s) for d, t in variants() * 2 for s in ("s", "t")], "doc_id long, text string, row string")
+    once = spark.createDataFrame([(d, t, "s") for d, t in variants()], "doc_id long, text string, row string")
+    got = [(r.doc_id, r.text) for r in neardup.representatives(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((r.doc_id, r.text)) for r in neardup.representatives(once).collect())
+
+
+def test_texts_that_stay_alone_are_not_shuffled(spark):
+    """Some rows go and some texts are compared; the texts of all others, most of the bytes, stay where they are."""
+    status = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        status.listenerBus().waitUntilEmpty(60_000)
+        return sum(status.statusStore().executorList(False).apply(k).totalShuffleWrite() for k in range(status.statusStore().executorList(False).size()))
+
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"{rng.getrandbits(64):x}" for _ in range(2000))) for k in range(200)]
+    rows += [(1000 + k, f"{t} more") for k, t in rows[:10]]
+    docs, bytes_of_texts = spark.createDataFrame(rows, "doc_id long, text string"), sum(len(t) for _, t in rows)
+    before = shuffled()
+    assert sorted(r.doc_id for r in neardup.representatives(docs).select("doc_id", F.length("text")).collect()) == list(range(200))
+    assert shuffled() - before < bytes_of_texts / 2
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     table = dict(neardup.least_matches())
     assert all(0 < m < 0.8 * n for n, m in table.items())
