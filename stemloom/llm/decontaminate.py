@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -286,7 +286,7 @@ def _finder(seeds: Broadcast):
         memo = _memo()
         for batch in batches:
             out = []
-            for _, x in T.coded(pa.array(batch, pa.string())):
+            for _, x in chain.from_iterable(map(T.coded, T.pieces(batch))):
                 tokens, starts = x.values(memo, "<u8")
                 for (a, z), some in zip(pairwise(starts.tolist()), seeds.value.screened(tokens, starts), strict=True):
                     found = overlaps(tokens[a:z], seeds.value) if some else ()

@@ -135,7 +135,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _pairs(gid: np.ndarray, side: np.ndarray, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+def _pairs(gid: np.ndarray, side: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
     """Pairs of rows of one group: (i, j, first row, end row) of some whole groups at a time.
 
     side 0: all pairs; 1 and 2: those between the sides.
@@ -199,7 +199,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             first = np.sort(np.unique(b.column("tid").to_numpy(), return_index=True)[1])
-            b = b.take(pa.array(first))  # of copies that come together one is signed
+            if len(first) < b.num_rows:
+                b = b.take(pa.array(first))  # of copies that come together one is signed
             tids = b.column("tid").to_numpy()
             for part, sets in text_shingles(b.column("text")):
                 full = [k for k, s in enumerate(sets) if len(s)]
@@ -284,7 +285,7 @@ def _linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: flo
         keep = shared[code]
         owner, code = owner[keep], number[code[keep]]
         common = np.zeros((len(rows), len(rows)), np.float32)
-        width = max(1, 8_000_000 // len(rows))
+        width = max(1, 2_000_000 // len(rows))
         order = np.argsort(code, kind="stable")
         owner, code = owner[order], code[order]
         for start in range(0, int(shared.sum()), width):
@@ -301,8 +302,10 @@ def _linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: flo
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the shingles of their text in place of it."""
     for b in batches:
-        out = [s.tobytes() for _, some in text_shingles(b.column("text")) for s in some]
-        yield b.drop_columns(["text"]).append_column("set", pa.array(out, pa.binary()))
+        rest = b.drop_columns(["text"])
+        for part, some in text_shingles(b.column("text")):
+            sets = pa.array([s.tobytes() for s in some], pa.binary())
+            yield rest.slice(part.start, len(some)).append_column("set", sets)
 
 
 def _pair_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -341,11 +344,11 @@ def _links(members: DataFrame, threshold: float) -> DataFrame:
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, 512):
             tid, copies, sig = t.column("tid").to_numpy(), t.column("copies").to_numpy(), _matrix(t.column("sig"))
-            own = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
             for i, j, lo, hi in _pairs(t.column("gid").to_numpy(), t.column("side").to_numpy()):
                 stay = pruned(sig, i, j)
                 i, j = i[stay], j[stay]
-                yes = _linked(own[lo:hi], i - lo, j - lo, threshold)
+                own = [np.frombuffer(x, np.uint64) for x in t.column("set").slice(lo, hi - lo).to_pylist()]
+                yes = _linked(own, i - lo, j - lo, threshold)
                 i, j = i[yes] - lo, j[yes] - lo
                 links = np.bincount(i, copies[lo + j], hi - lo) + np.bincount(j, copies[lo + i], hi - lo)
                 root = _forest(hi - lo, i, j)

@@ -94,11 +94,11 @@ def measures(text: Column, vocabulary: str | None = None, base: bool = True) ->
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo, low, high = _pieces(path)
         for batch in batches:
-            texts, rows = batch.tolist(), []
-            for part, x in T.coded(pa.array(texts, pa.string())):
+            rows = []
+            for texts, (part, x) in ((t, y) for t in T.pieces(batch) for y in T.coded(t)):
                 pieces, starts = x.values(memo, "<i4")
                 chars = np.append(0, np.cumsum(pc.utf8_length(x.words).to_numpy()[x.codes], dtype=np.int64))[x.starts]
-                for k, t in enumerate(texts[part]):
+                for k, t in enumerate(texts[part].to_pylist() if base else [None] * (part.stop - part.start)):
                     size = int(chars[k + 1] - chars[k])
                     counts = base_counts(t, x.codes[x.starts[k] : x.starts[k + 1]], size) if base else ()
                     rows.append((*counts, *fertility(pieces[starts[k] : starts[k + 1]], size, low, high)))

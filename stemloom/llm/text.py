@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from stemloom.session import checkpointed, removed, shared_folder, table
 
 __all__ = [
-    "WORD", "Coded", "Memo", "checkpointed", "coded", "documents", "fresh", "hub_join", "hubs_of", "marked", "marks", "n_words", "packed", "removed", "row_hash", "shared_folder", "spread", "table", "unpacked", "words_of", "written",
+    "WORD", "Coded", "Memo", "checkpointed", "coded", "documents", "fresh", "hub_join", "hubs_of", "marked", "marks", "n_words", "packed", "pieces", "removed", "row_hash", "shared_folder", "spread", "table", "unpacked", "words_of", "written",
 ]
 
 #: A word: what stands between the ASCII white space characters.
@@ -81,6 +84,20 @@ class Coded:
         return values, np.append(0, np.cumsum(times))[self.starts]
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc
+        return lambda _: 0
+
+
+def _release() -> None:
+    """Give freed memory back to the machine: workers wait between tasks, beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def coded(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[slice, Coded]]:
     """The words of a column of texts, portion by portion, each distinct one only once; null has none."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -96,7 +113,13 @@ def coded(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[slice
             codes, starts = codes[keep], np.append(0, np.cumsum(keep))[starts]
         yield slice(start, stop), Coded(found.dictionary, codes, starts)
         start = stop
-    pa.default_memory_pool().release_unused()
+    _release()
+
+
+def pieces(batch: pd.Series, rows: int = 1024) -> Iterator[pa.Array]:
+    """The texts of a batch, some rows at a time, so that no second copy of the whole batch is held."""
+    for start in range(0, len(batch), rows):
+        yield pa.array(batch.iloc[start : start + rows].tolist(), pa.string())
 
 
 def fresh(df: DataFrame, stem: str) -> str:

@@ -2,12 +2,15 @@
 
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stemloom.llm import neardup, quality
+from stemloom.llm import decontaminate, neardup, quality
 from stemloom.llm import text as T
 
 
@@ -234,3 +237,34 @@ def test_texts_that_stay_alone_are_not_shuffled(spark):
 def test_pruning_keeps_what_may_reach_the_threshold():
     table = dict(neardup.least_matches())
     assert all(0 < m < 0.8 * n for n, m in table.items())
+
+
+@pytest.mark.parametrize("name", ["quality", "decontaminate"])
+def test_a_batch_of_texts_is_not_held_twice(monkeypatch, name):
+    """A worker codes some rows of a batch at a time; what it returns is that of all rows."""
+    made, rows, coded = [], [], T.coded
+    monkeypatch.setattr(quality.F, "pandas_udf", lambda _: lambda f: made.append(f) or SimpleNamespace(asNondeterministic=lambda: lambda _: None))
+    monkeypatch.setattr(T, "coded", lambda x: rows.append(len(x)) or coded(x))
+    item = " ".join(f"exam{k}" for k in range(20))
+    texts = pd.Series([None, "", *(f"some words {'#' * (k % 3)} {item if k % 500 == 0 else k}" for k in range(3000))])
+    if name == "quality":
+        quality.measures(None)
+        got = next(made[0](iter([texts])))
+        assert got.n_words.tolist() == [len(T.words_of(x)) for x in texts] and got.n_symbols.tolist() == [(x or "").count("#") for x in texts]
+    else:
+        tokens, _ = next(coded(pa.array([item])))[1].values(decontaminate._memo(), "<u8")
+        decontaminate._finder(SimpleNamespace(value=decontaminate.Seeds([tokens])))
+        got = next(made[0](iter([texts])))
+        assert [k for k, x in enumerate(got) if x] == [k for k, x in enumerate(texts) if item in (x or "")]
+    assert len(got) == len(texts) == sum(rows) and max(rows) <= 1024
+
+
+def test_sets_come_in_portions():
+    """The sets of a batch of long texts are as large as the texts; they leave it in portions, none lost."""
+    rng = random.Random(6)
+    texts = [None, "", *(" ".join(f"{rng.getrandbits(32):x}" for _ in range(20_000)) for _ in range(30))]
+    out = list(neardup._sets([pa.record_batch({"tid": list(range(len(texts))), "text": texts, "copies": [1] * len(texts)})]))
+    assert max(x.nbytes for x in out) < sum(x.nbytes for x in out) / 4
+    assert [k for x in out for k in x.column("tid").to_pylist()] == list(range(len(texts)))
+    want = [s.tobytes() for _, some in neardup.text_shingles(pa.array(texts, pa.string())) for s in some]
+    assert [s for x in out for s in x.column("set").to_pylist()] == want and len(np.frombuffer(want[2], np.uint64)) == 19_996
